@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substrings, warc
+from . import languages, simhash, substrings, warc
 from .common import new_path
 
 
@@ -24,13 +24,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = languages.learn(docs.filter(~languages.held_out()))
+    rows = docs.select("doc_id", languages.held_out().alias("held_out"), "text")
+    found = languages.identify(rows, model, with_spans=False)
+    return found.select("key.doc_id", "key.held_out", "lang_pred", "score")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op6_substrings": op6_substrings}
+    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op6_substrings": op6_substrings}
 
 
 ORACLES = {
