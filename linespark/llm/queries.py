@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import languages, simhash, substrings, warc
+from . import languages, simhash, substrings, toxicity, warc
 from .common import new_path
 
 
@@ -37,8 +38,16 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs.filter(~languages.held_out()), _table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", languages.held_out().alias("held_out"), "text")
+    found = toxicity.score(rows, model)
+    return found.select("key.doc_id", "key.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op6_substrings": op6_substrings}
+    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op6_substrings": op6_substrings, "op9_toxicity": op9_toxicity}
 
 
 ORACLES = {
