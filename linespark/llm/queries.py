@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, simhash, substrings, toxicity, warc
+from . import languages, sentencepieces, simhash, substrings, toxicity, warc
 from .common import new_path
 
 
@@ -33,6 +33,13 @@ def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.doc_id", "key.held_out", "lang_pred", "score")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentencepieces.encode(docs)
+    back = sentencepieces.decode(found.select("key.doc_id", "n_tokens", "parity", F.col("token_ids").alias("ids"), "token_ids"))
+    return back.select("key.doc_id", F.col("key.ids").alias("token_ids"), "key.n_tokens", "key.parity", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
@@ -47,7 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op6_substrings": op6_substrings, "op9_toxicity": op9_toxicity}
+    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op9_toxicity": op9_toxicity}
 
 
 ORACLES = {
