@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, sentencepieces, simhash, substrings, toxicity, warc
-from .common import new_path
+from . import languages, mixing, sentencepieces, simhash, substrings, toxicity, warc
+from .common import new_path, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.doc_id", "key.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: Wanted token weights of the domains: languages of good texts, and texts of low quality.
+MIXING_TARGETS = {"en": 0.50, "fr": 0.19, "de": 0.19, "es": 0.10, "low": 0.02}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): the language of documents labelled as good, ``low`` for the others."""
+    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return docs.select("doc_id", "lang").join(known, "doc_id").select("doc_id", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    domains = mixing.learn(docs, domain_labels(docs, _table(spark, sf_dir, "labels")))
+    members = written(mixing.memberships(docs.select("doc_id", "text"), domains), "mixing")
+    fit = mixing.fit_rates(members, domains, MIXING_TARGETS)
+    rated = mixing.with_rates(members, fit, domains)
+    return rated.select("key.doc_id", "n_tokens", "posterior", "rate", mixing.copies(F.col("rate"), "key.doc_id").alias("copies"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op9_toxicity": op9_toxicity}
+    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 
 
 ORACLES = {
