@@ -1,18 +1,100 @@
-"""Training-data pipeline over ``documents``: each stage's rows are written and read again by the next."""
+"""Training-data pipeline over ``documents``; each stage's rows are written and read again by the next.
+
+All stages but the last return the columns of their input. Defined cases: a document with a
+null id is kept like any other (near duplicates: unless its group has a document with an id);
+rows repeated with one id and text count once from the second stage on; an empty table passes
+through all stages; further columns of the documents are carried along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from linespark.llm import simhash
+from linespark.llm import languages, mixing, sentencepieces, simhash, substrings
 from linespark.llm.common import written
+from linespark.llm.queries import MIXING_TARGETS, domain_labels
+
+#: Wanted tokens after mixing over those before it; above 1 so that good texts are kept and rare domains repeated.
+MIXING_BUDGET = 1.25
+
+
+def _name_beside(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _with_text_beside(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a second text column, for operators that carry all others through."""
+    name = _name_beside(docs, "own_text")
+    return docs.withColumn(name, F.col("text")), name
+
+
+def _columns(docs: DataFrame, source: str) -> list[Column]:
+    return [F.col(f"{source}.`{c}`").alias(c) for c in docs.columns]
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents in no language: those without a letter. A missing ``lang`` is filled in.
+
+    Without labelled rows no language is known; then the letters alone decide.
+    """
+    model = languages.learn(docs)
+    if not model.names:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    both, name = _with_text_beside(docs)
+    found = languages.identify(both, model, text_col=name, with_spans=False).filter(F.col("lang_pred") != languages.UNKNOWN)
+    fill = {"lang": F.coalesce("key.lang", "lang_pred")} if "lang" in docs.columns else {}
+    return found.select(*(fill[c].alias(c) if c in fill else F.col(f"key.`{c}`").alias(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    classes = simhash.near_duplicates(docs)
+    first, name = _name_beside(docs, "first_id"), _name_beside(docs, "nth")
+    stays = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return kept.withColumn(name, F.row_number().over(same)).filter(F.col(name) == 1).drop(name)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes words of passages that came earlier, and documents of which nothing is left."""
+    found = substrings.remove_repeats(docs).filter("n_words = 0 or n_removed < n_words")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that the domains' tokens come near their targets."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    domains = mixing.learn(docs, domain_labels(docs, labels))
+    fit = mixing.fit_rates(mixing.memberships(docs.select("doc_id", "text"), domains), domains, MIXING_TARGETS, MIXING_BUDGET)
+    both, name = _with_text_beside(docs)
+    rated = mixing.with_rates(mixing.memberships(both, domains, text_col=name), fit, domains)
+    times = mixing.copies(F.col("rate"), "key.doc_id", "key.text").cast("int")
+    return rated.select("key", F.explode(F.array_repeat(F.lit(0), times))).select(*_columns(docs, "key"))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and whether the original library gives the same."""
+    found = sentencepieces.encode(docs)
+    return found.select("key.doc_id", "key.lang", "key.source", "token_ids", "n_tokens", "parity")
 
-from pyspark.sql import functions as F
 
 #: Stages as (name, function of (spark, docs, sf_dir)).
-STAGES: list = []
+STAGES = [
+    ("language", identify_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("substrings", drop_repeated_passages),
+    ("mixing", mix_domains),
+    ("sentencepiece", encode_tokens),
+]
 
-#: SQL can't express the classifier or the tokenizer; tests hold the stages against plain versions.
+#: SQL can't express the classifiers or the tokenizer; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

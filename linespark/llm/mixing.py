@@ -90,6 +90,8 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 def posteriors(texts: list[str | None], domains: Domains, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """(words, posterior) of each text; posteriors are kept to 1 / GRID and sum to 1."""
     buckets, sizes = _buckets(texts, hashes)
+    if not domains.names:
+        return sizes, np.zeros((len(texts), 0))
     mean = np.zeros((len(texts), len(domains.names)))
     full = np.flatnonzero(sizes)
     if len(full):
