@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, mixing, sentencepieces, simhash, substrings, toxicity, warc
+from . import languages, mixing, pages, sentencepieces, simhash, substrings, toxicity, warc
 from .common import new_path, written
 
 
@@ -45,6 +45,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("key.page_id", "key.url", "text", "n_chars")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs.filter(~languages.held_out()), _table(spark, sf_dir, "labels"))
@@ -73,7 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op7_pages": op7_pages, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 
 
 ORACLES = {
