@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, mixing, pages, sentencepieces, simhash, substrings, toxicity, warc
+from . import languages, mixing, neighbours, pages, sentencepieces, simhash, substrings, toxicity, warc
 from .common import new_path, written
 
 
@@ -33,6 +33,10 @@ def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.doc_id", "key.held_out", "lang_pred", "score")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = sentencepieces.encode(docs)
@@ -78,7 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op7_pages": op7_pages, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op7_pages": op7_pages, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 
 
 ORACLES = {
@@ -88,6 +92,14 @@ k as (select *, case when payload_bytes >= 1000 then max(page_id) over (partitio
 select page_id, payload_bytes, payload_digest, case when last_id > page_id then 'revisit' else 'response' end record_type,
        case when last_id > page_id then last_id end refers_to, true digest_ok
 from k
+""",
+    "op4_neighbours": """
+with e as (select vec_id, pos, floor(256 * x::double)::bigint x
+           from (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) pos from embeddings)),
+s as (select q.vec_id query_id, d.vec_id, sum(q.x * d.x)::bigint score
+      from e q join e d on q.pos = d.pos and q.vec_id <> d.vec_id where q.vec_id % 50 = 0 group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, rank::int rank, vec_id, score from r where rank <= 5
 """,
 }
 
