@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, mixing, neighbours, pages, sentencepieces, simhash, substrings, toxicity, warc
+from . import languages, media, mixing, neighbours, pages, sentencepieces, simhash, substrings, toxicity, warc
 from .common import new_path, written
 
 
@@ -54,6 +54,11 @@ def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.page_id", "key.url", "text", "n_chars")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.rendered(_table(spark, sf_dir, "embeddings"))
+    return media.copy_classes(written(images, "media"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs.filter(~languages.held_out()), _table(spark, sf_dir, "labels"))
@@ -82,7 +87,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op7_pages": op7_pages, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op7_pages": op7_pages, "op8_media": op8_media, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 
 
 ORACLES = {
