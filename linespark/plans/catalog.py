@@ -1,15 +1,301 @@
-"""Registered line-analytics queries and their SQL twins."""
+"""Registered line-analytics queries and their SQL twins, over tables made by ``adapters``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import ab, asof, bottleneck, cycles, degradation, filters, kpis, limits, oee, policy, quality, report
+from ..sources import lines as text_lines
+from ..sources import sinks
+from ..streaming import live
+from . import adapters
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+MIN_VALUES = {"torque": 5.0}
+BUCKET_S = 1800
+NO_IDEAL = "S05"
+SPLIT_DAYS, SCORED_DAYS = 1000, 6000
+START_DATE, SHIFT_DAYS = "2024-01-01", 59200
+SIGMAS, RISES = [2.0, 3.0], [0.1, 0.15, 0.2]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _r(df: DataFrame, **digits: int) -> DataFrame:
+    """Round the named columns, so that sums of floats in another order compare equal."""
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def _torque_limits(spark: SparkSession, d: str) -> DataFrame:
+    return limits.control_limits(adapters.telemetry(spark, d), ["torque"], 3.0, MIN_VALUES)
+
+
+def _curve(spark: SparkSession, d: str) -> DataFrame:
+    return degradation.degradation(adapters.telemetry(spark, d), adapters.maintenance(spark, d), "torque", BUCKET_S, 5.0)
+
+
+def _slopes(spark: SparkSession, d: str) -> DataFrame:
+    return degradation.degradation_slopes(_curve(spark, d))
+
+
+def _oee(spark: SparkSession, d: str) -> DataFrame:
+    return oee.oee(adapters.part_events(spark, d), adapters.ideal_cycles(spark))
+
+
+def _bottleneck(spark: SparkSession, d: str) -> DataFrame:
+    return bottleneck.bottleneck(adapters.part_events(spark, d))
+
+
+def _policy_b(spark: SparkSession, d: str) -> DataFrame:
+    return policy.synthesise_policy(adapters.base_policy(spark), _torque_limits(spark, d), _bottleneck(spark, d), _slopes(spark, d))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    events = adapters.part_events(spark, d)
+    start = events.agg(F.min("ts_end_ms")).first()[0] or 0
+    return filters.score_window(events, SPLIT_DAYS, start)
+
+
+def _station_kpis(spark: SparkSession, d: str) -> DataFrame:
+    events = _scored(spark, d).withColumn("run", F.concat_ws("-", "arm", F.col("seed").cast("string")))
+    stops = adapters.maintenance(spark, d).withColumn("run", F.concat_ws("-", "arm", F.col("seed").cast("string")))
+    return kpis.station_kpis(events, stops, adapters.ideal_cycles(spark), kpis.horizon(SCORED_DAYS))
+
+
+def _line_kpis(spark: SparkSession, d: str) -> DataFrame:
+    return kpis.line_kpis(_station_kpis(spark, d), SCORED_DAYS)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    runs = _line_kpis(spark, d).withColumns({"arm": F.split("run", "-")[0], "seed": F.split("run", "-")[1].cast("long")})
+    return ab.pair_runs(runs.filter("arm = 'A'"), runs.filter("arm = 'B'"))
+
+
+def _ci(spark: SparkSession, d: str) -> DataFrame:
+    return ab.paired_ci(_pairs(spark, d))
+
+
+OEE_DIGITS = {"oee": 4, "availability": 4, "performance": 4, "quality": 4, "defect_rate": 5}
+LIMIT_DIGITS = {"mean": 4, "sd": 4, "lcl": 4, "ucl": 4}
+BOTT_DIGITS = {"utilisation": 4, "idle_s": 1, "blocked_s": 1, "starved_s": 1, "mean_cycle_s": 3}
+TABLE_DIGITS = {"oee": 4, "availability": 4, "performance": 4, "quality": 4, "defect_rate": 5, "utilisation": 4, "mean_cycle_s": 3, "blocked_s": 1, "starved_s": 1, "torque_mean": 4, "torque_sd": 4, "slope_per_h": 4, "fresh_torque": 3}
+CI_DIGITS = {"a_mean": 6, "b_mean": 6, "delta_mean": 6, "delta_ci95": 5, "delta_pct": 4}
+
+
+def control_limits(spark, d):
+    return _r(limits.control_limits(adapters.telemetry(spark, d), None, 3.0, MIN_VALUES), **LIMIT_DIGITS)
+
+
+def control_limits_partials(spark, d):
+    parts = limits.moment_partials(adapters.telemetry(spark, d).withColumn("part", F.pmod("ts_ms", F.lit(7))), ["part"], None, MIN_VALUES)
+    return _r(limits.moment_merge(parts), **LIMIT_DIGITS)
+
+
+def oee_query(spark, d):
+    return _r(_oee(spark, d), **OEE_DIGITS)
+
+
+def oee_fallback_ideal(spark, d):
+    return _r(oee.oee(adapters.part_events(spark, d), adapters.ideal_cycles(spark, NO_IDEAL)), **OEE_DIGITS)
+
+
+def oee_partials(spark, d):
+    return _r(oee.oee_merge(oee.oee_partials(adapters.part_events(spark, d)), adapters.ideal_cycles(spark)), **OEE_DIGITS)
+
+
+def bottleneck_query(spark, d):
+    return _r(_bottleneck(spark, d), **BOTT_DIGITS)
+
+
+def longest_blocked_run(spark, d):
+    return bottleneck.longest_blocked_run(adapters.part_events(spark, d))
+
+
+def longest_blocked_run_chunked(spark, d):
+    return bottleneck.longest_blocked_run_chunked(adapters.part_events(spark, d), 90 * 24 * 3600 * 1000)
+
+
+def asof_maintenance(spark, d):
+    return asof.asof_maintenance(adapters.telemetry(spark, d), adapters.maintenance(spark, d)).select("ts_ms", "station", "signal", "value", "fresh")
+
+
+def asof_maintenance_large(spark, d):
+    return asof.asof_maintenance(adapters.telemetry(spark, d), adapters.maintenance(spark, d), broadcast_rows=0).select("ts_ms", "station", "signal", "value", "fresh")
+
+
+def degradation_query(spark, d):
+    return _r(_curve(spark, d), age_h=2, mean=4, sd=4)
+
+
+def fitted_buckets(spark, d):
+    return _r(filters.fitted_buckets(_curve(spark, d)), age_h=2, mean=4, sd=4)
+
+
+def degradation_slopes(spark, d):
+    return _r(_slopes(spark, d), slope_per_h=4, intercept=3)
+
+
+def degradation_points(spark, d):
+    return _r(degradation.degradation_points(_curve(spark, d), _slopes(spark, d)), age_h=2, mean_torque=4, sd=4, rise_pct=2)
+
+
+def find_fastest_wear(spark, d):
+    return _r(degradation.find_fastest_wear(_slopes(spark, d)), slope_per_h=4)
+
+
+def label_stopped(spark, d):
+    return asof.label_stopped(adapters.telemetry(spark, d), adapters.maintenance(spark, d)).select("ts_ms", "station", "signal", "value", "stopped")
+
+
+def label_stopped_large(spark, d):
+    return asof.label_stopped(adapters.telemetry(spark, d), adapters.maintenance(spark, d), broadcast_rows=0).select("ts_ms", "station", "signal", "value", "stopped")
+
+
+def _view_cycles(spark, d):
+    return adapters.telemetry(spark, d).filter("signal = 'motor_temp'").select(F.col("ts_ms").alias("ts_end_ms"), "station")
+
+
+def attach_cycle(spark, d):
+    return asof.attach_cycle(filters.filter_signal(adapters.telemetry(spark, d), "torque"), _view_cycles(spark, d)).select("ts_ms", "station", "value", "cycle_end_ms")
+
+
+def cycles_since_maintenance(spark, d):
+    counted = cycles.cycles_since_maintenance(adapters.part_events(spark, d), 90 * 24 * 3600 * 1000)
+    return counted.groupBy("station", "since").agg(F.count("*").alias("n"), F.sum("cycle_ms").alias("cycle_ms"), F.sum("part_id").alias("part_ids"))
+
+
+def spc_derate(spark, d):
+    marked = adapters.part_events(spark, d).withColumn("breach", F.col("cycle_ms") >= 17600)
+    held = cycles.spc_derate(marked, 40)
+    return held.groupBy("station", "derated").agg(F.count("*").alias("n"), F.sum("nth").alias("places"), F.sum("part_id").alias("part_ids"))
+
+
+def station_kpis(spark, d):
+    return _station_kpis(spark, d)
+
+
+def line_kpis(spark, d):
+    return _line_kpis(spark, d)
+
+
+def paired_ci(spark, d):
+    return _r(_ci(spark, d), **CI_DIGITS)
+
+
+def ab_table(spark, d):
+    return _r(ab.ab_table(_ci(spark, d)), a_mean=3, b_mean=3, delta_mean=3, delta_ci95=3, delta_pct=2, ci_pct=2)
+
+
+def find_constraint(spark, d):
+    return _r(bottleneck.find_constraint(_bottleneck(spark, d)), utilisation=4)
+
+
+def station_table(spark, d):
+    table = policy.station_table(adapters.base_policy(spark), _oee(spark, d), _bottleneck(spark, d), _torque_limits(spark, d), _slopes(spark, d))
+    return _r(table, **TABLE_DIGITS)
+
+
+def time_split(spark, d):
+    return _r(bottleneck.time_split(_bottleneck(spark, d)), share=4, hours=3)
+
+
+def pivot_time_split(spark, d):
+    return _r(bottleneck.pivot_time_split(bottleneck.time_split(_bottleneck(spark, d))), busy=4, blocked=4, starved=4)
+
+
+def melt_oee(spark, d):
+    return _r(oee.melt_oee(_oee(spark, d)), value=4)
+
+
+def synthesise_policy(spark, d):
+    return _r(_policy_b(spark, d).drop("policy_id", "provenance"), torque_lcl=2, torque_ucl=2)
+
+
+def policy_grid(spark, d):
+    grid = policy.policy_grid(adapters.base_policy(spark), _torque_limits(spark, d), _bottleneck(spark, d), _slopes(spark, d), SIGMAS, RISES)
+    return _r(grid, torque_lcl=2, torque_ucl=2)
+
+
+def policy_diff(spark, d):
+    return _r(policy.policy_diff(adapters.base_policy(spark), _policy_b(spark, d)), A=2, B=2)
+
+
+def pivot_policy(spark, d):
+    return _r(policy.pivot_policy(policy.policy_diff(adapters.base_policy(spark), _policy_b(spark, d))), torque_lcl=2, torque_ucl=2)
+
+
+def stack_policies(spark, d):
+    return _r(policy.stack_policies(adapters.base_policy(spark), _policy_b(spark, d)), torque_lcl=2, torque_ucl=2)
+
+
+def validate_kpis(spark, d):
+    """OEE over the observed span against that over the planned horizon."""
+    events = adapters.part_events(spark, d).withColumn("run", F.lit("all"))
+    truth = kpis.station_kpis(events, None, adapters.ideal_cycles(spark), kpis.horizon(3 * SCORED_DAYS))
+    return _r(report.validate_kpis(_oee(spark, d), truth, ["oee", "availability", "performance", "quality"]), mined=4, truth=4)
+
+
+def diff_outputs(spark, d):
+    """Rows in which the two arms' cycles differ as multisets."""
+    shown = adapters.part_events(spark, d).select("station", "cycle_ms", "blocked_ms", "status", "arm")
+    a, b = (shown.filter(F.col("arm") == x).drop("arm") for x in "AB")
+    return report.diff_outputs(a, b).groupBy("station", "cycle_ms", "blocked_ms", "status", "side").agg(F.count("*").alias("n"))
+
+
+def filter_bias(spark, d):
+    aged = asof.asof_maintenance(filters.filter_signal(adapters.telemetry(spark, d), "torque"), adapters.maintenance(spark, d))
+    return _r(limits.filter_bias(aged, 5.0, BUCKET_S), sd_running=4, sd_all=4, slope_running=4, slope_all=4, slope_ratio=2)
+
+
+def _lines(spark, d):
+    return adapters.lines(spark, d).withColumn("fields", F.split("value", ",", -1)).withColumnRenamed("value", "line")
+
+
+def count_per_station(spark, d):
+    return quality.count_per_station(_lines(spark, d))
+
+
+def quality_report(spark, d):
+    return _r(quality.quality_report(quality.classify_limits(_lines(spark, d), "torque", 5.0)), other_signal_pct=3)
+
+
+def quality_degradation(spark, d):
+    found = quality.classify_degradation(_lines(spark, d), adapters.maintenance(spark, d), "torque", 5.0)
+    return _r(quality.quality_report(found), other_signal_pct=3)
+
+
+def assign_shift_day(spark, d):
+    return filters.assign_shift_day(adapters.telemetry(spark, d), START_DATE, SHIFT_DAYS).groupBy(F.col("dt").cast("string").alias("dt"), "station").agg(F.count("*").alias("n"))
+
+
+def score_window(spark, d):
+    return _scored(spark, d).groupBy("arm", "seed", "station").agg(F.count("*").alias("n"), F.min("ts_end_ms").alias("first_ms"))
+
+
+def kv_round_trip(spark, d):
+    rows = text_lines.parse_kv_rows(sinks.to_kv_text(_oee(spark, d), "oee"))
+    return rows.select(F.col("key").alias("station"), *(F.col("values")[n].cast("double").alias(n) for n in ("parts", "good", "oee", "quality", "min_cycle_s", "down_s")))
+
+
+def breach_counts(spark, d):
+    narrow = limits.control_limits(adapters.telemetry(spark, d), None, 1.0)
+    return live.breach_counts(adapters.telemetry(spark, d), narrow)
+
+
+def queries() -> dict[str, Query]:
+    named = {"oee": oee_query, "bottleneck": bottleneck_query, "degradation": degradation_query}
+    same = [
+        control_limits, control_limits_partials, oee_fallback_ideal, oee_partials, longest_blocked_run, longest_blocked_run_chunked, asof_maintenance, asof_maintenance_large,
+        fitted_buckets, degradation_slopes, degradation_points, find_fastest_wear, label_stopped, label_stopped_large, attach_cycle, cycles_since_maintenance, spc_derate,
+        station_kpis, line_kpis, paired_ci, ab_table, find_constraint, station_table, time_split, pivot_time_split, melt_oee, synthesise_policy, policy_grid, policy_diff,
+        pivot_policy, stack_policies, validate_kpis, diff_outputs, filter_bias, count_per_station, quality_report, quality_degradation, assign_shift_day, score_window, kv_round_trip, breach_counts,
+    ]
+    return named | {f.__name__: f for f in same}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import oracle_sql as found
+
+    return found()
