@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import languages, media, mixing, neighbours, pages, sentencepieces, simhash, substrings, toxicity, warc
-from .common import new_path, written
+from .common import new_path, shipped, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,8 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = sentencepieces.encode(docs)
-    back = sentencepieces.decode(found.select("key.doc_id", "n_tokens", "parity", F.col("token_ids").alias("ids"), "token_ids"))
-    return back.select("key.doc_id", F.col("key.ids").alias("token_ids"), "key.n_tokens", "key.parity", F.sha2("text", 256).alias("decoded_sha256"))
+    found = sentencepieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("key.doc_id", "token_ids", "n_tokens", "parity", "round_trip")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +85,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_languages": op3_languages, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_substrings": op6_substrings, "op7_pages": op7_pages, "op8_media": op8_media, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+    found = [op1_warc, op2_simhash, op3_languages, op4_neighbours, op5_sentencepiece, op6_substrings, op7_pages, op8_media, op9_toxicity, op10_mixing]
+    return {f.__name__: shipped(f) for f in found}
 
 
 ORACLES = {

@@ -23,6 +23,7 @@ import struct
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,10 @@ MARKER = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 PIECE_BYTES = 2 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+WORDS_TOGETHER = 64
+#: A normaliser message whose dummy prefix is off.
+NO_PREFIX = b"\x1a\x02\x18\x00"
 
 # Fixed values of the model message: piece kinds and model kinds.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -142,64 +146,95 @@ def build(model: Model, whole: bool = True):
 class Codec:
     """Encodes and decodes batches of texts, with the ids of known words at hand."""
 
-    def __init__(self, data: bytes, threads: int):
+    def __init__(self, data: bytes, threads: int, verify: bool):
         # The library reads these when it first starts its threads.
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
+        self.threads = threads
         self.model = model = read_model(data)
         self.by_word = model.byte_fallback and model.escape_whitespaces and not model.charsmap and not model.remove_extra_whitespaces and not any(
             MARKER in p.lstrip(MARKER) or "\n" in p or kind == USER_DEFINED for p, _, kind in model.pieces
         )
-        self.whole = build(model)
-        self.words = build(model, whole=False) if self.by_word else None
+        self.tokenizer = build(model, whole=not self.by_word)
         self.cut = re.compile("\n| +[^ \n]*|[^ \n]+").findall
-        self.known: dict[str, bytes] = {}
+        self.line = next((i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE and p == "<0x0A>"), -1)
+        self.known: dict[str, bytes] = {"\n": array("i", [self.line]).tobytes()}
+        self.odd: set[str] = set()
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(MARKER, " ").encode("utf-8") for p, _, kind in model.pieces]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers."""
+        self.original = None
+        if verify:
+            import sentencepiece
+
+            # Words are encoded without the prefix: a later normaliser message in the model overrides that flag.
+            self.original = sentencepiece.SentencePieceProcessor(model_proto=data + NO_PREFIX * self.by_word)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words, WORDS_TOGETHER in a text: a line feed, which no piece holds, parts them."""
+        groups = [words[i : i + WORDS_TOGETHER] for i in range(0, len(words), WORDS_TOGETHER)]
+        texts = ["\n".join(g) for g in groups]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for group, ids in zip(groups, found, strict=True):
+            row = np.array(ids, np.int32)
+            ends = [*np.flatnonzero(row == self.line).tolist(), len(row)]
+            raw, at = row.tobytes(), 0
+            for word, end in zip(group, ends, strict=True):
+                self.known[word] = raw[4 * at : 4 * end]
+                at = end + 1
+        if self.original is not None:
+            for group, a, b in zip(groups, found, self.original.encode(texts, num_threads=self.threads), strict=True):
+                if a != b:
+                    self.odd.update(w for w in group if self.known[w] != array("i", self.original.encode(w)).tobytes())
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text as 32-bit numbers, and whether the original library gives the same."""
         if not self.by_word:
-            return [array("i", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            same = [True] * len(texts) if self.original is None else [a == b for a, b in zip(found, self.original.encode(texts, num_threads=self.threads), strict=True)]
+            return [array("i", i).tobytes() for i in found], same
         prefix = " " if self.model.add_dummy_prefix else ""
         cut = [self.cut(prefix + t) if t else [] for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [*set().union(*cut).difference(self.known)]
-        self.known.update(zip(new, (array("i", e.ids).tobytes() for e in self.words.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+            self.known = {"\n": self.known["\n"]}
+        self.learn([*set().union(*cut).difference(self.known)])
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut], [not self.odd or self.odd.isdisjoint(words) for words in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        if self.model.kind == PAIRS and self.by_word:
+        if self.by_word and self.model.kind == PAIRS:
             try:
                 out = [b"".join(map(self.bytes.__getitem__, i)).decode("utf-8") for i in ids]
                 return [t[1:] if self.model.add_dummy_prefix and t[:1] == " " else t for t in out]
             except UnicodeDecodeError:
                 pass
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-def _encode(batches: Iterable[pa.RecordBatch], data: bytes, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
-    import sentencepiece
+@lru_cache(maxsize=2)
+def codec(data: bytes, threads: int, verify: bool) -> Codec:
+    """The codec that all tasks of a worker share."""
+    return Codec(data, threads, verify)
 
-    codec = Codec(data, threads)
-    original = sentencepiece.SentencePieceProcessor(model_proto=data) if verify else None
+
+def _encode(batches: Iterable[pa.RecordBatch], data: bytes, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
+    own = codec(data, threads, verify)
     for batch in pieces(batches, 1, PIECE_BYTES):
         texts = batch.column(1).to_pylist()
-        plain = [t or "" for t in texts]
-        found = codec.encode(plain)
         null = np.array([t is None for t in texts], bool)
-        same = pa.nulls(len(texts), pa.bool_())
-        if original is not None:
-            same = pa.array([a == array("i", b).tobytes() for a, b in zip(found, original.encode(plain, num_threads=threads), strict=True)], mask=null)
+        found, same = own.encode([t or "" for t in texts])
         sizes = np.array([len(i) // 4 for i in found], np.int64)
         ids = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), np.frombuffer(b"".join(found), np.int32), mask=pa.array(null))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes, mask=null), same], ["key", "token_ids", "n_tokens", "parity"])
+        parity = pa.array(same, pa.bool_(), mask=null) if verify else pa.nulls(len(texts), pa.bool_())
+        back = pa.nulls(len(texts), pa.bool_())
+        if verify:
+            decoded = own.decode([np.frombuffer(f, np.int32).tolist() for f in found])
+            back = pa.array([d == (t or "").replace(MARKER, " ") for d, t in zip(decoded, texts, strict=True)], mask=null)
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes, mask=null), parity, back], ["key", "token_ids", "n_tokens", "parity", "round_trip"])
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text", threads: int = THREADS, verify: bool = True) -> DataFrame:
-    """(key, token_ids, n_tokens, parity) of every row; ``key`` holds all other columns.
+    """(key, token_ids, n_tokens, parity, round_trip) of every row; ``key`` holds all other columns.
 
-    ``parity`` says whether the original library gives the same ids (null without ``verify``).
+    ``parity`` says whether the original library gives the same ids, ``round_trip`` whether the ids
+    decode to the text, where a marker reads as a space (both null without ``verify``).
     The model (a file of bounded size) is read once and sent along with the tasks.
     """
     with open(model_path, "rb") as file:
@@ -207,14 +242,14 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
     key = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _encode(batches, data, threads, verify), f"key {kind}, token_ids array<int>, n_tokens long, parity boolean")
+    return rows.mapInArrow(lambda batches: _encode(batches, data, threads, verify), f"key {kind}, token_ids array<int>, n_tokens long, parity boolean, round_trip boolean")
 
 
 def _decode(batches: Iterable[pa.RecordBatch], data: bytes, threads: int) -> Iterator[pa.RecordBatch]:
-    codec = Codec(data, threads)
+    own = codec(data, threads, False)
     for batch in pieces_of_lists(batches):
         ids = batch.column(1).to_pylist()
-        texts = codec.decode([i or [] for i in ids])
+        texts = own.decode([i or [] for i in ids])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if i is None else t for i, t in zip(ids, texts, strict=True)], pa.string())], ["key", "text"])
 
 
