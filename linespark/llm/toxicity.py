@@ -11,7 +11,8 @@ Three things are learned, all from a bounded sample of about ``TRAIN_ROWS`` labe
 Features: densities and log counts of lexicon words and of lexicon beginnings, how many of the
 hits stand near a word of the second person, shares of capitals and of words in capitals,
 density of ``!`` and ``?``, rate of obfuscated words (letters mixed with digits or symbols),
-hits among these once they are read plainly, and the number of words.
+hits among these once they are read plainly, the number of words, and the largest and the summed
+evidence of the hits, so that a term seen thrice weighs less than one seen hundreds of times.
 
 Defined cases: null, empty and wordless texts get the score of a text whose counts are all
 zero; without labelled rows of both classes every text gets the share of toxic rows (0 if
@@ -54,6 +55,7 @@ SECOND_PERSON = frozenset(
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
 
 WORD_HIT, BEGINNING_HIT, SECOND, OBFUSCATED, CAPITALS = 1, 2, 4, 8, 16
+EVIDENCE_SHIFT = 5
 
 
 def plain(word: str) -> tuple[str, bool]:
@@ -69,23 +71,27 @@ def plain(word: str) -> tuple[str, bool]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    words: frozenset[str]
-    beginnings: frozenset[str]
+    """Terms with their evidence: the smoothed log ratio of their shares of toxic and of clean texts."""
+
+    words: dict[str, float]
+    beginnings: dict[str, float]
 
 
 class _Flags(dict):
-    """What is known of each word, kept while the task runs."""
+    """What is known of each word, kept while the task runs: flags, and above them its evidence in eighths."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, raw: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        base, obfuscated = plain(word)
-        flags = WORD_HIT * (base in self.lexicon.words) | BEGINNING_HIT * any(base[:n] in self.lexicon.beginnings for n in BEGINNINGS if len(base) >= n)
-        flags |= SECOND * (base in SECOND_PERSON) | OBFUSCATED * obfuscated | CAPITALS * (len(word) > 1 and word.isupper())
-        self[word] = flags
+        base, obfuscated = plain(raw)
+        word = self.lexicon.words.get(base, 0.0)
+        begin = max([0.0, *(self.lexicon.beginnings.get(base[:n], 0.0) for n in BEGINNINGS if len(base) >= n)])
+        flags = WORD_HIT * (word > 0) | BEGINNING_HIT * (begin > 0) | min(255, round(8 * max(word, begin))) << EVIDENCE_SHIFT
+        flags |= SECOND * (base in SECOND_PERSON) | OBFUSCATED * obfuscated | CAPITALS * (len(raw) > 1 and raw.isupper())
+        self[raw] = flags
         return flags
 
 
@@ -93,7 +99,8 @@ def features(text: str | None, flags: _Flags) -> list[float]:
     text = text or ""
     words = text.split()
     n = max(1, len(words))
-    found = np.fromiter(map(flags.__getitem__, words), np.uint8, len(words))
+    found = np.fromiter(map(flags.__getitem__, words), np.uint16, len(words))
+    evidence = (found >> EVIDENCE_SHIFT) / 8
     word_hits, beginning_hits = int(np.count_nonzero(found & WORD_HIT)), int(np.count_nonzero(found & BEGINNING_HIT))
     hits = np.flatnonzero(found & (WORD_HIT | BEGINNING_HIT))
     near = 0
@@ -111,7 +118,7 @@ def features(text: str | None, flags: _Flags) -> list[float]:
     return [
         word_hits / n, np.log1p(word_hits), beginning_hits / n, np.log1p(beginning_hits), np.log1p(near),
         capitals / letters, np.count_nonzero(found & CAPITALS) / n, marks / max(1, len(raw)),
-        np.count_nonzero(odd) / n, np.log1p(np.count_nonzero(odd & (found & (WORD_HIT | BEGINNING_HIT) > 0))), np.log1p(len(words)),
+        np.count_nonzero(odd) / n, np.log1p(np.count_nonzero(odd & (found & (WORD_HIT | BEGINNING_HIT) > 0))), np.log1p(len(words)), float(evidence.max(initial=0.0)), np.log1p(evidence.sum()),
     ]
 
 
@@ -156,12 +163,12 @@ def lexicons_of(train: DataFrame) -> list[Lexicon]:
     out = []
     for left in [*range(FOLDS), None]:
         use = [k for k in range(FOLDS) if k != left]
-        terms = []
+        terms, bad, good = {}, max(1.0, totals[1][use].sum()), max(1.0, totals[0][use].sum())
         for r in rows:
             t, c = sum(r[f"n1{k}"] for k in use), sum(r[f"n0{k}"] for k in use)
-            if t >= MIN_TOXIC * len(use) / FOLDS and t / max(1, totals[1][use].sum()) >= MIN_LIFT * (c + 0.5) / max(1, totals[0][use].sum()):
-                terms.append(r["term"])
-        out.append(Lexicon(frozenset(t[1:] for t in terms if t[0] == "="), frozenset(t for t in terms if t[0] != "=")))
+            if t >= MIN_TOXIC * len(use) / FOLDS and t / bad >= MIN_LIFT * (c + 0.5) / good:
+                terms[r["term"]] = float(np.log((t + 0.5) / bad * good / (c + 0.5)))
+        out.append(Lexicon({t[1:]: w for t, w in terms.items() if t[0] == "="}, {t: w for t, w in terms.items() if t[0] != "="}))
     return out
 
 
@@ -187,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
     rate = share.get(1, 0) / max(1, sum(share.values()))
     if len(share) < 2:
-        return Model(Lexicon(frozenset(), frozenset()), None, None, rate)
+        return Model(Lexicon({}, {}), None, None, rate)
     lexicons = lexicons_of(train)
     rows = with_features(train.select(F.struct("label", "fold").alias("key"), "text", F.col("fold").alias("lexicon")), lexicons)
     rows = written(rows.select("key.label", "key.fold", "features").coalesce(2), "toxicity-features").withColumn("features", array_to_vector("features"))
