@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linespark.llm import languages, mixing, sentencepieces, simhash, substrings
-from linespark.llm.common import written
+from linespark.llm.common import shipped, written
 from linespark.llm.queries import MIXING_TARGETS, domain_labels
 
 #: Wanted tokens after mixing over those before it; above 1 so that good texts are kept and rare domains repeated.
@@ -25,14 +25,9 @@ def _name_beside(df: DataFrame, name: str) -> str:
     return name
 
 
-def _with_text_beside(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents with a second text column, for operators that carry all others through."""
-    name = _name_beside(docs, "own_text")
-    return docs.withColumn(name, F.col("text")), name
-
-
-def _columns(docs: DataFrame, source: str) -> list[Column]:
-    return [F.col(f"{source}.`{c}`").alias(c) for c in docs.columns]
+def _columns(docs: DataFrame, source: str, **new: Column) -> list[Column]:
+    """The documents' columns in order: the new ones given, the others from a struct."""
+    return [(new[c] if c in new else F.col(f"{source}.`{c}`")).alias(c) for c in docs.columns]
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +38,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = languages.learn(docs)
     if not model.names:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    both, name = _with_text_beside(docs)
-    found = languages.identify(both, model, text_col=name, with_spans=False).filter(F.col("lang_pred") != languages.UNKNOWN)
-    fill = {"lang": F.coalesce("key.lang", "lang_pred")} if "lang" in docs.columns else {}
-    return found.select(*(fill[c].alias(c) if c in fill else F.col(f"key.`{c}`").alias(c) for c in docs.columns))
+    found = languages.identify(docs, model, with_spans=False, with_text=True).filter(F.col("lang_pred") != languages.UNKNOWN)
+    return found.select(*_columns(docs, "key", text=F.col("text"), lang=F.coalesce("key.lang", "lang_pred")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +58,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return found.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return found.select(*_columns(docs, "row", **new))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,25 +66,23 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     domains = mixing.learn(docs, domain_labels(docs, labels))
     fit = mixing.fit_rates(mixing.memberships(docs.select("doc_id", "text"), domains), domains, MIXING_TARGETS, MIXING_BUDGET)
-    both, name = _with_text_beside(docs)
-    rated = mixing.with_rates(mixing.memberships(both, domains, text_col=name), fit, domains)
-    times = mixing.copies(F.col("rate"), "key.doc_id", "key.text").cast("int")
-    return rated.select("key", F.explode(F.array_repeat(F.lit(0), times))).select(*_columns(docs, "key"))
+    times = mixing.copies(F.col("rate"), "key.doc_id", "text").cast("int")
+    return mixing.rated(docs, domains, fit).select("key", "text", F.explode(F.array_repeat(F.lit(0), times))).select(*_columns(docs, "key", text=F.col("text")))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and whether the original library gives the same."""
     found = sentencepieces.encode(docs)
-    return found.select("key.doc_id", "key.lang", "key.source", "token_ids", "n_tokens", "parity")
+    return found.select("key.doc_id", "key.lang", "key.source", "token_ids", "n_tokens", "parity", "round_trip")
 
 
 #: Stages as (name, function of (spark, docs, sf_dir)).
 STAGES = [
-    ("language", identify_languages),
-    ("near_duplicates", drop_near_duplicates),
-    ("substrings", drop_repeated_passages),
-    ("mixing", mix_domains),
-    ("sentencepiece", encode_tokens),
+    ("language", shipped(identify_languages)),
+    ("near_duplicates", shipped(drop_near_duplicates)),
+    ("substrings", shipped(drop_repeated_passages)),
+    ("mixing", shipped(mix_domains)),
+    ("sentencepiece", shipped(encode_tokens)),
 ]
 
 #: SQL can't express the classifiers or the tokenizer; tests hold the stages against plain versions.

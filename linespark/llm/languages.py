@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import lean, pieces
 
 UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 1500
@@ -36,7 +36,7 @@ SWITCH = 12.0
 FLOOR = 8.0
 #: A language is written in a script that holds this share of its letters.
 SCRIPT_SHARE = 0.01
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 19
 
 # First and last code points of the main Unicode script blocks.
 SCRIPT_RANGES = [
@@ -197,7 +197,8 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
-def _label(batches: Iterable[pa.RecordBatch], model: Model, with_spans: bool) -> Iterator[pa.RecordBatch]:
+@lean
+def _label(batches: Iterable[pa.RecordBatch], model: Model, with_spans: bool, with_text: bool) -> Iterator[pa.RecordBatch]:
     span_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
     for batch in pieces(batches, 1, PIECE_BYTES):
         n = batch.num_rows
@@ -218,18 +219,19 @@ def _label(batches: Iterable[pa.RecordBatch], model: Model, with_spans: bool) ->
                     runs = np.r_[np.flatnonzero(np.r_[True, path[1:] != path[:-1]]), len(path)] + lo
                     ends = words.begin + words.size - words.bases[text]
                     spans[text] = [{"begin": int(words.begin[i] - words.bases[text]), "end": int(ends[j - 1]), "lang": model.names[path[i - lo]]} for i, j in zip(runs[:-1], runs[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(spans, span_type)], ["key", "lang_pred", "score", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(spans, span_type), batch.column(1) if with_text else pa.nulls(n, pa.string())], ["key", "lang_pred", "score", "spans", "text"])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = True) -> DataFrame:
-    """(key, lang_pred, score, spans) of every row; ``key`` holds all other columns.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = True, with_text: bool = False) -> DataFrame:
+    """(key, lang_pred, score, spans, text) of every row; ``key`` holds all other columns.
 
-    Spans have the code points [begin, end) from a run's first word to its last.
+    Spans have the code points [begin, end) from a run's first word to its last. Without
+    ``with_spans`` and ``with_text`` those columns are null.
     """
     key = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _label(batches, model, with_spans), f"key {kind}, lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>")
+    return rows.mapInArrow(lambda batches: _label(batches, model, with_spans, with_text), f"key {kind}, lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>, text string")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import lean, pieces, written
 from .substrings import WordHashes
 
 SAMPLE_PER_DOMAIN = 1500
@@ -41,7 +41,7 @@ EVIDENCE_WORDS = 12.0
 GRID = 100
 STEPS = 60
 PULL = 1e-3
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -107,12 +107,16 @@ def posteriors(texts: list[str | None], domains: Domains, hashes: WordHashes) ->
     return sizes, whole / GRID
 
 
-def _members(batches: Iterable[pa.RecordBatch], domains: Domains) -> Iterator[pa.RecordBatch]:
+@lean
+def _members(batches: Iterable[pa.RecordBatch], domains: Domains, fit: Fit | None) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in pieces(batches, 1, PIECE_BYTES):
         sizes, found = posteriors(batch.column(1).to_pylist(), domains, hashes)
         flat = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * len(domains.names), found.ravel())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), flat], ["key", "n_tokens", "posterior"])
+        columns = {"key": batch.column(0), "n_tokens": pa.array(sizes), "posterior": flat}
+        if fit is not None:
+            columns |= {"rate": pa.array(fit.rates(found)), "text": batch.column(1)}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def memberships(docs: DataFrame, domains: Domains, text_col: str = "text") -> DataFrame:
@@ -120,7 +124,15 @@ def memberships(docs: DataFrame, domains: Domains, text_col: str = "text") -> Da
     key = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _members(batches, domains), f"key {kind}, n_tokens long, posterior array<double>")
+    return rows.mapInArrow(lambda batches: _members(batches, domains, None), f"key {kind}, n_tokens long, posterior array<double>")
+
+
+def rated(docs: DataFrame, domains: Domains, fit: Fit, text_col: str = "text") -> DataFrame:
+    """(key, n_tokens, posterior, rate, text) of every row, in one pass over the texts."""
+    key = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: _members(batches, domains, fit), f"key {kind}, n_tokens long, posterior array<double>, rate double, text string")
 
 
 @dataclass(frozen=True)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 SCALE = 256
 PIVOTS = 16
@@ -103,6 +103,7 @@ def _low_bounds(batches: Iterable[pa.RecordBatch], cells: Cells, k: int) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(np.tile(live, len(best)).astype(np.int32)), pa.array(best.ravel())], ["cell", "low"])
 
 
+@lean
 def _replicas(batches: Iterable[pa.RecordBatch], cells: Cells) -> Iterator[pa.RecordBatch]:
     live = np.flatnonzero(cells.radius >= 0)
     for batch in batches:
@@ -143,6 +144,7 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_i
     return query_ids[row[top]], data_ids[col[top]], value[top]
 
 
+@lean
 def _solve(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (cell, block, whether a query): a block's data are held, its queries stream by."""
     key, data, ids = None, [], []

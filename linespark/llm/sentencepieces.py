@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import lean, pieces
 
 MARKER = "▁"
 #: Where the public model lies on every machine; a parameter of all functions here.
@@ -214,6 +214,7 @@ def codec(data: bytes, threads: int, verify: bool) -> Codec:
     return Codec(data, threads, verify)
 
 
+@lean
 def _encode(batches: Iterable[pa.RecordBatch], data: bytes, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
     own = codec(data, threads, verify)
     for batch in pieces(batches, 1, PIECE_BYTES):
@@ -245,6 +246,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
     return rows.mapInArrow(lambda batches: _encode(batches, data, threads, verify), f"key {kind}, token_ids array<int>, n_tokens long, parity boolean, round_trip boolean")
 
 
+@lean
 def _decode(batches: Iterable[pa.RecordBatch], data: bytes, threads: int) -> Iterator[pa.RecordBatch]:
     own = codec(data, threads, False)
     for batch in pieces_of_lists(batches):

@@ -39,13 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import lean, pieces
 
 WINDOW = 20
 PREFIX_WORDS = 6
 WINDOW_HASH_BYTES = 5
 #: Bytes of text that a task looks at together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Words whose hash a task keeps at hand.
 CACHE_WORDS = 400_000
 #: Documents sampled for each shuffle partition to find prefixes to lengthen, and how many of them must hold one.
@@ -132,6 +132,7 @@ def _key(doc_id: pa.Array) -> np.ndarray:
     return doc_id.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
+@lean
 def _suffixes(batches: Iterable[pa.RecordBatch], window: int, long_prefixes: np.ndarray) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in _blocks(batches, 2):
@@ -185,6 +186,7 @@ def _blocks(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.Recor
         yield whole[0]
 
 
+@lean
 def _prefixes(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Distinct prefixes of the anchors of each text."""
     hashes = WordHashes()
@@ -195,6 +197,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64))], ["prefix"])
 
 
+@lean
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by prefix, the windows that start earlier too, as a bit mask for each row."""
     held: list[pa.RecordBatch] = []
@@ -283,6 +286,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return dealt.mapInArrow(_repeats, "doc_id long, version int, start int, mask int")
 
 
+@lean
 def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in pieces(batches, 2, BLOCK_BYTES):
@@ -300,6 +304,7 @@ def covered(n_words: int, starts: np.ndarray, masks: np.ndarray, window: int) ->
     return np.cumsum(change[:-1]) > 0
 
 
+@lean
 def _remove(batches: Iterable[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in pieces(batches, 0, BLOCK_BYTES // 4):

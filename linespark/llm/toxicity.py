@@ -35,7 +35,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import lean, pieces, written
 
 TRAIN_ROWS = 12_000
 FOLDS = 4
@@ -122,6 +122,7 @@ def features(text: str | None, flags: _Flags) -> list[float]:
     ]
 
 
+@lean
 def _feature_rows(batches: Iterable[pa.RecordBatch], lexicons: list[Lexicon]) -> Iterator[pa.RecordBatch]:
     """Batches of (key, text, number of the lexicon)."""
     flags = [_Flags(x) for x in lexicons]
@@ -135,6 +136,7 @@ def with_features(rows: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
     return rows.select("key", "text", "lexicon").mapInArrow(lambda batches: _feature_rows(batches, lexicons), f"key {kind}, features array<double>")
 
 
+@lean
 def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (text, label, fold): in how many texts each word and beginning is found."""
     for batch in pieces(batches, 0, PIECE_BYTES):
