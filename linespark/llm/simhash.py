@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import lean, pieces, written
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -41,6 +41,8 @@ CHUNK = 1 << 16
 PIECE_BYTES = 8 << 20
 #: Rows of one anchor compared at once; a larger group is compared in blocks of this size.
 BLOCK_ROWS = 2048
+#: Groups of so many rows at most are compared together, step by step.
+SMALL_GROUP = 8
 
 
 # -------------------------------------------------------------- fingerprints
@@ -67,6 +69,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
+@lean
 def _fingerprints(batches: Iterable[pa.RecordBatch], words_in: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1, PIECE_BYTES):
         prints = np.array([fingerprint(shingle_hashes(t, words_in)) for t in batch.column(1).to_pylist()], np.uint64)
@@ -123,41 +126,33 @@ def anchor_rows(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(anchors), np.concatenate(prints), np.concatenate(home)
 
 
+@lean
 def _replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         anchors, prints, home = anchor_rows(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(home)], ["anchor", "bits", "home"])
 
 
-class _Forest:
-    """Union-find over the rows of one anchor."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def spanning_links(bits: np.ndarray, threshold: int = THRESHOLD, block: int = BLOCK_ROWS) -> list[tuple[int, int]]:
-    """Index pairs that join all rows linked, directly or not, within the group: a spanning forest."""
-    forest, found = _Forest(len(bits)), []
-    for i in range(0, len(bits), block):
-        for j in range(i, len(bits), block):
-            # A few rows of the block at a time bound the memory.
-            for k in range(i, min(i + block, len(bits)), 64):
-                near = np.bitwise_count(bits[k : min(k + 64, i + block), None] ^ bits[None, j : j + block]) <= threshold
-                for x, y in zip(*np.nonzero(near), strict=True):
-                    if k + x < j + y and forest.join(k + int(x), j + int(y)):
-                        found.append((k + int(x), j + int(y)))
+    """Index pairs that join all rows linked, directly or not, within the group: a spanning forest.
+
+    Rows already joined are never compared again, so a dense group of near copies costs about one
+    pass a row, whatever its number of pairs.
+    """
+    n, found = len(bits), []
+    label = np.arange(n)
+    for i in range(0, n, block):
+        for j in range(i, n, block):
+            other = slice(j, j + block)
+            if (label[i : i + block] == label[i]).all() and (label[other] == label[i]).all():
+                continue
+            for x in range(i, min(i + block, n)):
+                apart = np.flatnonzero(label[other] != label[x]) + j
+                near = apart[np.bitwise_count(bits[apart] ^ bits[x]) <= threshold]
+                if len(near):
+                    joined, first = np.unique(label[near], return_index=True)
+                    found += [(x, int(y)) for y in near[first]]
+                    label[np.isin(label, joined)] = label[x]
     return found
 
 
@@ -167,11 +162,16 @@ def _links_of(anchors: np.ndarray, bits: np.ndarray, home: np.ndarray, threshold
     sizes = np.diff(np.r_[starts, len(anchors)])
     near_home = np.logical_or.reduceat(home, starts)
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    pairs = starts[(sizes == 2) & near_home]
-    hit = np.bitwise_count(bits[pairs] ^ bits[pairs + 1]) <= threshold
-    a.append(bits[pairs][hit])
-    b.append(bits[pairs + 1][hit])
-    for s, n in zip(starts[(sizes > 2) & near_home], sizes[(sizes > 2) & near_home], strict=True):
+    # Small groups, the most by far, are compared all together: each row with the next, the one after it, and so on.
+    few = (sizes <= SMALL_GROUP) & near_home
+    last = np.repeat(np.where(few, starts + sizes, 0), sizes)
+    for step in range(1, int(sizes[few].max(initial=1))):
+        rows = np.flatnonzero(np.arange(len(bits)) + step < last)
+        hit = rows[np.bitwise_count(bits[rows] ^ bits[rows + step]) <= threshold]
+        a.append(bits[hit])
+        b.append(bits[hit + step])
+    large = (sizes > SMALL_GROUP) & near_home
+    for s, n in zip(starts[large], sizes[large], strict=True):
         own = bits[s : s + n]
         if found := spanning_links(own, threshold):
             x, y = np.array(found).T
@@ -182,6 +182,7 @@ def _links_of(anchors: np.ndarray, bits: np.ndarray, home: np.ndarray, threshold
     return pair[:, 0], pair[:, 1]
 
 
+@lean
 def _compare(batches: Iterable[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Links from sorted rows; the last anchor of a batch is carried to the next."""
     held = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)]
