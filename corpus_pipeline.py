@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linespark.llm import languages, mixing, sentencepieces, simhash, substrings
+from linespark.llm import languages, mixing, sentencepieces, shingles, substrings
 from linespark.llm.common import shipped, written
 from linespark.llm.queries import MIXING_TARGETS, domain_labels
 
@@ -43,8 +43,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    classes = simhash.near_duplicates(docs)
+    """Keeps the document with the smallest id of each group whose five-word shingles overlap by 0.8 or more."""
+    classes = shingles.near_duplicates(docs)
     first, name = _name_beside(docs, "first_id"), _name_beside(docs, "nth")
     stays = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
     kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
