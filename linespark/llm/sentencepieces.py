@@ -7,9 +7,10 @@ by score for models of the pair-merging kind) and byte fallback. Rows are encode
 on several threads, and parity with the original library is verified for every row.
 
 Where no piece has a marker behind another character and no white space is rewritten, a text
-can be cut before each run of markers without a change of its tokens. Then each distinct word
-of a task is encoded once, in batches, and texts are put together from their words' ids.
-Other models encode whole texts.
+can be cut before each run of markers without a change of its tokens; spaces and literal
+markers are the same there, so a run may hold both. Then each distinct word of a task is
+encoded once, in batches, and texts are put together from their words' ids. Other models encode
+whole texts. The original library always encodes whole texts.
 
 Defined cases: a null text has null results; an empty text has no tokens; further columns are
 carried in ``key``; an empty table gives an empty table.
@@ -39,8 +40,6 @@ THREADS = 2
 PIECE_BYTES = 2 << 20
 CACHE_WORDS = 150_000
 WORDS_TOGETHER = 64
-#: A normaliser message whose dummy prefix is off.
-NO_PREFIX = b"\x1a\x02\x18\x00"
 
 # Fixed values of the model message: piece kinds and model kinds.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -156,17 +155,15 @@ class Codec:
             MARKER in p.lstrip(MARKER) or "\n" in p or kind == USER_DEFINED for p, _, kind in model.pieces
         )
         self.tokenizer = build(model, whole=not self.by_word)
-        self.cut = re.compile("\n| +[^ \n]*|[^ \n]+").findall
+        self.cut = re.compile(f"\n|[ {MARKER}]+[^ {MARKER}\n]*|[^ {MARKER}\n]+").findall
         self.line = next((i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE and p == "<0x0A>"), -1)
         self.known: dict[str, bytes] = {"\n": array("i", [self.line]).tobytes()}
-        self.odd: set[str] = set()
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(MARKER, " ").encode("utf-8") for p, _, kind in model.pieces]
         self.original = None
         if verify:
             import sentencepiece
 
-            # Words are encoded without the prefix: a later normaliser message in the model overrides that flag.
-            self.original = sentencepiece.SentencePieceProcessor(model_proto=data + NO_PREFIX * self.by_word)
+            self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def learn(self, words: list[str]) -> None:
         """Encode new words, WORDS_TOGETHER in a text: a line feed, which no piece holds, parts them."""
@@ -180,23 +177,21 @@ class Codec:
             for word, end in zip(group, ends, strict=True):
                 self.known[word] = raw[4 * at : 4 * end]
                 at = end + 1
-        if self.original is not None:
-            for group, a, b in zip(groups, found, self.original.encode(texts, num_threads=self.threads), strict=True):
-                if a != b:
-                    self.odd.update(w for w in group if self.known[w] != array("i", self.original.encode(w)).tobytes())
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """The ids of each text as 32-bit numbers, and whether the original library gives the same."""
-        if not self.by_word:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            same = [True] * len(texts) if self.original is None else [a == b for a, b in zip(found, self.original.encode(texts, num_threads=self.threads), strict=True)]
-            return [array("i", i).tobytes() for i in found], same
+        found = self.encode_words(texts) if self.by_word else [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.original is None:
+            return found, [True] * len(texts)
+        return found, [a == array("i", b).tobytes() for a, b in zip(found, self.original.encode(texts, num_threads=self.threads), strict=True)]
+
+    def encode_words(self, texts: list[str]) -> list[bytes]:
         prefix = " " if self.model.add_dummy_prefix else ""
         cut = [self.cut(prefix + t) if t else [] for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {"\n": self.known["\n"]}
         self.learn([*set().union(*cut).difference(self.known)])
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut], [not self.odd or self.odd.isdisjoint(words) for words in cut]
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         if self.by_word and self.model.kind == PAIRS:

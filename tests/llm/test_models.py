@@ -170,6 +170,23 @@ def test_tokenizer_parity(model):
     assert codec.decode(ids) == [original.decode(i) for i in ids]
 
 
+def test_literal_markers_beside_spaces():
+    import sentencepiece
+
+    data = open(sentencepieces.MODEL_PATH, "rb").read()
+    original = sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(8)
+    texts = ["▁ ▂ ▃ ▁ ▁", "trend ▁▂▁ ▁ end", *("".join(rng.choices(["▁", " ", "▂", "the", "a", "\n", "é"], k=rng.randint(1, 40))) for _ in range(2000))]
+    found, same = sentencepieces.Codec(data, 2, True).encode(texts)
+    assert [np.frombuffer(f, np.int32).tolist() for f in found] == original.encode(texts) and all(same)
+
+
+def test_parity_is_held_against_whole_texts():
+    codec = sentencepieces.Codec(open(sentencepieces.MODEL_PATH, "rb").read(), 2, True)
+    codec.cut = lambda text: list(text)
+    assert codec.encode(["two words", ""])[1] == [False, True]
+
+
 def test_encode_and_decode_rows(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([None, *ODD, "word " * 60_000])], "doc_id long, text string, parity string")
     rows = sentencepieces.encode(df)
