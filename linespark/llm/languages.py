@@ -177,9 +177,11 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best label of each word, if each change of label costs ``switch``."""
     total = scores.sum(axis=0)
     single = int(total.argmax())
-    # If no run of words gains more than one switch elsewhere, no change of label pays.
-    ahead = np.cumsum(scores - scores[:, [single]], axis=0)
-    lowest = np.minimum.accumulate(np.concatenate([np.zeros((1, scores.shape[1])), ahead[:-1]]), axis=0)
+    # Each run of words labelled otherwise costs one switch at least, even if it is the whole text with labels of its own.
+    # So no change pays if no run gains more, not even with the best other label for each word.
+    others = np.delete(scores, single, axis=1).max(axis=1, initial=-np.inf) - scores[:, single]
+    ahead = np.cumsum(np.maximum(others, -1e9))
+    lowest = np.minimum.accumulate(np.r_[0.0, ahead[:-1]])
     if (ahead - lowest).max() <= switch:
         return np.full(len(scores), single)
     value, back = scores[0].copy(), np.zeros(scores.shape, np.int32)

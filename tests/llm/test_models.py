@@ -30,6 +30,12 @@ def test_viterbi_is_optimal(seed):
         assert value == pytest.approx(best_path(scores, switch))
 
 
+def test_viterbi_may_leave_the_best_single_label():
+    scores = np.array([[0.0, -8, -2]] * 5 + [[-8.0, 0, -2]] * 5)
+    assert languages.viterbi(scores, 12.0).tolist() == [0] * 5 + [1] * 5
+    assert languages.viterbi(np.zeros((4, 1)), 12.0).tolist() == [0] * 4
+
+
 def test_language_accuracy_spans_and_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = languages.learn(docs.filter(~languages.held_out()))
