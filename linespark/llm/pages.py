@@ -1,32 +1,38 @@
 """Main text of web pages by site style trees.
 
-Pages of one host share a template. Their DOMs are merged into the host's style tree: a node
-is a path of element signatures (tag and class words). For each node Spark gathers, over all
-pages of the host,
-
-* how its contents are spread: a content found on k of m pages has importance 1 - log_m(k);
-* how its presentation varies: the entropy (base m) of its numbers of blocks per page;
-* which share of its text is link text.
-
-A node's importance is ``GAMMA`` of the first plus the rest of the second, less the link share.
-Branches below ``LOW`` are removed from every page of the host (after Yi, Liu and Li,
-"Eliminating Noisy Information in Web Pages", KDD 2003). Two kinds of nodes are judged without
-the tree: parts whose tag or class names their role (menus, footers, adverts, comments and so
-on) never count, and text inside ``article`` or ``main`` always counts; where a page has such
-an element, the text outside of it is left out.
+Pages of one host share a template. Their DOMs are merged into the host's style tree: a node is a
+path of element signatures (tag and class words, without numbers; ids are no part of it, so a
+host has as many nodes as its templates have). For each node Spark gathers, over all pages of
+the host and all of its text blocks, also those inside of ``article``,
+
+* how its contents are spread: a content found on n of m pages has importance 1 - log(n) to the
+  base m; a node's is the mean over its text;
+* how its presentation varies: the entropy (to the base m) of its numbers of blocks per page;
+* which share of its text is link text, lies in ``article`` or ``main``, or lies in an element
+  whose class names a role that is no main text.
+
+Importance is ``GAMMA`` of the first plus the rest of the second, lowered by what else is known of
+the node: link text counts against nodes outside of articles; a node outside of articles counts
+the less, the more of the host's text lies in articles; a role's name takes ``ROLE_WEIGHT`` of it.
+Branches below ``LOW`` are removed from every page of the host (after Yi, Liu and Li, "Eliminating
+Noisy Information in Web Pages", KDD 2003), and so are single contents that most pages have.
+All logs are to the base m + ``SMOOTHING``: the fewer pages a host has, the less they prove.
+
+Pages of a host that have their longest block in common are copies and count once. A role's name
+says nothing if its element holds an article or nearly all of the page (``WHOLE``).
+
+Without the tree go only element kinds that are never main text: menus (``nav``), headers outside
+of articles, footers, sidebars (``aside``), scripts, styles, controls, and what is hidden.
 
 Defined cases: a null page is empty; a page without text gives an empty text; pages without a
-host form one site of their own each and are judged by roles alone, as are hosts with fewer
-than ``MIN_PAGES`` pages or none but low nodes (copies of one page); unfinished tags at the end
-are markup; rows repeated count as pages of their own; an empty table gives an empty table;
-further columns are carried in ``key``.
+host form one site of their own each; unfinished tags at the end are markup; rows repeated count
+once in the tree; an empty table gives an empty table; further columns are carried in ``key``.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -38,7 +44,11 @@ from pyspark.sql import functions as F
 
 from .common import lean, pieces, written
 
-GAMMA, LOW, MIN_PAGES = 0.9, 0.25, 4
+GAMMA, LOW, SMOOTHING = 0.9, 0.25, 4
+#: What the name of a role takes from a node's importance, and the share of a page from which on it says nothing.
+ROLE_WEIGHT, WHOLE = 0.8, 0.9
+#: A content on more than this share of a host's pages is removed by itself.
+COMMON = 0.5
 PIECE_BYTES = 8 << 20
 
 # Fixed values of HTML: elements by kind.
@@ -50,38 +60,56 @@ BLOCK = {
     "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CLOSES_PARAGRAPH = BLOCK - {"br", "body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
-#: Elements closed by another start tag of the list, up to the scope.
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-# Elements and class words of parts that are no main text.
-ROLE_TAGS = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "button", "select", "textarea", "dialog", "menu", "title", "datalist", "audio", "video", "map"}
+#: Elements that a start tag closes, by group: which tags belong to it, which ask for it, and where the search ends.
+GROUPS = {
+    "p": ({"p"}, CLOSES_PARAGRAPH, {"table", "button", "td", "th", "caption", "div", "article", "section", "li"}),
+    "li": ({"li"}, {"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    "tr": ({"tr"}, {"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"td", "th", "tr"}, {"table"}),
+    "option": ({"option"}, {"option"}, {"select"}),
+}
+# Elements, and values of the attribute role, that are never main text.
+GONE = {"head", "nav", "footer", "aside", "script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "button", "select", "textarea", "dialog", "menu", "title", "datalist", "audio", "video", "map"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
+# Class words that name a role which is no main text, and words that may stand beside them in a name.
 ROLE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidenav aside rail footer foot "
-    "masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations "
-    "comment comments commentlist disqus replies widget widgets pagination pager copyright skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidenav footer "
+    "masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended "
+    "comment comments commentlist disqus replies widget widgets pagination pager header siteheader pageheader".split()
 )
-HEADER_WORDS = {"header", "head", "siteheader", "pageheader"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
+BESIDE_WORDS = set("area bar block bottom box button buttons container content field form holder inner item items label left link links list outer pane panel post right section side site slot text title top unit user wrap wrapper".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+NO_MARKS: frozenset[int] = frozenset()
+
+
+def names_role(token: str) -> bool:
+    """Whether a class or id as a whole names a role: ``cookie-notice`` does, ``share-price`` doesn't."""
+    words = [w.lower() for w in WORD.findall(token)]
+    if "".join(words) in ROLE_WORDS:
+        return True
+    return not ROLE_WORDS.isdisjoint(words) and all(w in ROLE_WORDS or w in BESIDE_WORDS for w in words)
 
 
 @lru_cache(maxsize=50_000)
 def look(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(signature, whether its role is no main text, whether it's a header) of a start tag."""
-    words: list[str] = []
-    hidden = False
+    """(signature, whether it's never main text, whether it names a role that is none) of a start tag."""
+    words: set[str] = set()
+    gone, role = tag in GONE, tag == "form"
     if "=" in attributes or "hidden" in attributes:
         for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
+            name, value = name.lower(), html.unescape(value.strip("\"'"))
             if name in ("class", "id"):
-                words += [w.lower() for w in WORD.findall(html.unescape(value))]
-            hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES) or (name == "style" and re.search(r"display\s*:\s*none", value) is not None)
-    anchor = tag in ("article", "main", "body", "html")
-    role = tag in ROLE_TAGS or hidden or (not anchor and not ROLE_WORDS.isdisjoint(words))
-    return f"{tag}.{'.'.join(sorted(set(words)))}", role, not anchor and (tag == "header" or not HEADER_WORDS.isdisjoint(words))
+                role |= any(map(names_role, value.split()))
+                if name == "class":
+                    words.update(w.lower() for w in WORD.findall(value))
+            gone |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES) or (name == "style" and re.search(r"display\s*:\s*none", value) is not None)
+    page = tag in ("article", "main", "body", "html")
+    return f"{tag}.{'.'.join(sorted(words))}", gone, role and not page
 
 
 @lru_cache(maxsize=50_000)
@@ -90,31 +118,49 @@ def _below(path: int, signature: str) -> int:
 
 
 class Block:
-    __slots__ = ("path", "core", "text", "linked")
+    __slots__ = ("path", "core", "role", "text", "linked", "content")
 
-    def __init__(self, path: int, core: bool):
-        self.path, self.core, self.text, self.linked = path, core, [], 0
+    def __init__(self, path: int, core: bool, role):
+        self.path, self.core, self.role, self.text, self.linked = path, core, role, [], 0
+
+
+class Frame:
+    """An open element: where its text belongs, and for each group of ``GROUPS`` the place of the element that it would close."""
+
+    __slots__ = ("tag", "path", "gone", "core", "link", "role", "near")
+
+    def __init__(self, tag, path, gone, core, link, role, near):
+        self.tag, self.path, self.gone, self.core, self.link, self.role, self.near = tag, path, gone, core, link, role, near
 
 
 def blocks(source: str | None) -> list[Block]:
-    """Text blocks in page order, without parts whose role is no main text."""
+    """The text blocks of a page in order, without parts that are never main text. The work is linear in the page."""
     source = source or ""
     out: list[Block] = []
-    # An open element: tag, path, whether it's left out, whether it's inside of article or main, whether it's inside of a link.
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    stack = [Frame("", 0, False, False, False, -1, {})]
+    open_tags: dict[str, int] = {}
+    # Elements that name a role: the one around each, whether it holds an article, its letters of text.
+    parents: list[int] = []
+    holds: list[bool] = []
+
+    def pop_to(place: int) -> None:
+        for frame in stack[place:]:
+            open_tags[frame.tag] -= 1
+        del stack[place:]
+
     open_block: Block | None = None
     at, end = 0, len(source)
     while at < end:
         found = MARKUP.search(source, at)
         text = source[at : found.start() if found else end]
-        _, path, gone, core, link = stack[-1]
-        if text and not gone:
+        top = stack[-1]
+        if text and not top.gone:
             if open_block is None:
-                open_block = Block(path, core)
+                open_block = Block(top.path, top.core, top.role)
                 out.append(open_block)
             text = html.unescape(text) if "&" in text else text
             open_block.text.append(text)
-            open_block.linked += len(text) if link else 0
+            open_block.linked += len(text) if top.link else 0
         if not found:
             break
         at = found.end()
@@ -125,120 +171,186 @@ def blocks(source: str | None) -> list[Block]:
         if tag in BLOCK:
             open_block = None
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_tags.get(tag):
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                pop_to(place)
             continue
-        if tag in CLOSES_PARAGRAPH:
-            _close(stack, {"p"}, {"table", "button", "td", "th", "caption", "div", "article", "section", "li"})
-        if tag in SIBLINGS:
-            _close(stack, *SIBLINGS[tag])
-        signature, role, header = look(tag, found[3])
+        for group, (_, asks, _) in GROUPS.items():
+            if tag in asks and (place := stack[-1].near.get(group)):
+                pop_to(place)
+        signature, gone, role = look(tag, found[3])
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
             at = close.end() if close else end
             continue
         if tag in VOID or found[3].endswith("/") and tag not in BLOCK:
             continue
-        _, path, gone, core, link = stack[-1]
-        stack.append((tag, _below(path, signature) if tag in BLOCK else path, gone or role or (header and not core), core or tag in ("article", "main"), link or tag == "a"))
-    return [b for b in out if "".join(b.text).strip()]
-
-
-def _close(stack: list, tags: set[str], scope: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in tags:
-            del stack[i:]
-            return
-        if stack[i][0] in scope:
-            return
-
-
-def main_text(source: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The page's main text; ``low`` are paths of the host's style tree that are removed."""
+        top = stack[-1]
+        core, holder = top.core, top.role
+        if tag in ("article", "main"):
+            core = True
+            if holder >= 0:
+                holds[holder] = True
+        if role:
+            parents.append(holder)
+            holds.append(False)
+            holder = len(parents) - 1
+        near = top.near
+        for group, (tags, _, scope) in GROUPS.items():
+            if tag in tags:
+                near = near | {group: len(stack)}
+            elif tag in scope and group in near:
+                near = {g: p for g, p in near.items() if g != group}
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        stack.append(Frame(tag, _below(top.path, signature) if tag in BLOCK else top.path, top.gone or gone or (tag == "header" and not core), core, top.link or tag == "a", holder, near))
+    return _judged(out, parents, holds)
+
+
+def _judged(found: list[Block], parents: list[int], holds: list[bool]) -> list[Block]:
+    """The blocks that have text, joined and hashed; ``role`` says whether a role's name counts for them."""
+    out, sizes = [], [0] * len(parents)
+    for b in found:
+        b.text = " ".join("".join(b.text).split())
+        if b.text:
+            b.content = xxhash.xxh64_intdigest(b.text) >> 1
+            b.linked = min(b.linked, len(b.text))
+            out.append(b)
+            if b.role >= 0:
+                sizes[b.role] += len(b.text)
+    total = sum(len(b.text) for b in out)
+    for i in range(len(parents) - 1, -1, -1):
+        if parents[i] >= 0:
+            sizes[parents[i]] += sizes[i]
+            holds[parents[i]] |= holds[i]
+    counts: list[bool] = []
+    for i, parent in enumerate(parents):
+        counts.append((not holds[i] and sizes[i] < WHOLE * total) or (parent >= 0 and counts[parent]))
+    for b in out:
+        b.role = b.role >= 0 and counts[b.role]
+    return out
+
+
+def low_alone(found: list[Block]) -> frozenset[int]:
+    """The low nodes of a page whose host has no other page."""
+    sums: dict[int, np.ndarray] = {}
+    for b in found:
+        n = len(b.text)
+        own = np.array([n, 0 if b.core else b.linked, n if b.core else 0, n if b.role else 0], np.float64)
+        sums[b.path] = sums.get(b.path, 0) + own
+    article = sum(x[2] for x in sums.values()) / max(1, sum(x[0] for x in sums.values()))
+    known = {path: (1 - x[1] / x[0]) * (1 - (1 - x[2] / x[0]) * article) * (1 - ROLE_WEIGHT * x[3] / x[0]) for path, x in sums.items()}
+    return frozenset(path for path, value in known.items() if GAMMA * value < LOW)
+
+
+def main_text(source: str | None, low: frozenset[int] | None = None, common: frozenset[int] = NO_MARKS) -> str:
+    """The page's main text; ``low`` are nodes of its host's style tree that are removed, ``common`` contents.
+
+    Without ``low`` the page is judged as the only one of its host.
+    """
     found = blocks(source)
-    if any(b.core for b in found):
-        found = [b for b in found if b.core]
-    else:
-        found = [b for b in found if b.path not in low]
-    return " ".join(" ".join("".join(b.text).split()) for b in found)
+    low = low_alone(found) if low is None else low
+    return " ".join(b.text for b in found if b.path not in low and b.content not in common)
 
 
 # -------------------------------------------------------------------- Spark
 
+#: Kinds of tree rows: a content of a node, a number of blocks of a node, and a page (with path 0).
+CONTENT, SHAPE, PAGE = 0, 1, 2
+ROWS = "host string, path long, kind int, value long, page long, size long, linked long, inner long, named long"
 
-@lean
-def _node_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, value, n, size, linked) summed over the pages of a piece.
 
-    Kind 0: a content and on how many pages it is; kind 1: a number of blocks and on how many
-    pages the node has it.
-    """
+@lean
+def _tree_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each content and shape of a page's nodes; ``page`` is named by its longest block."""
+    types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
     for batch in pieces(batches, 1, PIECE_BYTES):
-        pages_of: Counter = Counter()
-        size: Counter = Counter()
-        linked: Counter = Counter()
+        rows: dict[tuple, tuple] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen, number = set(), Counter()
-            for b in blocks(source):
-                if b.core:
-                    continue
-                text = " ".join("".join(b.text).split())
-                number[b.path] += 1
-                key = (host, b.path, 0, xxhash.xxh64_intdigest(text) >> 1)
-                seen.add(key)
-                size[key] += len(text)
-                linked[key] += min(len(text), b.linked)
-            seen |= {(host, path, 1, n) for path, n in number.items()}
-            pages_of.update(seen)
-        keys = [*pages_of]
-        columns = list(zip(*keys, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(columns[0]), pa.string()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int32()), pa.array(list(columns[3]), pa.int64()), pa.array([pages_of[k] for k in keys], pa.int64()), pa.array([size[k] for k in keys], pa.int64()), pa.array([linked[k] for k in keys], pa.int64())],
-            ["host", "path", "kind", "value", "n", "size", "linked"],
-        )
-
-
-def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, importance) of each node outside of article and main, for hosts with MIN_PAGES pages."""
-    rows = pages.select(F.lower(F.regexp_extract(F.col(url_col).cast("string"), HOST, 1)).alias("host"), F.col(html_col).cast("string").alias("html")).filter("host <> ''")
-    sites = rows.groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_PAGES)
-    counts = rows.mapInArrow(_node_rows, "host string, path long, kind int, value long, n long, size long, linked long")
-    values = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
-    spread = F.ln("n")
-    nodes = values.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("size"))).alias("size"),
-        F.sum(F.when(F.col("kind") == 0, F.col("linked"))).alias("linked"),
-        F.sum(F.when(F.col("kind") == 0, F.col("size") * spread)).alias("content"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("on_pages"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") * spread)).alias("shapes"),
+            found = blocks(source)
+            if not found:
+                continue
+            page = max(found, key=lambda b: len(b.text)).content
+            shapes: dict[int, int] = {}
+            for b in found:
+                n = len(b.text)
+                shapes[b.path] = shapes.get(b.path, 0) + 1
+                rows[host, b.path, CONTENT, b.content, page] = (n, 0 if b.core else b.linked, n if b.core else 0, n if b.role else 0)
+            rows.update({(host, path, SHAPE, n, page): (0, 0, 0, 0) for path, n in shapes.items()})
+            rows[host, 0, PAGE, page, page] = (0, 0, 0, 0)
+        columns = list(zip(*(k + v for k, v in rows.items()), strict=True)) or [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in ROWS.split(", ")])
+
+
+def _site(url_col: str, html_col: str):
+    """The page's host in lower case, or a name of its own for a page that has none."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), HOST, 1))
+    return F.when(host != "", host).otherwise(F.concat(F.lit("page:"), F.hex(F.xxhash64(F.col(html_col).cast("string")))))
+
+
+def merged_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, kind, value, pages, n, size, linked, inner, named): the style trees' contents and shapes.
+
+    ``n`` is on how many pages one is; what is on one page alone is summed up to one row a node
+    (value null, ``pages`` of them). The other numbers are summed over the pages.
+    """
+    rows = pages.select(_site(url_col, html_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(_tree_rows, ROWS)
+    sums = ("size", "linked", "inner", "named")
+    once = rows.groupBy("host", "path", "kind", "value", "page").agg(*(F.max(c).alias(c) for c in sums))
+    spread = once.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    shared = spread.withColumn("value", F.when(F.col("n") > 1, F.col("value")))
+    return shared.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("pages"), F.max("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+
+
+def style_trees(merged: DataFrame) -> DataFrame:
+    """(host, path, importance, m) of each node of the hosts' style trees; m is the host's number of pages."""
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
+    nodes = merged.groupBy("host", "path").agg(
+        of(PAGE, F.col("pages")).alias("m"),
+        *(F.sum(c).alias(c) for c in ("size", "linked", "inner", "named")),
+        of(CONTENT, F.col("size") * F.ln("n")).alias("content"),
+        of(SHAPE, F.col("pages")).alias("on_pages"),
+        of(SHAPE, F.col("pages") * F.ln("n")).alias("shapes"),
     )
-    own, base = nodes.join(sites, "host"), F.ln(F.col("m").cast("double"))
-    content = 1 - F.col("content") / F.greatest(F.col("size"), F.lit(1)) / base
+    nodes = nodes.withColumns({c: F.col(c).cast("double") for c in ("size", "linked", "inner", "named")})
+    sites = nodes.groupBy("host").agg(F.sum("m").alias("m"), (F.sum("inner") / F.sum("size")).alias("article"))
+    own = nodes.filter("size > 0").drop("m").join(sites, "host")
+    base = F.ln(F.col("m") + SMOOTHING)
+    content = 1 - F.col("content") / F.col("size") / base
     shapes = (F.ln("on_pages") - F.col("shapes") / F.col("on_pages")) / base
-    links = F.col("linked") / F.greatest(F.col("size"), F.lit(1))
-    return own.select("host", "path", ((GAMMA * content + (1 - GAMMA) * shapes) * (1 - links)).alias("importance"))
+    share = lambda c: F.col(c) / F.col("size")
+    known = (1 - share("linked")) * (1 - (1 - share("inner")) * F.col("article")) * (1 - ROLE_WEIGHT * share("named"))
+    return own.select("host", "path", ((GAMMA * content + (1 - GAMMA) * shapes) * known).alias("importance"), "m")
+
+
+def removals(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(site, low, common) of each host: nodes below ``LOW``, and contents that more than ``COMMON`` of its pages have."""
+    merged = written(merged_trees(pages, url_col, html_col), "style-trees")
+    trees = written(style_trees(merged), "style-nodes")
+    sites = trees.groupBy("host").agg(F.first("m").alias("m"))
+    low = trees.filter(F.col("importance") < LOW).select("host", F.col("path").alias("low"), F.lit(None).cast("long").alias("common"))
+    often = merged.filter(F.col("value").isNotNull() & (F.col("kind") == CONTENT)).join(sites, "host").filter(F.col("n") > COMMON * (F.col("m") + SMOOTHING))
+    both = low.unionByName(often.select("host", F.lit(None).cast("long").alias("low"), F.col("value").alias("common")))
+    return both.groupBy(F.col("host").alias("site")).agg(F.collect_set("low").alias("low"), F.collect_set("common").alias("common"))
 
 
 @lean
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1, PIECE_BYTES):
-        texts = [main_text(source, frozenset(low or ())) for source, low in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        texts = [main_text(source, frozenset(low or ()), frozenset(common or ())) for source, low, common in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["key", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(key, text, n_chars) of every page; ``key`` holds all columns but the source.
 
-    Low nodes are written first, so that Spark knows their size: it sends them to the pages
-    where they are few and else joins by host.
+    What is removed is written first, so that Spark knows its size: it is sent to the pages where
+    it's small and else joined by host.
     """
-    nodes = style_trees(pages, url_col, html_col)
-    low = nodes.groupBy("host").agg(F.collect_list(F.when(F.col("importance") < LOW, F.col("path"))).alias("low"), F.max("importance").alias("best"))
-    low = written(low.filter((F.size("low") > 0) & (F.col("best") >= LOW)).select(F.col("host").alias("site"), "low"), "style-trees")
+    gone = written(removals(pages, url_col, html_col), "style-removals")
     key = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c != html_col))
-    rows = pages.select(key.alias("key"), F.col(html_col).cast("string").alias("html"), F.lower(F.regexp_extract(F.col(url_col).cast("string"), HOST, 1)).alias("host"))
-    met = rows.join(low, rows["host"] == low["site"], "left").select("key", "html", "low")
+    rows = pages.select(key.alias("key"), F.col(html_col).cast("string").alias("html"), _site(url_col, html_col).alias("host"))
+    met = rows.join(gone, rows["host"] == gone["site"], "left").select("key", "html", "low", "common")
     kind = met.schema["key"].dataType.simpleString()
     return met.mapInArrow(_extract, f"key {kind}, text string, n_chars long")

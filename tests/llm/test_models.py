@@ -234,6 +234,88 @@ def test_style_tree_removes_low_nodes_without_roles(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def tree_by_hand(rows):
+    """Importance of each (host, path) by plain loops over pages: [(host, html)]."""
+    import math
+
+    sites = {}
+    for host, source in rows:
+        found = pages.blocks(source)
+        if found:
+            longest = max(len(b.text) for b in found)
+            sites.setdefault(host, {}).setdefault(next(b.text for b in found if len(b.text) == longest), []).append(found)
+    out = {}
+    for host, by_page in sites.items():
+        m = len(by_page)
+        size = inner = 0
+        nodes = {}
+        for page, copies in by_page.items():
+            seen = {(b.path, b.text): b for found in copies for b in found}
+            for (path, text), b in seen.items():
+                nodes.setdefault(path, []).append((text, page, b))
+                size += len(text)
+                inner += len(text) * b.core
+        for path, own in nodes.items():
+            pages_of = {}
+            for text, page, _ in own:
+                pages_of.setdefault(text, set()).add(page)
+            letters = sum(len(t) for t, _, _ in own)
+            content = sum(len(t) * (1 - math.log(len(pages_of[t])) / math.log(m + 4)) for t, _, _ in own) / letters
+            shapes = {(page, sum(b.path == path for b in found)) for page, copies in by_page.items() for found in copies if any(b.path == path for b in found)}
+            counts = [sum(n == k for _, n in shapes) for k in {n for _, n in shapes}]
+            entropy = -sum(c / len(shapes) * math.log(c / len(shapes)) for c in counts) / math.log(m + 4)
+            links = sum(0 if b.core else b.linked for _, _, b in own) / letters
+            inside = sum(len(t) * b.core for t, _, b in own) / letters
+            named = sum(len(t) * b.role for t, _, b in own) / letters
+            out[host, path] = (0.9 * content + 0.1 * entropy) * (1 - links) * (1 - (1 - inside) * inner / size) * (1 - 0.8 * named)
+    return out
+
+
+def test_importance_equals_plain_loops(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(80)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    rows = []
+    for i in range(60):
+        parts = [f"<div class=top>{rng.choice(['Welcome', 'Hello there'])}</div>", f"<div class='ad box'>{say(3)}</div>", f"<ul class=links{i}><li><a href=x>{say(2)}</a> and {say(1)}</ul>"]
+        parts += [f"<{'article' if i % 3 else 'div class=story'}>" + "".join(f"<p>{say(9)}</p>" for _ in range(1 + i % 4)) + "<p class=legal>Printed in 2020</p>" + f"</{'article' if i % 3 else 'div'}>"]
+        rows.append((i, f"http://h{i % 4 if i < 50 else 4}.example/{i}", "".join(parts)))
+    rows += [(100 + i, *rows[0][1:]) for i in range(3)] + [(200, rows[1][1], rows[1][2].replace("Welcome", "Bye")), (201, None, "<p>no host"), (202, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    nodes = pages.style_trees(pages.merged_trees(df)).collect()
+    ours = {(r.host, r.path): r.importance for r in nodes if not r.host.startswith("page:")}
+    theirs = tree_by_hand([(u.split("/")[2], h) for _, u, h in rows if u])
+    assert ours.keys() == theirs.keys() and all(abs(ours[k] - theirs[k]) < 1e-9 for k in ours)
+    assert sum(r.host.startswith("page:") for r in nodes) == 1
+    low = {r.site: set(r.low) for r in pages.removals(df).collect()}
+    assert {(h, p) for h, own in low.items() for p in own if not h.startswith("page:")} == {k for k, v in theirs.items() if v < 0.25}
+    found = {r.key.page_id: r.text for r in pages.extract(df).collect()}
+    assert not any("Printed" in t or "Welcome" in t for i, t in found.items() if i < 40) and found[201] == "no host"
+
+
+def test_main_text_beside_teasers_and_under_odd_names(spark):
+    say = lambda i: " ".join(f"s{i}x{k}" for k in range(60))
+    inside = lambda i: f"<h2 class=related-work>Related work {i}</h2><p class=share-price>Shares rose {i}</p><div id=login-flow>Log in first {i}</div><p class='alert-level'>Level two {i}</p>"
+    rows = [(i, f"http://a.example/{i}", f"<body><div class='site has-sidebar'><form action=x><div class=story>{say(i)}</div><article>Teaser one</article><article>Teaser two</article></form></div>") for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<form class=page><article><p>{say(100 + i)}</p>{inside(i)}<div class=comments><p>reader {i} says much more than the article, {say(i)} {say(i)}</p></div><ul><li><a href=1>source {i}</a></ul></article></form>") for i in range(9)]
+    out = {r.key.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert out[i] == say(i)
+    for i in range(9):
+        assert "reader" not in out[100 + i] and out[100 + i].startswith(say(100 + i)) and out[100 + i].endswith(f"source {i}")
+        assert all(t in out[100 + i] for t in ("Related work", "Shares rose", "Log in first", "Level two"))
+    assert say(1) in pages.main_text(rows[1][2])
+
+
+@pytest.mark.parametrize("source", ["<b>" * 50_000 + "x" + "</i>" * 50_000, "<p>" + "<b>" * 50_000 + "<div>" + "<i>" * 50_000 + "<p>y" * 50_000, "<div class=ad>" * 50_000 + "x", "<p><i>" * 50_000 + "x", "<a title='" * 50_000])
+def test_odd_pages_take_linear_time(source):
+    import time
+
+    began = time.process_time()
+    pages.blocks(source)
+    assert time.process_time() - began < 10
+
+
 # --------------------------------------------------------------------- media
 
 
