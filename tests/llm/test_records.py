@@ -239,10 +239,40 @@ def test_neighbours_equal_brute_force(spark, seed, monkeypatch):
     rows = [(int(i), [float(np.float32(x)) for x in centres[i % 6] + rng.normal(0, 0.05 if seed == 1 else 1.0, 8)]) for i in rng.permutation(400)]
     rows += [(1000 + i, rows[0][1]) for i in range(40)] + [(2000, [0.5] * 3), (2001, [0.25] * 3)]
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(neighbours, "MIN_BLOCK_ROWS", 10)
     out = neighbours.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10)
     assert {tuple(r) for r in out.select("query_id", "rank", "vec_id", "score").collect()} == brute_neighbours(rows, 5, 10)
 
 
+def test_neighbours_with_rows_of_one_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i // 4 * 10 if i < 40 else 1000 + i, [float(np.float32(x)) for x in rng.normal(0, 1, 4)]) for i in range(300)]
+    out = neighbours.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10).collect()
+    whole = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows]
+    for q in {i for i, _ in rows if i % 10 == 0}:
+        best = sorted({(-int(a @ b), j) for i, a in whole if i == q for j, b in whole if j != q})[:5]
+        assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] == [(j, -s) for s, j in best]
+
+
+def test_bounds_prune_clustered_vectors(spark):
+    """Each query reaches few blocks; no cell that holds one of its best is left out."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (40, 16))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 40] + rng.normal(0, 0.03, 16)]) for i in range(8000)]
+    df = neighbours.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding").withColumn("nth", F.lit(1))
+    cells = neighbours.cells_of(df, 64, 8000, 16)
+    queries = df.filter("vec_id % 50 = 0")
+    own, asking = neighbours.dealt(df, queries, cells, 6)
+    assert own.count() == 8000 and asking.count() < 0.15 * 160 * cells.blocks.sum()
+    whole = np.floor(256 * np.array([v for _, v in rows]).astype(np.float64))
+    where = cells.nearest(whole)
+    asked = cells.asked(whole[::50], 6)
+    for q, row in zip(range(0, 8000, 50), asked, strict=True):
+        scores = whole @ whole[q]
+        scores[q] = -np.inf
+        assert row[where[scores >= np.sort(scores)[-5]]].all()
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 2.0], 9), (0, [1.0, 2.0], 9), (1, [float("nan"), 1.0], 9), (2, [None, 1.0], 9), (3, None, 9), (4, [-1.0, 1.0], 9), (None, [1.0, 1.0], 9), (5, [float("inf"), 1.0], 9), (10, [], 9), (11, [], 9)]
     out = neighbours.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"), every=5).collect()
