@@ -353,6 +353,72 @@ def test_copies_are_found_and_others_left_apart(spark):
     assert media.copy_classes(df.limit(0)).count() == 0
 
 
+def smooth_image(rng, side):
+    """Random low frequencies: no edges, so corners are weak."""
+    frequency = np.hypot(*np.meshgrid(np.fft.fftfreq(side), np.fft.fftfreq(side))) * side
+    grey = np.real(np.fft.ifft2(np.fft.fft2(rng.normal(0, 1, (side, side))) * np.exp(-((frequency / 14) ** 2))))
+    return np.clip(127 + 50 * (grey - grey.mean()) / grey.std(), 0, 255)
+
+
+def warped(image, turn, scale):
+    h, w = image.shape
+    y, x = np.mgrid[: int(h * scale), : int(w * scale)]
+    z = ((x - (int(w * scale) - 1) / 2) + 1j * (y - (int(h * scale) - 1) / 2)) * np.exp(-1j * np.radians(turn)) / scale
+    x, y = np.clip(z.real + (w - 1) / 2, 0, w - 1.001), np.clip(z.imag + (h - 1) / 2, 0, h - 1.001)
+    a, b, u, v = y.astype(int), x.astype(int), y % 1, x % 1
+    return image[a, b] * (1 - u) * (1 - v) + image[a, b + 1] * (1 - u) * v + image[a + 1, b] * u * (1 - v) + image[a + 1, b + 1] * u * v
+
+
+EDITS = {
+    "crop": lambda rng, x: x[len(x) // 8 :, len(x) // 6 : -len(x) // 10],
+    "noise": lambda rng, x: x + rng.normal(0, 8, x.shape),
+    "gamma": lambda rng, x: 255 * (x / 255) ** 1.5,
+    "blur": lambda rng, x: media._box(x[None], 1)[0] / 9,
+    "turn": lambda rng, x: warped(x, 15, 1)[24:-24, 24:-24],
+    "three quarters": lambda rng, x: warped(x, 0, 0.75),
+    "half": lambda rng, x: warped(x, 0, 0.5),
+}
+
+
+def test_recall_of_edits(spark):
+    """Each edited copy is found, in a table with all edits at once; images of one source stand apart from the others."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(12):
+        image = smooth_image(rng, 192)
+        rows += [(100 * i, media.encode_pgm(image)), *((100 * i + 1 + k, media.encode_pgm(edit(rng, image))) for k, edit in enumerate(EDITS.values()))]
+    df = spark.createDataFrame(rows, "image_id long, media binary")
+    found = media.links(media.matches(df.mapInArrow(media._descriptors, "image_id long, place long, bits binary"))).collect()
+    direct = {(r.a, r.b) for r in found}
+    for k, name in enumerate(EDITS):
+        assert sum((100 * i, 100 * i + 1 + k) in direct for i in range(12)) >= 11, name
+    out = {r.image_id: r.class_id for r in media.copy_classes(df).collect()}
+    assert all(c == i // 100 * 100 for i, c in out.items())
+
+
+def test_many_copies_and_images_that_share_corners(spark):
+    """A source with very many copies stays one class though each descriptor meets few others; a shared logo links nothing."""
+    rng = np.random.default_rng(1)
+    source = np.kron(rng.integers(0, 256, (24, 24)), np.ones((4, 4)))
+    logo = np.kron(rng.integers(0, 256, (9, 9)), np.ones((4, 4)))
+    rows = [(i, media.encode_pgm(source + rng.normal(0, 3, source.shape))) for i in range(150)]
+    for i in range(60):
+        image = np.kron(rng.integers(0, 256, (24, 24)), np.ones((4, 4)))
+        image[:36, :36] = logo
+        rows += [(1000 + 2 * i, media.encode_pgm(image)), (1001 + 2 * i, media.encode_pgm(image[2:, 3:] * 0.8 + 20))]
+    out = {r.image_id: r.class_id for r in media.copy_classes(spark.createDataFrame(rows, "image_id long, media binary")).collect()}
+    assert {out[i] for i in range(150)} == {0}
+    assert sum(out[1001 + 2 * i] == 1000 + 2 * i for i in range(60)) >= 54 and all(out[1000 + 2 * i] == 1000 + 2 * i for i in range(60))
+
+
+def test_formats_sizes_and_columns(spark):
+    rng = np.random.default_rng(2)
+    large = rng.integers(0, 256, (20, 44)).repeat(30, 0).repeat(30, 1)
+    rows = [(1, media.encode_pgm(large)), (2, media.encode_pgm(large * 0.9)), (3, media.encode_pgm(rng.integers(0, 256, (20, 20)))), (4, b"\xff\xd8\xff\xe0 jpeg"), (5, media.encode_pgm(np.zeros((1, 1)))), (6, media.encode_pgm(np.zeros((1, 3000)))), (7, png(rng.integers(0, 256, (50, 60)).astype(np.uint8)))]
+    out = {r.image_id: (r.class_id, r.readable) for r in media.copy_classes(spark.createDataFrame(rows, "image_id long, media binary")).collect()}
+    assert out == {1: (1, True), 2: (1, True), 3: (3, True), 4: (4, False), 5: (5, True), 6: (6, True), 7: (7, True)}
+
+
 # ------------------------------------------------------------------ pipeline
 
 
