@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,3 @@ def not_nan(value: Column) -> Column:
     """Null for NaN, which minima and maxima then leave out."""
     return F.when(~F.isnan(value), value)
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a table whose counted rows are few; else leave the choice to the optimiser."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

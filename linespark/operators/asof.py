@@ -1,9 +1,14 @@
 """As-of and interval joins between samples, maintenance stops and cycles.
 
-A maintenance log with few rows (counted first) is broadcast as intervals. Beyond that, and for
-cycles, rows of both sides are put on one time line for each (station, time chunk), and a window
-carries the value along; what was carried into a chunk is worked out from one row per chunk.
-So a station's whole time line never has to fit one task.
+A maintenance log with few rows (counted first) is broadcast as a grid: each station's time is cut
+into as many cells as it has stops, and a cell holds its own stops and the last one before it. A
+sample meets one cell by an equi-join and looks through that cell's stops, about one.
+Beyond that, and for cycles, rows of both sides are put on one time line for each (station, time
+chunk), and a window carries the value along; what was carried into a chunk is worked out from one
+row per chunk. So a station's whole time line never has to fit one task.
+
+A null station or time meets nothing in either form. A column of the input that has the name of a
+result's column is replaced, as ``withColumn`` does; other names never clash.
 """
 
 from __future__ import annotations
@@ -11,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import div
+
 #: Log rows that are broadcast; larger logs take the time-line form.
 BROADCAST_ROWS = 100_000
 CHUNK_MS = 8 * 3600 * 1000
@@ -18,7 +25,7 @@ CHUNK_MS = 8 * 3600 * 1000
 
 def maintenance_intervals(maintenance: DataFrame) -> DataFrame:
     """(station, fresh, until): from the end of a stop to the end of the next one; negative ends count as none."""
-    ends = maintenance.select("station", (F.col("ts_ms") + F.col("duration_ms")).alias("fresh")).filter("fresh >= 0")
+    ends = maintenance.select("station", (F.col("ts_ms") + F.col("duration_ms")).alias("fresh")).filter("fresh >= 0 and station is not null")
     return ends.withColumn("until", F.lead("fresh").over(Window.partitionBy("station").orderBy("fresh")))
 
 
@@ -48,52 +55,82 @@ def _carried(left: DataFrame, marks: DataFrame, forward: bool) -> DataFrame:
     return carried.join(entry, ["station", "chunk"], "left").select("row", F.coalesce("mark", "entry").alias("mark"))
 
 
+def _latest(samples: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+    """Samples with ``name``: the struct (at, value) of their station's latest mark at or before ``ts_ms``, or null.
+
+    ``marks`` (station, at, value) are few and are broadcast as a grid of cells.
+    """
+    spans = marks.groupBy("station").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").cast("long").alias("cells"))
+    spans = spans.withColumn("step", F.greatest(F.lit(1).cast("long"), F.ceil((F.col("last") - F.col("first") + 1) / F.col("cells")).cast("long")))
+    cell = lambda at: F.least(div(at - F.col("first"), F.col("step")), F.col("cells"))
+    inside = marks.join(spans, "station").groupBy("station", cell(F.col("at")).alias("cell")).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("own"))
+    grid = spans.select("station", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells"))).alias("cell")).join(inside, ["station", "cell"], "left")
+    before = Window.partitionBy("station").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("entry", F.last(F.element_at("own", -1), ignorenulls=True).over(before))
+    grid = F.broadcast(grid.select(F.struct(F.col("station").alias("on"), F.col("cell").alias("cell"), "own", "entry").alias("_grid")))
+    spans = F.broadcast(spans.select(F.struct(F.col("station").alias("on"), "first", "step", "cells").alias("_span")))
+    rows = samples.select(F.struct("*").alias("_row")).join(spans, F.col("_row.station") == F.col("_span.on"), "left")
+    place = F.when(F.col("_row.ts_ms") >= F.col("_span.first"), F.least(div(F.col("_row.ts_ms") - F.col("_span.first"), F.col("_span.step")), F.col("_span.cells")))
+    met = rows.join(grid, (F.col("_span.on") == F.col("_grid.on")) & (place == F.col("_grid.cell")), "left")
+    passed = F.filter(F.col("_grid.own"), lambda m: m["at"] <= F.col("_row.ts_ms"))
+    found = F.coalesce(F.when(F.size(passed) > 0, F.element_at(passed, -1)), F.col("_grid.entry"))
+    return met.select(*(F.col("_row")[c].alias(c) for c in samples.columns if c != name), found.alias(name))
+
+
 def asof_maintenance(telemetry: DataFrame, maintenance: DataFrame, keep_unmatched: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Samples with ``fresh``, the latest end of a stop at or before them on their station.
 
     Samples before the first stop are dropped (their tool's age is unknown), or have a null
     ``fresh`` with ``keep_unmatched``.
     """
-    how = "left" if keep_unmatched else "inner"
+    ends = maintenance.select("station", (F.col("ts_ms") + F.col("duration_ms")).alias("at")).filter("at >= 0 and station is not null").distinct()
     if maintenance.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        spans = maintenance_intervals(maintenance).withColumnRenamed("station", "on_station")
-        met = (F.col("station") == F.col("on_station")) & (F.col("ts_ms") >= F.col("fresh")) & (F.col("until").isNull() | (F.col("ts_ms") < F.col("until")))
-        return telemetry.join(F.broadcast(spans), met, how).drop("on_station", "until")
-    rows = telemetry.select("station", F.col("ts_ms").alias("at"), F.struct("*").alias("row"))
-    marks = maintenance.select("station", (F.col("ts_ms") + F.col("duration_ms")).alias("at")).filter("at >= 0").distinct()
-    # A null station or time meets nothing; the window keeps such rows as well.
-    out = _carried(rows, marks, forward=False).select("row.*", F.col("mark").alias("fresh"))
+        out = _latest(telemetry, ends.withColumn("value", F.col("at")), "fresh").withColumn("fresh", F.col("fresh.at"))
+    else:
+        rows = telemetry.select("station", F.col("ts_ms").alias("at"), F.struct("*").alias("row"))
+        found = _carried(rows, ends, forward=False)
+        out = found.select(*(F.col("row")[c].alias(c) for c in telemetry.columns if c != "fresh"), F.col("mark").alias("fresh"))
     return out if keep_unmatched else out.filter("fresh is not null")
 
 
-def merged_stops(maintenance: DataFrame) -> DataFrame:
-    """(station, begin, end) of stops [ts, ts + duration), overlapping or touching ones merged."""
-    stops = maintenance.select("station", F.col("ts_ms").alias("begin"), (F.col("ts_ms") + F.col("duration_ms")).alias("end")).filter("end > begin")
-    order = Window.partitionBy("station").orderBy("begin", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+def merged_stops(maintenance: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """(station, begin, end) of stops [ts, ts + duration), overlapping or touching ones merged.
+
+    Stops are sorted by (station, chunk); one row a chunk carries the latest end and the number of
+    merged stops to the chunks after it.
+    """
+    stops = maintenance.select("station", F.col("ts_ms").alias("begin"), (F.col("ts_ms") + F.col("duration_ms")).alias("end")).filter("end > begin and station is not null")
+    stops = stops.withColumn("chunk", F.floor(F.col("begin") / F.lit(chunk_ms)).cast("long"))
+    earlier = Window.partitionBy("station").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = stops.groupBy("station", "chunk").agg(F.max("end").alias("last")).withColumn("reach", F.max("last").over(earlier))
+    order = Window.partitionBy("station", "chunk").orderBy("begin", "end")
+    before = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("reach"))
+    stops = stops.join(ends.select("station", "chunk", "reach"), ["station", "chunk"])
     stops = stops.withColumn("new", F.when(before.isNull() | (F.col("begin") > before), 1).otherwise(0))
-    stops = stops.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return stops.groupBy("station", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+    counts = stops.groupBy("station", "chunk").agg(F.sum("new").alias("n")).withColumn("islands", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    stops = stops.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(counts.select("station", "chunk", "islands"), ["station", "chunk"])
+    return stops.groupBy("station", (F.col("island") + F.col("islands")).alias("island")).agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
 
 
 def label_stopped(telemetry: DataFrame, maintenance: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Samples with ``stopped``: whether they lie in a stop of their station. No sample is repeated."""
     stops = merged_stops(maintenance)
+    kept = [c for c in telemetry.columns if c != "stopped"]
     if maintenance.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        spans = stops.withColumnRenamed("station", "on_station")
-        inside = (F.col("station") == F.col("on_station")) & (F.col("ts_ms") >= F.col("begin")) & (F.col("ts_ms") < F.col("end"))
-        return telemetry.join(F.broadcast(spans), inside, "left").withColumn("stopped", F.col("begin").isNotNull()).drop("on_station", "begin", "end")
+        marks = stops.select("station", F.col("begin").alias("at"), F.col("end").alias("value"))
+        return _latest(telemetry, marks, "stopped").withColumn("stopped", F.coalesce(F.col("ts_ms") < F.col("stopped.value"), F.lit(False)))
     rows = telemetry.select("station", F.col("ts_ms").alias("at"), F.struct("*").alias("row"))
     last = _carried(rows, stops.select("station", F.col("begin").alias("at")), forward=False)
     spans = stops.select(F.col("station").alias("on_station"), "begin", "end")
     met = last.join(spans, (F.col("row.station") == F.col("on_station")) & (F.col("mark") == F.col("begin")), "left")
-    return met.select("row.*", F.coalesce(F.col("row.ts_ms") < F.col("end"), F.lit(False)).alias("stopped"))
+    return met.select(*(F.col("row")[c].alias(c) for c in kept), F.coalesce(F.col("row.ts_ms") < F.col("end"), F.lit(False)).alias("stopped"))
 
 
 def attach_cycle(telemetry: DataFrame, part_events: DataFrame) -> DataFrame:
     """Samples with ``cycle_end_ms``: the first end of a cycle at or after them, else the station's last one."""
-    ends = part_events.select("station", F.col("ts_end_ms").alias("at")).distinct()
+    ends = part_events.select("station", F.col("ts_end_ms").alias("at")).filter("station is not null and at is not null").distinct()
     rows = telemetry.select("station", F.col("ts_ms").alias("at"), F.struct("*").alias("row"))
-    found = _carried(rows, ends, forward=True).select("row.*", F.col("mark").alias("next_end"))
-    last = ends.groupBy("station").agg(F.max("at").alias("last_end"))
-    return found.join(last, "station").withColumn("cycle_end_ms", F.coalesce("next_end", "last_end")).drop("next_end", "last_end")
+    found = _carried(rows, ends, forward=True)
+    last = ends.groupBy(F.col("station").alias("on_station")).agg(F.max("at").alias("last_end"))
+    met = found.join(last, F.col("row.station") == F.col("on_station"))
+    return met.select(*(F.col("row")[c].alias(c) for c in telemetry.columns if c != "cycle_end_ms"), F.coalesce("mark", "last_end").alias("cycle_end_ms"))

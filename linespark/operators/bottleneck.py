@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
@@ -11,30 +11,24 @@ from ..schemas import CYCLE_ORDER
 CHUNK_MS = 8 * 3600 * 1000
 
 
-def longest_blocked_run(part_events: DataFrame) -> DataFrame:
-    """(station, longest_blocked_run) by gaps and islands: one sort of each station's cycles."""
-    order = Window.partitionBy("station").orderBy(*CYCLE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = part_events.select("station", *(c for c in CYCLE_ORDER)).withColumn("island", F.sum(F.when(F.col("blocked_ms") > 0, 0).otherwise(1)).over(order))
-    runs = rows.groupBy("station", "island").agg(F.count(F.when(F.col("blocked_ms") > 0, 1)).alias("n"))
-    return runs.groupBy("station").agg(F.max("n").alias("longest_blocked_run"))
-
-
-def longest_blocked_run_chunked(part_events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """The same, with each station's time line cut into chunks that are stitched together.
-
-    A chunk comes down to its length, first run, last run and best run, so a station with very
-    many cycles is as many tasks as it has chunks; only four numbers a chunk meet in one.
-    """
+def _chunks(part_events: DataFrame, chunk_ms: int) -> DataFrame:
+    """One row for each (station, chunk): its length, first, last and best run of blocked cycles, and its sums."""
+    sums = ["cycle_ms", "blocked_ms", "starved_ms"]
     rows = part_events.select("station", *CYCLE_ORDER, F.floor(F.col("ts_end_ms") / F.lit(chunk_ms)).cast("long").alias("chunk"))
     order = Window.partitionBy("station", "chunk").orderBy(*CYCLE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     free = F.when(F.col("blocked_ms") > 0, 0).otherwise(1)
-    runs = rows.withColumn("island", F.sum(free).over(order)).groupBy("station", "chunk", "island").agg(F.count("*").alias("rows"), F.count(F.when(F.col("blocked_ms") > 0, 1)).alias("n"))
-    chunks = runs.groupBy("station", "chunk").agg(
+    runs = rows.withColumn("island", F.sum(free).over(order)).groupBy("station", "chunk", "island").agg(F.count("*").alias("rows"), F.count(F.when(F.col("blocked_ms") > 0, 1)).alias("n"), *(F.sum(c).alias(c) for c in sums))
+    return runs.groupBy("station", "chunk").agg(
         F.sum("rows").alias("len"),
         F.coalesce(F.max(F.when(F.col("island") == 0, F.col("n"))), F.lit(0).cast("long")).alias("prefix"),
         F.max_by("n", "island").alias("suffix"),
         F.max("n").alias("best"),
+        *(F.sum(c).alias(c) for c in sums),
     )
+
+
+def _longest() -> Column:
+    """The longest run of a station, stitched from its chunks in order."""
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("len"), zero.alias("prefix"), zero.alias("suffix"), zero.alias("best"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "len", "prefix", "suffix", "best"))), lambda p: F.struct(p["len"].alias("len"), p["prefix"].alias("prefix"), p["suffix"].alias("suffix"), p["best"].alias("best")))
@@ -47,23 +41,35 @@ def longest_blocked_run_chunked(part_events: DataFrame, chunk_ms: int = CHUNK_MS
             F.greatest(a["best"], b["best"], a["suffix"] + b["prefix"]).alias("best"),
         )
 
-    return chunks.groupBy("station").agg(F.aggregate(parts, start, stitch, lambda a: a["best"]).alias("longest_blocked_run"))
+    return F.aggregate(parts, start, stitch, lambda a: a["best"]).alias("longest_blocked_run")
+
 
+def longest_blocked_run(part_events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """(station, longest_blocked_run) by gaps and islands in chunks of time that are stitched together.
 
-def bottleneck(part_events: DataFrame) -> DataFrame:
-    """Cycles, utilisation, idle, blocked and starved time, mean cycle and longest blocked run of each station."""
-    sums = part_events.groupBy("station").agg(F.count("*").alias("cycles"), F.sum("cycle_ms").alias("run_ms"), F.sum("blocked_ms").alias("blocked_ms"), F.sum("starved_ms").alias("starved_ms"))
+    A chunk comes down to its length, first run, last run and best run, so a station with very
+    many cycles is as many tasks as it has chunks; only four numbers a chunk meet in one.
+    """
+    return _chunks(part_events, chunk_ms).groupBy("station").agg(_longest())
+
+
+#: The name under which callers ask for the form in chunks; both are that form.
+longest_blocked_run_chunked = longest_blocked_run
+
+
+def bottleneck(part_events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Cycles, utilisation, idle, blocked and starved time, mean cycle and longest blocked run of each station, in one pass."""
+    sums = _chunks(part_events, chunk_ms).groupBy("station").agg(F.sum("len").alias("cycles"), F.sum("cycle_ms").alias("run_ms"), F.sum("blocked_ms").alias("blocked_ms"), F.sum("starved_ms").alias("starved_ms"), _longest())
     idle = F.col("blocked_ms") + F.col("starved_ms")
-    out = sums.select(
+    return sums.select(
         "station", "cycles", ratio(F.col("run_ms"), F.col("run_ms") + idle).alias("utilisation"), (idle / 1000.0).alias("idle_s"), (F.col("blocked_ms") / 1000.0).alias("blocked_s"),
-        (F.col("starved_ms") / 1000.0).alias("starved_s"), (F.col("run_ms") / 1000.0 / F.col("cycles")).alias("mean_cycle_s"),
+        (F.col("starved_ms") / 1000.0).alias("starved_s"), (F.col("run_ms") / 1000.0 / F.col("cycles")).alias("mean_cycle_s"), "longest_blocked_run",
     )
-    return out.join(longest_blocked_run_chunked(part_events), "station")
 
 
 def find_constraint(table: DataFrame) -> DataFrame:
-    """The station of highest utilisation, the first by name if several are."""
-    return table.orderBy(F.desc("utilisation"), "station").limit(1).select("station", "utilisation")
+    """The station of highest utilisation as it's reported (to four digits), the first by name if several are."""
+    return table.orderBy(F.round("utilisation", 4).desc(), "station").limit(1).select("station", "utilisation")
 
 
 def time_split(table: DataFrame) -> DataFrame:
@@ -77,3 +83,8 @@ def time_split(table: DataFrame) -> DataFrame:
 def pivot_time_split(split: DataFrame) -> DataFrame:
     """(station, busy, blocked, starved): shares in wide form."""
     return split.groupBy("station").pivot("state", ["busy", "blocked", "starved"]).agg(F.first("share"))
+
+
+def ordered_shares(split: DataFrame) -> DataFrame:
+    """Shares in order of station and state."""
+    return split.orderBy("station", "state")

@@ -33,15 +33,28 @@ def cycles_since_maintenance(part_events: DataFrame, chunk_ms: int = CHUNK_MS) -
     return out.withColumn("since", since.cast("long")).drop("chunk", "nth", "stop_nth", "entry")
 
 
-def spc_derate(cycles: DataFrame, hold: int = 40) -> DataFrame:
+def spc_derate(cycles: DataFrame, hold: int = 40, limits: DataFrame | None = None, value: str = "torque", chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Cycles with ``derated``: a breach within the last ``hold`` cycles that no stop has reset since.
 
-    ``cycles`` are part events with a boolean ``breach``. A stop resets the hold of earlier breaches;
-    a breach on the cycle of the stop counts again.
+    ``cycles`` are part events with a boolean ``breach``; with ``limits`` (station, ucl) a cycle is a
+    breach if its ``value`` is above its station's upper limit (never without one). A stop resets the
+    hold of earlier breaches; a breach on the cycle of the stop counts again. Each station's time
+    line is cut into chunks; one row a chunk carries its places, last breach and last stop across.
     """
-    order = Window.partitionBy("station").orderBy(*ORDER)
+    if limits is not None:
+        ucl = limits.select(F.col("station").alias("on_station"), F.col("ucl").alias("upper_limit"))
+        cycles = cycles.drop("breach").join(ucl, F.col("station") == F.col("on_station"), "left")
+        cycles = cycles.withColumn("breach", F.coalesce(F.col(value) > F.col("upper_limit"), F.lit(False))).drop("on_station", "upper_limit")
+    rows = cycles.withColumn("chunk", F.floor(F.col("ts_end_ms") / F.lit(chunk_ms)).cast("long"))
+    order = Window.partitionBy("station", "chunk").orderBy(*ORDER)
+    rows = rows.withColumn("nth", F.row_number().over(order))
+    marks = {"breach_nth": F.when(F.col("breach"), F.col("nth")), "stop_nth": F.when(F.col("down_ms") > 0, F.col("nth"))}
+    ends = rows.groupBy("station", "chunk").agg(F.count("*").alias("cycles"), *(F.max(m).alias(f"last_{name}") for name, m in marks.items()))
+    earlier = Window.partitionBy("station").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("begin", F.coalesce(F.sum("cycles").over(earlier), F.lit(0)))
+    ends = ends.select("station", "chunk", "begin", *(F.max(F.col("begin") + F.col(f"last_{name}")).over(earlier).alias(f"entry_{name}") for name in marks))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = cycles.withColumn("nth", F.row_number().over(order))
-    rows = rows.withColumn("breach_nth", F.max(F.when(F.col("breach"), F.col("nth"))).over(before)).withColumn("stop_nth", F.max(F.when(F.col("down_ms") > 0, F.col("nth"))).over(before))
+    rows = rows.withColumns({name: F.max(m).over(before) for name, m in marks.items()}).join(ends, ["station", "chunk"])
+    rows = rows.withColumns({name: F.coalesce(F.col("begin") + F.col(name), F.col(f"entry_{name}")) for name in marks}).withColumn("nth", F.col("begin") + F.col("nth"))
     held = (F.col("nth") - F.col("breach_nth") <= hold) & (F.col("stop_nth").isNull() | (F.col("stop_nth") <= F.col("breach_nth")))
-    return rows.withColumn("derated", F.coalesce(held, F.lit(False))).drop("breach_nth", "stop_nth")
+    return rows.withColumn("derated", F.coalesce(held, F.lit(False))).drop("chunk", "begin", "breach_nth", "stop_nth", "entry_breach_nth", "entry_stop_nth")

@@ -48,3 +48,8 @@ def degradation_points(curve: DataFrame, slopes: DataFrame, fitted_only: bool =
 def find_fastest_wear(slopes: DataFrame) -> DataFrame:
     """The station of steepest slope, the first by name if several are."""
     return slopes.orderBy(F.desc("slope_per_h"), "station").limit(1).select("station", "slope_per_h")
+
+
+def ordered_curve(curve: DataFrame) -> DataFrame:
+    """The curve in order of station and age."""
+    return curve.orderBy("station", "age_h")

@@ -25,7 +25,8 @@ def _synthesised(base: DataFrame, mined: DataFrame, sigma: Column, rise: Column,
     """Base rows with new set points; ``mined`` has mean, sd, utilisation, mean_cycle_s, slope_per_h and intercept by station."""
     rows = base.join(mined, [*line, "station"], "left")
     constraint = F.col("constraint")
-    rows = rows.withColumn("feeds", F.lead("station").over(Window.partitionBy(*line).orderBy("station")))
+    whole = Window.partitionBy(*line)
+    rows = rows.withColumns({"feeds": F.lead("station").over(whole.orderBy("station")), "limits_met": F.count("mean").over(whole), "cycles_met": F.count("utilisation").over(whole)})
     wide = (F.col("station") == constraint) | F.coalesce(F.col("feeds") == constraint, F.lit(False))
     buffer = F.when(wide, F.greatest(F.lit(BUFFER_MIN), F.least(F.lit(BUFFER_MAX), F.bround(F.col("buffer_capacity") * 1.5).cast("long")))).otherwise(F.col("buffer_capacity"))
     cycle = F.when(F.col("utilisation") > 0, F.col("mean_cycle_s") / F.col("utilisation")).otherwise(F.col("mean_cycle_s"))
@@ -39,6 +40,9 @@ def _synthesised(base: DataFrame, mined: DataFrame, sigma: Column, rise: Column,
         "pm_interval_cycles": F.coalesce(F.when(F.coalesce(fits, F.lit(False)), interval), F.col("pm_interval_cycles")).cast("long"),
         "buffer_capacity": buffer.cast("long"),
     }
+    # Without any input for a line there is no policy; this is found while the rows are made, not by a pass of its own.
+    missing = F.when(F.col("limits_met") == 0, "no control limits for the line's stations").when(F.col("cycles_met") == 0, "no utilisation of the line's stations")
+    new["torque_lcl"] = F.when(missing.isNotNull(), F.raise_error(missing)).otherwise(new["torque_lcl"])
     return rows.select(*line, "station", *(new.get(c, F.col(c)).alias(c) for c in POLICY_FIELDS))
 
 
@@ -55,10 +59,14 @@ def mined_table(limits: DataFrame, bott: DataFrame, slopes: DataFrame, line: lis
 
 
 def synthesise_policy(base: DataFrame, limits: DataFrame, bott: DataFrame, slopes: DataFrame, sigma: float = 3.0, target_rise: float = TARGET_RISE, policy_id: str = "B-mined", line: list[str] | None = None) -> DataFrame:
-    """One row for each (line, station) of the base policy with new limits, intervals and buffers."""
+    """One row for each (line, station) of the base policy with new limits, intervals and buffers.
+
+    A line for whose stations there are no limits or no utilisation at all raises an error.
+    """
     line = line or []
     mined, first = mined_table(limits, bott, slopes, line)
-    own = base.join(F.broadcast(first), line, "left") if line else base.join(F.broadcast(first))
+    # Without lines the constraint is one row.
+    own = base.join(first, line, "left") if line else base.join(F.broadcast(first), F.lit(True), "left")
     out = _synthesised(own, mined, F.lit(sigma), F.lit(target_rise), line)
     told = F.lit(f"mined: control limits at {sigma:g} sigma, maintenance at a rise of {target_rise:.0%}, buffers around the constraint")
     return out.withColumns({"policy_id": F.lit(policy_id), "provenance": told})
@@ -69,9 +77,9 @@ def policy_grid(base: DataFrame, limits: DataFrame, bott: DataFrame, slopes: Dat
     spark = base.sparkSession
     grid = spark.createDataFrame([(float(s), float(r)) for s in sigmas for r in rises], "sigma double, target_rise double")
     mined, first = mined_table(limits, bott, slopes)
-    # Parameter pairs times mined aggregates: each pair is a line of its own.
-    cells = grid.join(F.broadcast(base.join(F.broadcast(first))))
-    return _synthesised(cells, grid.join(F.broadcast(mined)), F.col("sigma"), F.col("target_rise"), ["sigma", "target_rise"])
+    # Parameter pairs times mined aggregates: each pair is a line of its own. The pairs are as few as the lists, the constraint is one row.
+    cells = base.join(F.broadcast(first), F.lit(True), "left").crossJoin(F.broadcast(grid))
+    return _synthesised(cells, mined.crossJoin(F.broadcast(grid)), F.col("sigma"), F.col("target_rise"), ["sigma", "target_rise"])
 
 
 def _long(policy: DataFrame, name: str) -> DataFrame:

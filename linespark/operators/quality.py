@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.lines import parse_part_events, parse_telemetry
@@ -62,10 +62,10 @@ def classify_degradation(lines: DataFrame, maintenance: DataFrame, signal: str,
 def quality_report(classified: DataFrame) -> DataFrame:
     """(class, n, other_signal_pct): rows of each class, and the share of rows that the signal filter removed."""
     counts = classified.groupBy("class").agg(F.count("*").alias("n"))
-    # The counts are a handful of rows; the total is one row beside them.
-    total = counts.agg(F.sum(F.when(F.col("class") == "FILTERED_OTHER_SIGNAL", F.col("n")).otherwise(0)).alias("other"), F.sum(F.when(F.col("class").isin("KEPT", "JOINED"), F.col("n")).otherwise(0)).alias("kept"))
-    share = F.when(F.col("kept") + F.col("other") > 0, 100.0 * F.col("other") / (F.col("kept") + F.col("other")))
-    return counts.join(F.broadcast(total)).select("class", "n", share.alias("other_signal_pct"))
+    # The counts are a handful of rows, so one window holds them all.
+    of = lambda *names: F.sum(F.when(F.col("class").isin(*names), F.col("n")).otherwise(0)).over(Window.partitionBy())
+    kept, other = of("KEPT", "JOINED"), of("FILTERED_OTHER_SIGNAL")
+    return counts.select("class", "n", F.when(kept + other > 0, 100.0 * other / (kept + other)).alias("other_signal_pct"))
 
 
 def count_per_station(lines: DataFrame) -> DataFrame:

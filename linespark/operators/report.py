@@ -18,4 +18,10 @@ def validate_kpis(mined: DataFrame, truth: DataFrame, columns: list[str] | None
 
 def diff_outputs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one output has more often than the other, with ``side`` A or B; none if both are the same multiset."""
-    return a.exceptAll(b).withColumn("side", F.lit("A")).unionByName(b.exceptAll(a).withColumn("side", F.lit("B")))
+    n, nth = "n", "nth"
+    while n in a.columns or nth in a.columns:
+        n, nth = n + "_", nth + "_"
+    both = a.withColumn(n, F.lit(1)).unionByName(b.withColumn(n, F.lit(-1)))
+    left = both.groupBy(*(F.col(f"`{c}`") for c in a.columns)).agg(F.sum(n).alias(n)).filter(F.col(n) != 0)
+    left = left.withColumn("side", F.when(F.col(n) > 0, "A").otherwise("B"))
+    return left.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.abs(n)))).drop(n, nth)

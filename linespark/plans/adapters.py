@@ -36,6 +36,20 @@ LINES = [
     "when event_id % 83 = 0 then concat(cast(ts_ms as varchar(20)), ',', station, ',torque,x') when event_id % 79 = 0 then 'ts_ms,station,signal,value' "
     "else concat(cast(ts_ms as varchar(20)), ',', station, ',', case event_type when 'click' then 'torque' else 'vibration' end, ',', case when value < 5 then '4.5' else '9.5' end) end value",
 ]
+TEXT = "concat(cast(ts_end_ms as varchar(20)), ',', {station}, ',', cast(part_id as varchar(20)), ',', {cycle}, ',', cast(blocked_ms as varchar(20)), ',', cast(starved_ms as varchar(20)), ',', cast(down_ms as varchar(20)), ',', status{code})"
+CYCLE, CODE = "cast(cycle_ms as varchar(20))", ", ',', defect_code"
+#: Raw lines of part events with every kind of fault, by the part's number.
+EVENT_LINES = [
+    "case when part_id % 97 = 0 then concat(cast(ts_end_ms as varchar(20)), ',', station, ',', cast(part_id as varchar(20))) "
+    f"when part_id % 89 = 0 then {TEXT.format(station=repr(''), cycle=CYCLE, code=CODE)} when part_id % 83 = 0 then {TEXT.format(station='station', cycle=repr('x'), code=CODE)} "
+    f"when part_id % 79 = 0 then 'ts_end_ms,station,part_id,cycle_ms,blocked_ms,starved_ms,down_ms,status,defect_code' when part_id % 73 = 0 then {TEXT.format(station='station', cycle=repr('0'), code=CODE)} "
+    f"when part_id % 71 = 0 then {TEXT.format(station='station', cycle=CYCLE, code='')} else {TEXT.format(station='station', cycle=CYCLE, code=CODE)} end value",
+]
+#: Raw lines of the maintenance log, with headers and short lines.
+LOG_LINES = [
+    "case when ts_ms % 11 = 0 then concat(cast(ts_ms as varchar(20)), ',', station) when ts_ms % 13 = 0 then 'ts_ms,station,event,duration_ms' "
+    "else concat(cast(ts_ms as varchar(20)), ',', station, ',', event, ',', cast(duration_ms as varchar(20))) end value",
+]
 # The base policy's limits, interval, buffer and nameplate cycle of each station.
 BASE = [
     ("S01", 1.0, 23.6, 32.4, 3000, 8, 11.0), ("S02", 1.0, 34.8, 53.2, 3000, 8, 12.5), ("S03", 1.0, 32.2, 45.8, 3000, 8, 14.8),
@@ -68,6 +82,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).selectExpr(*_spark(LINES))
 
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_events(spark, sf_dir).selectExpr(*_spark(EVENT_LINES))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance(spark, sf_dir).selectExpr(*_spark(LOG_LINES))
+
+
 def base_policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BASE, BASE_FIELDS)
 
@@ -88,4 +110,6 @@ telemetry as (select {duck(TELEMETRY)} from e0 where event_type <> 'error'),
 maintenance as (select {duck(MAINTENANCE)} from e0 where event_type = 'error' and value >= 100),
 part_events as (select {duck(PART_EVENTS)} from lineitem),
 raw_lines as (select {duck(LINES)} from e0),
+event_lines as (select {duck(EVENT_LINES)} from part_events),
+log_lines as (select {duck(LOG_LINES)} from maintenance),
 base as (select * from (values {values}) t({names}))"""

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import div
 from ..operators import ab, asof, bottleneck, cycles, degradation, filters, kpis, limits, oee, policy, quality, report
 from ..sources import lines as text_lines
-from ..sources import sinks
+from ..sources import policies, sinks
+from ..sources.shared import fresh_path
 from ..streaming import live
 from . import adapters
 
@@ -284,6 +286,106 @@ def breach_counts(spark, d):
     return live.breach_counts(adapters.telemetry(spark, d), narrow)
 
 
+def _stored_lines(spark, lines: DataFrame, name: str) -> str:
+    """Write raw lines in folders by month and by their own station, as runs are stored; the path."""
+    path, fields = fresh_path(spark, name), F.split("value", ",", -1)
+    day = F.date_from_unix_date(div(F.get(fields, F.lit(0)).try_cast("long"), 86_400_000).cast("int"))
+    lines.select(F.trunc(day, "MM").alias("dt"), F.get(fields, F.lit(1)).alias("station"), "value").write.partitionBy("dt", "station").text(path)
+    return path
+
+
+def read_telemetry(spark, d):
+    return text_lines.read_telemetry(spark, _stored_lines(spark, adapters.lines(spark, d), "telemetry")).select("ts_ms", "station", "signal", "value")
+
+
+def read_part_events(spark, d):
+    return text_lines.read_part_events(spark, _stored_lines(spark, adapters.event_lines(spark, d), "part-events")).drop("dt")
+
+
+def read_maintenance(spark, d):
+    path = fresh_path(spark, "maintenance")
+    adapters.log_lines(spark, d).write.text(path)
+    return text_lines.read_maintenance(spark, path)
+
+
+def maintenance_log(spark, d):
+    return text_lines.ordered_log(adapters.maintenance(spark, d)).select("ts_ms", "station", "event", "duration_ms")
+
+
+def policy_round_trip(spark, d):
+    path = fresh_path(spark, "policy")
+    policies.write_policy(_r(_policy_b(spark, d), torque_lcl=2, torque_ucl=2), path)
+    return policies.read_policy(spark, path, adapters.base_policy(spark))
+
+
+def missing_stations(spark, d):
+    return policies.missing_stations(adapters.base_policy(spark).filter("station < 'S05'"), adapters.part_events(spark, d))
+
+
+def ingest_runs(spark, d):
+    """Two runs, the first one stored again with one signal only: of its old rows none are left."""
+    path = fresh_path(spark, "runs")
+    rows = adapters.telemetry(spark, d).withColumn("dt", F.trunc(F.date_from_unix_date(div(F.col("ts_ms"), 86_400_000).cast("int")), "MM"))
+    for run, kept in (("a", rows), ("b", rows), ("a", rows.filter("signal = 'vibration'"))):
+        sinks.ingest_run(kept, run, path)
+    return spark.read.parquet(path).groupBy("run", F.col("dt").cast("string").alias("dt"), "station").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"))
+
+
+def summary_round_trip(spark, d):
+    path = fresh_path(spark, "summary")
+    sinks.write_summary(paired_ci(spark, d), path)
+    return spark.read.schema("metric string, n long, a_mean double, b_mean double, delta_mean double, delta_ci95 double, delta_pct double").json(path)
+
+
+def _event_lines(spark, d):
+    return adapters.event_lines(spark, d).withColumn("fields", F.split("value", ",", -1)).withColumnRenamed("value", "line")
+
+
+def classify_oee(spark, d):
+    return quality.quality_report(quality.classify_oee(_event_lines(spark, d)))
+
+
+def classify_bottleneck(spark, d):
+    return quality.quality_report(quality.classify_bottleneck(_event_lines(spark, d)))
+
+
+def _kv(spark, df: DataFrame, kind: str) -> DataFrame:
+    """The mined rows of a job, written as text files and read again."""
+    path = fresh_path(spark, f"kv-{kind}")
+    sinks.to_kv_text(df, kind).write.text(path)
+    rows, values = text_lines.read_kv_rows(spark, path), F.col("values")
+    return rows.select(F.col("key").alias("station"), *(values[n].cast("string" if f == "%s" else "double").alias(n) for n, f in sinks.KV_LAYOUTS[kind]))
+
+
+def kv_bottleneck(spark, d):
+    return _kv(spark, _bottleneck(spark, d), "bottleneck")
+
+
+def kv_limits(spark, d):
+    return _kv(spark, limits.control_limits(adapters.telemetry(spark, d), None, 3.0, MIN_VALUES), "limits")
+
+
+def kv_degradation(spark, d):
+    return _kv(spark, _curve(spark, d), "degradation")
+
+
+def curve_ordered(spark, d):
+    return _r(degradation.ordered_curve(_curve(spark, d)), age_h=2, mean=4, sd=4)
+
+
+def shares_ordered(spark, d):
+    return _r(bottleneck.ordered_shares(bottleneck.time_split(_bottleneck(spark, d))), share=4, hours=3)
+
+
+def spc_derate_limits(spark, d):
+    """The hold after cycles above their station's upper limit, here of cycle times at one sigma."""
+    events = adapters.part_events(spark, d)
+    timed = events.select(F.col("ts_end_ms").alias("ts_ms"), "station", F.lit("cycle_s").alias("signal"), (F.col("cycle_ms") / 1000.0).alias("value"))
+    upper = _r(limits.control_limits(timed, None, 1.0), ucl=2)
+    held = cycles.spc_derate(events.withColumn("cycle_s", F.col("cycle_ms") / 1000.0), 5, upper, "cycle_s", 90 * 24 * 3600 * 1000)
+    return held.groupBy("station", "derated", "breach").agg(F.count("*").alias("n"), F.sum("nth").alias("places"), F.sum("part_id").alias("part_ids"))
+
+
 def queries() -> dict[str, Query]:
     named = {"oee": oee_query, "bottleneck": bottleneck_query, "degradation": degradation_query}
     same = [
@@ -291,6 +393,8 @@ def queries() -> dict[str, Query]:
         fitted_buckets, degradation_slopes, degradation_points, find_fastest_wear, label_stopped, label_stopped_large, attach_cycle, cycles_since_maintenance, spc_derate,
         station_kpis, line_kpis, paired_ci, ab_table, find_constraint, station_table, time_split, pivot_time_split, melt_oee, synthesise_policy, policy_grid, policy_diff,
         pivot_policy, stack_policies, validate_kpis, diff_outputs, filter_bias, count_per_station, quality_report, quality_degradation, assign_shift_day, score_window, kv_round_trip, breach_counts,
+        read_telemetry, read_part_events, read_maintenance, maintenance_log, policy_round_trip, missing_stations, ingest_runs, summary_round_trip, classify_oee, classify_bottleneck,
+        kv_bottleneck, kv_limits, kv_degradation, curve_ordered, shares_ordered, spc_derate_limits,
     ]
     return named | {f.__name__: f for f in same}
 

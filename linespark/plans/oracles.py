@@ -76,7 +76,9 @@ diff as (select coalesce(a.station, b.station) station, coalesce(a.field, b.fiel
   (unpivot (select station, {', '.join(f'{f}::double {f}' for f in FIELDS)} from policy_b) on {', '.join(FIELDS)} into name field value v) b on a.station = b.station and a.field = b.field),
 split as (select station, state, secs / total as share, secs / 3600 as hours from (select station, cycles * mean_cycle_s + blocked_s + starved_s total,
   unnest(['busy', 'blocked', 'starved']) state, unnest([cycles * mean_cycle_s, blocked_s, starved_s]) as secs from bott)),
-fields as (select value line, string_split(value, ',') f from raw_lines)
+fields as (select value line, string_split(value, ',') f from raw_lines),
+event_fields as (select value line, string_split(value, ',') f from event_lines),
+log_fields as (select value line, string_split(value, ',') f from log_lines)
 """
 
 
@@ -124,7 +126,7 @@ def oracle_sql() -> dict[str, str]:
   case metric when 'total_downtime_h' then 'lower' else 'higher' end direction, round(round_even(a_mean, 4), 3) a_mean, round(round_even(b_mean, 4), 3) b_mean, round(round_even(delta_mean, 4), 3) delta_mean, round(round_even(delta_ci95, 4), 3) delta_ci95,
   round(round_even(delta_pct, 3), 2) delta_pct, round(case when round_even(a_mean, 4) <> 0 then round_even(delta_ci95, 4) / round_even(a_mean, 4) * 100 else 0 end, 2) ci_pct, abs(delta_mean) > delta_ci95 significant,
   case when not abs(delta_mean) > delta_ci95 then 'no effect' when (delta_mean > 0) = (metric <> 'total_downtime_h') then 'B better' else 'B WORSE' end verdict from ci""",
-        "find_constraint": "select station, round(utilisation, 4) utilisation from bott order by bott.utilisation desc, station limit 1",
+        "find_constraint": "select station, round(utilisation, 4) utilisation from bott order by round(bott.utilisation, 4) desc, station limit 1",
         "station_table": """select b.station, round(oee, 4) oee, round(availability, 4) availability, round(performance, 4) performance, round(quality, 4) quality, round(defect_rate, 5) defect_rate, round(utilisation, 4) utilisation, round(mean_cycle_s, 3) mean_cycle_s,
   round(u.blocked_s, 1) blocked_s, round(u.starved_s, 1) starved_s, round(mean, 4) torque_mean, round(sd, 4) torque_sd, round(slope_per_h, 4) slope_per_h, round(intercept, 3) fresh_torque
   from base b left join oee o on o.station = b.station left join bott u on u.station = b.station left join torque l on l.station = b.station left join slopes s on s.station = b.station""",
@@ -157,5 +159,28 @@ def oracle_sql() -> dict[str, str]:
         "kv_round_trip": "select station, parts::double parts, good::double good, round(oee, 4) oee, round(quality, 4) quality, round(min_cycle_s, 3) min_cycle_s, round(down_s, 1) down_s from oee",
         "breach_counts": f"""select t.station, t.signal, ts_ms // 3600000 * 3600000 window_start_ms, count(*) samples, count(*) filter (t.value > l.ucl) breaches from telemetry t join ({_limits(1.0, 'true')}) l
   on l.station = t.station and l.signal = t.signal group by all""",
+        "read_telemetry": """select try_cast(trim(f[1]) as bigint) ts_ms, trim(f[2]) station, trim(f[3]) signal, try_cast(trim(f[4]) as double) "value" from fields
+  where len(f) >= 4 and try_cast(trim(f[1]) as bigint) is not null and trim(f[2]) <> '' and try_cast(trim(f[4]) as double) is not null""",
+        "read_part_events": """select ts_end_ms, station, part_id, cycle_ms, blocked_ms, starved_ms, down_ms, status, defect_code from (
+  select try_cast(f[1] as bigint) ts_end_ms, f[2] station, try_cast(f[3] as bigint) part_id, try_cast(f[4] as bigint) cycle_ms, try_cast(f[5] as bigint) blocked_ms, try_cast(f[6] as bigint) starved_ms, try_cast(f[7] as bigint) down_ms,
+    f[8] status, coalesce(f[9], '') defect_code, len(f) n from event_fields) where n >= 8 and station <> '' and ts_end_ms is not null and cycle_ms is not null""",
+        "read_maintenance": "select try_cast(f[1] as bigint) ts_ms, f[2] station, f[3] event, try_cast(f[4] as bigint) duration_ms from log_fields where len(f) >= 4 and try_cast(f[1] as bigint) is not null",
+        "maintenance_log": "select ts_ms, station, event, duration_ms from maintenance order by all",
+        "policy_round_trip": "select 'B-mined' policy_id, 'mined: control limits at 3 sigma, maintenance at a rise of 15%, buffers around the constraint' provenance, * replace (round(torque_lcl, 2) as torque_lcl, round(torque_ucl, 2) as torque_ucl) from policy_b",
+        "missing_stations": "select distinct station from part_events where station >= 'S05'",
+        "ingest_runs": """select run, (date_trunc('month', date '1970-01-01' + (ts_ms // 86400000)::int))::date::varchar dt, station, count(*) n, min(ts_ms) first_ms
+  from (select 'a' run, * from telemetry where signal = 'vibration' union all select 'b', * from telemetry) group by all""",
+        "summary_round_trip": "select metric, n, round(a_mean, 6) a_mean, round(b_mean, 6) b_mean, round(delta_mean, 6) delta_mean, round(delta_ci95, 5) delta_ci95, round(delta_pct, 4) delta_pct from ci",
+        "classify_oee": "select class, count(*) n, null::double other_signal_pct from (select case when starts_with(line, 'ts_end_ms') then 'HEADER' when len(f) >= 8 and f[2] <> '' and try_cast(f[4] as bigint) > 0 then 'PARSED' else 'MALFORMED' end class from event_fields) group by class",
+        "classify_bottleneck": "select class, count(*) n, null::double other_signal_pct from (select case when len(f) >= 8 and f[2] <> '' and try_cast(f[4] as bigint) is not null then 'PARSED' else 'MALFORMED' end class from event_fields where not starts_with(line, 'ts_end_ms')) group by class",
+        "kv_bottleneck": "select station, cycles::double cycles, round(utilisation, 4) utilisation, round(idle_s, 1) idle_s, round(blocked_s, 1) blocked_s, round(starved_s, 1) starved_s, round(mean_cycle_s, 3) mean_cycle_s, longest_blocked_run::double longest_blocked_run from bott",
+        "kv_limits": 'select station, signal, n::double n, round(mean, 4) mean, round(sd, 4) sd, round(lcl, 4) lcl, round(ucl, 4) ucl, round(mn, 4) "min", round(mx, 4) "max" from limits',
+        "kv_degradation": "select station, round(age_h, 2) age_h, n::double n, round(mean, 4) mean, round(sd, 4) sd from curve",
+        "curve_ordered": "select station, round(age_h, 2) age_h, n, round(mean, 4) mean, round(sd, 4) sd from curve order by station, curve.age_h",
+        "shares_ordered": "select station, state, round(share, 4) share, round(hours, 3) as hours from split order by station, state",
+        "spc_derate_limits": f"""select station, derated, breach, count(*) n, sum(nth)::bigint places, sum(part_id)::bigint part_ids from (select *, coalesce(nth - breach_nth <= 5 and (stop_nth is null or stop_nth <= breach_nth), false) derated from (
+  select *, max(case when breach then nth end) over w breach_nth, max(case when down_ms > 0 then nth end) over w stop_nth from (
+  select *, cycle_ms / 1000.0::double > ucl breach, row_number() over (partition by station order by {FULL_ORDER}) nth from part_events join (
+    select station, round(avg(cycle_ms / 1000.0::double) + stddev_samp(cycle_ms / 1000.0::double), 2) ucl from part_events group by station) using (station)) window w as (partition by station order by nth rows between unbounded preceding and 1 preceding))) group by 1, 2, 3""",
     }
     return {name: tables + text for name, text in selects.items()}

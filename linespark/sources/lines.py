@@ -61,6 +61,11 @@ def read_maintenance(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("n >= 4 and ts_ms is not null and duration_ms is not null").drop("n")
 
 
+def ordered_log(maintenance: DataFrame) -> DataFrame:
+    """The log in order of time, then station, event and duration."""
+    return maintenance.orderBy("ts_ms", "station", "event", "duration_ms")
+
+
 def read_kv_rows(spark: SparkSession, path: str) -> DataFrame:
     """(key, values, extra) of mined text files; hidden files such as ``_SUCCESS`` are left out by Spark."""
     return parse_kv_rows(spark.read.text(path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,16 @@ def to_kv_text(df: DataFrame, kind: str) -> DataFrame:
 
 
 def ingest_run(df: DataFrame, run: str, path: str) -> None:
-    """Store a run by run, day and station; the run's old partitions are replaced, others stay.
+    """Store a run below ``run=..`` by day and station; the whole old run is replaced, other runs stay.
 
-    Needs ``dt`` and ``station``; rows are dealt by both first, so each partition gets few files.
+    Needs ``dt`` or ``station``; rows are dealt by them first, so each partition gets few files.
     """
-    by = ["run", *(c for c in ("dt", "station") if c in df.columns)]
-    df.withColumn("run", F.lit(run)).repartition(*by[1:]).write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    by = [c for c in ("dt", "station") if c in df.columns]
+    if not by:
+        raise ValueError("a run is stored by dt and station; the table has neither")
+    if not re.fullmatch(r"[\w.-]+", run):
+        raise ValueError(f"the name of a run has letters, digits, '_', '.' and '-' only: {run!r}")
+    df.repartition(*by).write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/run={run}")
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linespark.operators import ab, asof, bottleneck, cycles, degradation, filters, kpis, limits, oee, policy, report
 from linespark.plans import adapters
+from linespark.sources import lines
 from linespark.schemas import MAINTENANCE, PART_EVENTS, TELEMETRY
 
 # Figures of a seven-day run and the policy that follows from them.
@@ -97,8 +98,12 @@ def test_runs_and_cycle_state_match_plain_loops(spark, seed):
     for out in (bottleneck.longest_blocked_run(df), bottleneck.longest_blocked_run_chunked(df, 37), bottleneck.longest_blocked_run_chunked(df, 1)):
         assert {r.station: r.longest_blocked_run for r in out.collect()} == expected_run
     assert {(r.station, r.part_id): r.since for r in cycles.cycles_since_maintenance(df, 37).collect()} == since
-    held = cycles.spc_derate(df.withColumn("breach", F.col("cycle_ms") > 8800), 4)
-    assert {(r.station, r.part_id): r.derated for r in held.collect()} == derated
+    for chunk in (1, 37, 10_000):
+        held = cycles.spc_derate(df.withColumn("breach", F.col("cycle_ms") > 8800), 4, chunk_ms=chunk)
+        assert {(r.station, r.part_id): r.derated for r in held.collect()} == derated
+    upper = spark.createDataFrame([("S01", 8800.0), ("S02", 8800.0), ("S09", 1.0)], "station string, ucl double")
+    assert {(r.station, r.part_id): r.derated for r in cycles.spc_derate(df, 4, upper, "cycle_ms", 37).collect()} == derated
+    assert not any(r.derated for r in cycles.spc_derate(df, 4, upper.filter("station = 'S09'"), "cycle_ms").collect())
 
 
 def test_oee_guards_and_fallback(spark):
@@ -126,6 +131,77 @@ def test_overlapping_stops_do_not_repeat_samples(spark):
         assert {r.ts_ms: r.stopped for r in asof.label_stopped(samples, log, few).collect()} == {9: False, 10: True, 20: True, 44: True, 45: False, 100: False}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_both_forms_of_joins_match_plain_loops(spark, seed):
+    """With null stations and times on either side, ties, overlapping stops, and columns named as the results and helpers are."""
+    rng = random.Random(seed)
+    log = [(rng.choice([None, *range(-100, 3000)]), rng.choice(["S01", "S02", "S03", None]), "preventive", rng.randrange(0, 400)) for _ in range(40)]
+    log += [(500_000_000 + i, "S01", "corrective", 7) for i in range(30)]
+    samples = [(rng.choice([None, *range(-100, 4000), 500_000_010, 900_000_000]), rng.choice(["S01", "S02", "S04", None]), "torque", float(i)) for i in range(300)]
+    named = spark.createDataFrame(samples, TELEMETRY).withColumns({c: F.lit("own") for c in ("fresh", "until", "on_station", "begin", "end", "stopped", "at", "mark", "cell", "row", "next_end")})
+    maintenance = spark.createDataFrame(log, MAINTENANCE)
+    fresh, stopped = {}, {}
+    for t, station, _, value in samples:
+        known = t is not None and station is not None
+        ends = [a + d for a, s, _, d in log if known and s == station and a is not None and 0 <= a + d <= t]
+        fresh[value] = max(ends, default=None)
+        stopped[value] = known and any(s == station and a is not None and a <= t < a + d for a, s, _, d in log)
+    for few in (100, 0):
+        found = asof.asof_maintenance(named, maintenance, keep_unmatched=True, broadcast_rows=few).collect()
+        assert len(found) == len(samples) and {r.value: r.fresh for r in found} == fresh and {r.until + r.on_station + r.row for r in found} == {"ownownown"}
+        found = asof.asof_maintenance(named, maintenance, broadcast_rows=few).collect()
+        assert {r.value: r.fresh for r in found} == {v: f for v, f in fresh.items() if f is not None}
+        found = asof.label_stopped(named, maintenance, few).collect()
+        assert len(found) == len(samples) and {r.value: r.stopped for r in found} == stopped and {r.begin + r.end for r in found} == {"ownown"}
+    ends = spark.createDataFrame([(t, s) for t, s, _, _ in samples[:100]], "ts_end_ms long, station string")
+    ours = {r.value: r.cycle_end_ms for r in asof.attach_cycle(named, ends).collect()}
+    at = {s: sorted(t for t, x, _, _ in samples[:100] if x == s and t is not None) for s in ("S01", "S02", "S04")}
+    assert all(ours[v] == next((e for e in at[s] if e >= t), at[s][-1]) for t, s, _, v in samples if t is not None and s is not None)
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 100_000])
+def test_merged_stops_in_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    log = [(rng.randrange(0, 2000), rng.choice(["S01", "S02"]), "preventive", rng.choice([0, 5, 30, 600])) for _ in range(60)]
+    out = {(r.station, r.begin, r.end) for r in asof.merged_stops(spark.createDataFrame(log, MAINTENANCE), chunk).collect()}
+    expected = set()
+    for station in ("S01", "S02"):
+        open_ = None
+        for t, d in sorted((t, d) for t, s, _, d in log if s == station and d):
+            if open_ and t <= open_[1]:
+                open_[1] = max(open_[1], t + d)
+            else:
+                expected |= {(station, *open_)} if open_ else set()
+                open_ = [t, t + d]
+        expected |= {(station, *open_)} if open_ else set()
+    assert out == expected
+
+
+def test_policy_without_inputs_is_refused(spark):
+    lim, bott, slopes = mined(spark)
+    for inputs in ((lim.limit(0), bott, slopes), (lim, bott.limit(0), slopes)):
+        with pytest.raises(Exception, match="no control limits|no utilisation"):
+            policy.synthesise_policy(adapters.base_policy(spark), *inputs).collect()
+    lines = adapters.base_policy(spark).crossJoin(spark.createDataFrame([("l1",), ("l2",)], "line string"))
+    own = [df.crossJoin(spark.createDataFrame([("l1",), ("l2",)], "line string")) for df in (lim, bott, slopes)]
+    out = policy.synthesise_policy(lines, *own, line=["line"]).collect()
+    assert len(out) == 12 and {r.station: (r.torque_lcl, r.torque_ucl, r.pm_interval_cycles, r.buffer_capacity) for r in out if r.line == "l2"} == POLICY_B
+    with pytest.raises(Exception, match="no control limits"):
+        policy.synthesise_policy(lines, own[0].filter("line = 'l1'"), *own[1:], line=["line"]).collect()
+
+
+def test_constraint_is_ranked_as_reported(spark):
+    table = spark.createDataFrame([("S02", 0.95671), ("S01", 0.95669)], "station string, utilisation double")
+    assert bottleneck.find_constraint(table).first().station == "S01"
+
+
+def test_ordered_results(spark):
+    log = spark.createDataFrame([(5, "S02", "preventive", 1), (5, "S01", "preventive", 2), (1, "S09", "corrective", 3), (5, "S01", "corrective", 9)], MAINTENANCE)
+    assert [tuple(r) for r in lines.ordered_log(log).collect()] == [(1, "S09", "corrective", 3), (5, "S01", "corrective", 9), (5, "S01", "preventive", 2), (5, "S02", "preventive", 1)]
+    curve = spark.createDataFrame([("S02", 0.0), ("S01", 2.0), ("S01", 0.5)], "station string, age_h double")
+    assert [tuple(r) for r in degradation.ordered_curve(curve).collect()] == [("S01", 0.5), ("S01", 2.0), ("S02", 0.0)]
+
+
 def test_forward_asof_clips_to_the_last_cycle(spark):
     ends = spark.createDataFrame([(100, "S01"), (40_000_000, "S01")], "ts_end_ms long, station string")
     samples = spark.createDataFrame([(100, "S01", "torque", 1.0), (101, "S01", "torque", 2.0), (50_000_000, "S01", "torque", 3.0)], TELEMETRY)
@@ -172,6 +248,8 @@ def test_output_diff_is_by_multiset(spark):
     a, b = (spark.createDataFrame([(v,) for v in x], "v int") for x in ([1, 1, 2], [1, 2, 3]))
     assert sorted((r.v, r.side) for r in report.diff_outputs(a, b).collect()) == [(1, "A"), (3, "B")]
     assert report.diff_outputs(a, a).count() == 0
+    c, d = (spark.createDataFrame([(v, "x") for v in x], "n int, side_ string") for x in ([1, 1, None], [None, None]))
+    assert sorted((str(r.n), r.side) for r in report.diff_outputs(c, d).collect()) == [("1", "A"), ("1", "A"), ("None", "B")]
 
 
 def test_operators_accept_empty_tables(spark):

@@ -34,10 +34,14 @@ def test_query_equals_sql(spark, duck, name):
     assert key(ours.select(names).collect()) == key(theirs)
 
 
-def test_entry_works_without_the_llm_parts(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "an empty folder", "compiled files", "no pipeline"])
+def test_entry_works_without_the_llm_parts(tmp_path, left):
     copy = tmp_path / "repo"
     copy.mkdir()
     subprocess.run(["cp", "-r", f"{ROOT}/linespark", f"{ROOT}/__spark_entry__.py", str(copy)], check=True)
-    (copy / "linespark/llm").rename(tmp_path / "llm") if (copy / "linespark/llm").exists() else None
+    if left != "no pipeline" and (copy / "linespark/llm").exists():
+        (copy / "linespark/llm").rename(tmp_path / "llm")
+    if left in ("an empty folder", "compiled files"):
+        (copy / "linespark/llm" / ("__pycache__" if left == "compiled files" else "")).mkdir(parents=True)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)})
     assert out.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql())), "False"], out.stderr

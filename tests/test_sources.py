@@ -114,6 +114,29 @@ def test_ingest_replaces_only_its_own_run(spark, tmp_path):
     assert rows == [("a", "2024-01-01", 11), ("a", "2024-01-02", 12), ("b", "2024-01-01", 1), ("b", "2024-01-02", 2)]
 
 
+def test_ingest_leaves_nothing_of_the_old_run(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01", "S01", 1), ("2024-01-02", "S02", 2)], "dt string, station string, v int")
+    for rows in (df, df.filter("v = 1")):
+        sinks.ingest_run(rows, "a", str(tmp_path / "store"))
+    assert [r.v for r in spark.read.parquet(str(tmp_path / "store")).collect()] == [1]
+    with pytest.raises(ValueError, match="dt and station"):
+        sinks.ingest_run(df.select("v"), "a", str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="name of a run"):
+        sinks.ingest_run(df, "../a", str(tmp_path / "other"))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from linespark.sources import shared
+
+    conf = SimpleNamespace(get=lambda key, default: None, set=lambda *a: None)
+    on = lambda master, path=None: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: path))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(on("yarn"))
+    assert shared.shared_dir(on("yarn", "hdfs:///shared/")) == "hdfs:///shared" and shared.shared_dir(on("local[2]")).startswith("file:")
+
+
 def test_summary_is_json_lines(spark, tmp_path):
     sinks.write_summary(spark.createDataFrame([("line_oee", 0.9)], "metric string, v double"), str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s")).first().metric == "line_oee"
