@@ -130,11 +130,17 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     from linespark.sources import shared
 
-    conf = SimpleNamespace(get=lambda key, default: None, set=lambda *a: None)
-    on = lambda master, path=None: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: path))
+    conf = SimpleNamespace(get=lambda key, default: None)
+
+    def on(master, path=None):
+        made = [path]
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1], setCheckpointDir=made.append))
+
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(on("yarn"))
-    assert shared.shared_dir(on("yarn", "hdfs:///shared/")) == "hdfs:///shared" and shared.shared_dir(on("local[2]")).startswith("file:")
+    assert shared.shared_dir(on("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    alone = on("local[2]")
+    assert shared.shared_dir(alone) == shared.shared_dir(alone) and shared.shared_dir(alone).startswith("file:")
 
 
 def test_summary_is_json_lines(spark, tmp_path):
