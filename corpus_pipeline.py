@@ -1,9 +1,11 @@
 """Training-data pipeline over ``documents``; each stage's rows are written and read again by the next.
 
-All stages but the last return the columns of their input. Defined cases: a document with a
+All stages but the last return the columns of their input, and each states its own cases. Over the
+whole pipeline: null and empty texts have no language and go in the first stage; a document with a
 null id is kept like any other (near duplicates: unless its group has a document with an id);
-rows repeated with one id and text count once from the second stage on; an empty table passes
-through all stages; further columns of the documents are carried along.
+rows repeated with one id and text count once from the second stage on, rows that share an id but
+no text are documents of their own; an empty table passes through all stages; further columns of
+the documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linespark.llm import languages, mixing, sentencepieces, shingles, substrings
-from linespark.llm.common import shipped, written
+from linespark.llm.common import new_path, remove_path, scratch, shipped
 from linespark.llm.queries import MIXING_TARGETS, domain_labels
 
 #: Wanted tokens after mixing over those before it; above 1 so that good texts are kept and rare domains repeated.
@@ -31,9 +33,9 @@ def _columns(docs: DataFrame, source: str, **new: Column) -> list[Column]:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: those without a letter. A missing ``lang`` is filled in.
+    """Rejects documents in no language: those without a letter, so null and empty texts too. A missing ``lang`` is filled in.
 
-    Without labelled rows no language is known; then the letters alone decide.
+    Without labelled rows no language is known; then the letters alone decide. Repeated rows stay.
     """
     model = languages.learn(docs)
     if not model.names:
@@ -43,17 +45,28 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group whose five-word shingles overlap by 0.8 or more."""
+    """Keeps one document of each group whose five-word shingles overlap by 0.8 or more: the one with the smallest id.
+
+    Candidates come from SimHash fingerprints by anchor points and from least hashes, and are checked
+    exactly. A null id counts as the largest. Of rows that share the smallest id one text
+    stays, the first by its hash; of equal rows one.
+    """
     classes = shingles.near_duplicates(docs)
-    first, name = _name_beside(docs, "first_id"), _name_beside(docs, "nth")
-    stays = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn(name, F.row_number().over(same)).filter(F.col(name) == 1).drop(name)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    one = classes.groupBy("component").agg(F.min(order).alias("one"))
+    first, version, nth = (_name_beside(docs, n) for n in ("first_id", "version", "nth"))
+    stays = one.select(F.col("one.doc_id").alias(first), F.col("one.version").alias(version)).distinct()
+    own = F.xxhash64(F.col("text").cast("string"))
+    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(first)) & (own == F.col(version)), "left_semi")
+    same = Window.partitionBy("doc_id", own).orderBy(F.lit(0))
+    return kept.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words of passages that came earlier, and documents of which nothing is left."""
+    """Removes words of passages that came earlier, and documents of which nothing is left.
+
+    A text without a window stays as it is; a null id counts as the largest; a removed text's ``n_chars`` is counted anew.
+    """
     found = substrings.remove_repeats(docs).filter("n_words = 0 or n_removed < n_words")
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
@@ -62,7 +75,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that the domains' tokens come near their targets."""
+    """Repeats or drops documents so that the domains' tokens come near their targets.
+
+    Without labels every document's rate is the budget. How the rate is rounded depends on id and text, so equal rows fare alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     domains = mixing.learn(docs, domain_labels(docs, labels))
     fit = mixing.fit_rates(mixing.memberships(docs.select("doc_id", "text"), domains), domains, MIXING_TARGETS, MIXING_BUDGET)
@@ -71,7 +87,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, and whether the original library gives the same."""
+    """The token ids of each document, and whether the original library gives the same; all null for a null text."""
     found = sentencepieces.encode(docs)
     return found.select("key.doc_id", "key.lang", "key.source", "token_ids", "n_tokens", "parity", "round_trip")
 
@@ -90,9 +106,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        path = new_path(spark, f"pipeline-{name}")
+        # What a stage has written for itself goes when its rows are there, and so do the rows of the stage before.
+        with scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.schema(rows.schema).parquet(path), path
     return docs
