@@ -7,13 +7,13 @@ import ctypes
 import functools
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import fresh_path
 
 _SHIPPED: set[str] = set()
 
@@ -38,21 +38,27 @@ def shipped(query: Callable) -> Callable:
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Paths made since the innermost ``scratch`` began.
+_SCRATCH: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are written inside, once the work that reads them is done."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove_path(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Near duplicates whose five-word shingles overlap by 0.8 or more (Jaccard of the distinct shingles).
 
 1. Texts with equal shingle sets are one node, named by a hash of the set.
-2. Candidates: ``BANDS`` keys of ``BAND_ROWS`` least hashes each. Two sets at the threshold share
-   no key with a chance of 5e-6, at higher overlaps with a smaller one. Nodes that share a key,
-   directly or not, are a candidate group; only links to a key's first node are passed on.
+2. Candidates: SimHash fingerprints of the sets that differ in few bits, found by the anchor points of
+   ``simhash``; and, as those catch only the closest texts, ``BANDS`` keys of ``BAND_ROWS`` least hashes
+   each. Two sets at the threshold share no key with a chance of 5e-6, at higher overlaps with a
+   smaller one. Nodes that are linked by a fingerprint or share a key, directly or not, are a
+   candidate group; only links to a key's first node are passed on.
 3. Check: the shingle sets of a group meet in one task, those of a group of over ``BLOCK_NODES``
    nodes in pairs of blocks, so that each pair of nodes meets. The exact overlap of each pair not
    yet joined is counted; links of ``THRESHOLD`` or more make the classes.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, pieces, written
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint, links, shingle_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -66,7 +68,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1, PIECE_BYTES):
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
         nodes = np.array([node_of(s) for s in sets], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), _lists([band_keys(s) for s in sets])], ["doc_id", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes.view(np.int64)), pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)), _lists([band_keys(s) for s in sets])], ["doc_id", "version", "node", "bits", "bands"])
 
 
 @lean
@@ -128,13 +130,24 @@ def checked_links(sets: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row; component_id is the smallest id reachable."""
+    """(doc_id, version, component_id, component) of every row.
+
+    ``component_id`` is the smallest id reachable, ``component`` names the class itself, and ``version`` is
+    Spark's hash of the text, which tells rows of one id apart.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(rows.mapInArrow(_sketch, "doc_id long, node long, bands array<long>"), "shingles")
+    sketch = written(rows.withColumn("version", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, version long, node long, bits long, bands array<long>"), "shingles")
     keys = sketch.select("node", F.explode("bands").alias("band")).distinct()
     # Each key's nodes are linked to its first one.
     first = keys.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
-    groups = written(components(keys.join(first, "band").select("a", F.col("node").alias("b")).distinct()), "shingle-groups")
+    near = keys.join(first, "band").select("a", F.col("node").alias("b")).distinct()
+    # Fingerprints are linked by anchor points; each fingerprint's nodes are linked to its first one.
+    prints = sketch.select("bits", "node").distinct()
+    firsts = prints.groupBy("bits").agg(F.min("node").alias("a"))
+    alike = prints.join(firsts, "bits").select("a", F.col("node").alias("b")).filter("a <> b")
+    linked = links(prints).select(F.col("a").alias("bits"), F.col("b").alias("other")).join(firsts, "bits")
+    linked = linked.select("a", F.col("other").alias("bits")).join(firsts.withColumnRenamed("a", "b"), "bits").select("a", "b")
+    groups = written(components(near.unionByName(alike).unionByName(linked)), "shingle-groups")
     sizes = groups.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("n"))
     known = sketch.select("doc_id", "node").groupBy("node").agg(F.min("doc_id").alias("id"))
     wanted = known.join(groups, "node").select("id", "node", F.col("component").alias("grp"))
@@ -143,5 +156,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = components(checked_links(sets, sizes))
     named = known.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "component_id")
-    return sketch.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    named = named.join(smallest, "component").select("node", "component_id", "component")
+    return sketch.select("doc_id", "version", "node").join(named, "node").select("doc_id", "version", "component_id", "component")

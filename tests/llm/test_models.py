@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from linespark.sources import shared
 from linespark.llm import languages, media, mixing, pages, queries, sentencepieces, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -422,6 +423,17 @@ def test_formats_sizes_and_columns(spark):
 # ------------------------------------------------------------------ pipeline
 
 
+def overlap_classes(rows):
+    """The class of each (id, text) by brute force over all pairs."""
+    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) or {tuple(t.lower().split())} for _, t in rows]
+    label = [i for i, _ in rows]
+    for x, y in itertools.combinations(range(len(rows)), 2):
+        if label[x] != label[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+            low, high = sorted((label[x], label[y]))
+            label = [low if k == high else k for k in label]
+    return set(label)
+
+
 def test_pipeline_keeps_clean_documents_and_drops_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     current, ids = docs, {}
@@ -433,14 +445,47 @@ def test_pipeline_keeps_clean_documents_and_drops_copies(spark):
         if name != "sentencepiece":
             assert current.columns == docs.columns
     assert ids["language"] == {r[0] for r in docs.select("doc_id").collect()}
-    from linespark.llm import simhash
-
-    classes = simhash.near_duplicates(docs).collect()
-    assert ids["near_duplicates"] == {r.component_id for r in classes}
+    # The stage's rule is an overlap of five-word shingles of 0.8 or more, not that of op2_simhash.
+    assert ids["near_duplicates"] == overlap_classes([(r.doc_id, r.text) for r in docs.collect()])
     assert len(ids["mixing"]) > 0.8 * len(ids["substrings"])
     assert all(r.parity for r in current.collect())
 
 
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in ("key", "row", "version", "first_id", "nth", "component", "rate", "spans", "parity", "marks"))
+
+
+@pytest.mark.parametrize("only", ["null id beside others", "null id alone"])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, only):
+    from linespark.llm.common import written
+
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choices([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)], k=n))
+    one, other, long = say(60), say(60), say(60_000)
+    rows = [(1, one), (1, one), (None, one), (2, other), (2, say(60)), (3, None), (4, ""), (5, " 12 !"), (6, long), (7, long)]
+    rows += [(None, say(50))] * 2 if only == "null id beside others" else []
+    rows = [(i, t, None if k % 3 else "en", None, len(t or ""), *["own"] * 10) for k, (i, t) in enumerate(rows)]
+    for table in ("documents", "labels"):
+        schema = ODD_DOCS if table == "documents" else "doc_id long, quality int, toxic int"
+        spark.createDataFrame(rows if table == "documents" else [(1, 1, 0), (None, 0, 1), (2, None, None)], schema).write.parquet(str(tmp_path / f"{table}.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, str(tmp_path)), "test")
+        kept[name] = sorted((str(r.doc_id), len((r.text or "").split())) for r in docs.collect()) if name != "sentencepiece" else docs.count()
+        assert name == "sentencepiece" or {r.parity + r.row + r.key for r in docs.collect()} == {"ownownown"}
+    extra = [("None", 50)] * (only == "null id beside others")
+    assert kept["language"] == sorted([("1", 60)] * 2 + [("None", 60), ("2", 60), ("2", 60), ("6", 60_000), ("7", 60_000)] + extra * 2)
+    assert kept["near_duplicates"] == kept["substrings"] == sorted([("1", 60), ("2", 60), ("2", 60), ("6", 60_000)] + extra)
+    assert set(kept["mixing"]) <= set(kept["substrings"]) and kept["sentencepiece"] == len(kept["mixing"]) > 0
+
+
+def test_pipeline_on_an_empty_table_leaves_no_tables_behind(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([], ODD_DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert [p.name.split("-")[1] for p in (tmp_path / "shared").iterdir()] == ["mixing"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_registered_queries_equal_sql(spark, name):
     import duckdb
