@@ -154,7 +154,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not totals:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool))
     share = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, per_language / n))))
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * (1 << 40))
     found = sorted((r[0], np.frombuffer(r[1], np.int64)) for r in chosen.select("lang", "text").groupBy("lang").applyInArrow(_learn_group, "lang string, counts binary").collect())
     counts = np.stack([c for _, c in found], axis=1).astype(np.float64)
     log = lambda x: np.log((x + 0.5) / (x.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32)

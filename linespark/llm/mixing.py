@@ -7,8 +7,9 @@ gradient descent on least squares with momentum::
 
     r <- max(0, z - step * (posterior . gap + pull * (z - budget)))
 
-where ``gap`` is the vector of (expected - target) tokens of the domains as shares of all
-tokens, and a weak ``pull`` to the overall budget makes the solution unique. A document's rate
+where ``gap`` is the vector of (expected - target) tokens of the domains, each as a share of the domain's
+own tokens (so a rare domain counts like any other), and a weak ``pull`` to the overall budget makes the
+solution unique; it moves a domain's total by about a thousandth of its own tokens. A document's rate
 depends on its posterior alone, so the gap is summed over distinct posteriors (kept to
 ``1 / GRID``); each step is one distributed sum of which a number for each domain comes back.
 
@@ -41,6 +42,8 @@ EVIDENCE_WORDS = 12.0
 GRID = 100
 STEPS = 60
 PULL = 1e-3
+#: The fit ends once no domain's gap changes by more than this share of its tokens.
+TOLERANCE = 1e-6
 PIECE_BYTES = 2 << 20
 
 
@@ -77,7 +80,7 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     if not totals:
         return Domains([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*(F.lit(x) for name, n in sorted(totals.items()) for x in (name, min(1.0, per_domain / n))))
-    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit("domain")), F.lit(1_000_000)) < F.element_at(share, F.col("domain")) * 1_000_000)
+    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit("domain")), F.lit(1 << 40)) < F.element_at(share, F.col("domain")) * (1 << 40))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("domain", "text").groupBy("domain").applyInArrow(_learn_group, "domain string, counts binary").collect()
     found = sorted((r[0], np.frombuffer(r[1], np.int64)) for r in rows)
@@ -137,7 +140,7 @@ def rated(docs: DataFrame, domains: Domains, fit: Fit, text_col: str = "text") -
 
 @dataclass(frozen=True)
 class Fit:
-    """All that a document's rate needs: the gaps met on the way."""
+    """All that a document's rate needs: the gaps met on the way, as shares of the domains' tokens."""
 
     budget: float
     step: float
@@ -181,15 +184,19 @@ def fit_rates(members: DataFrame, domains: Domains, targets: dict[str, float], b
             out[r[0]] = r[1] / total
         return out
 
-    curve = np.linalg.eigvalsh(gathered(None).reshape(width, width))
+    moments = gathered(None).reshape(width, width)
+    # Posteriors sum to 1, so the rows of the second moments sum to the domains' shares of the tokens.
+    share = moments.sum(axis=1)
+    weight = np.where(share > 0, 1 / np.where(share > 0, share, 1), 0.0)
+    curve = np.linalg.eigvalsh(np.sqrt(np.outer(weight, weight)) * moments)
     smallest, step = max(curve[0], 0.0) + PULL, 1.0 / (curve[-1] + PULL)
     ratio = np.sqrt(smallest * step)
     fit = Fit(budget, step, (1 - ratio) / (1 + ratio), [])
     weights = np.array([targets.get(n, 0.0) for n in domains.names])
     wanted = budget * weights / max(sum(targets.values()), 1e-12)
     for _ in range(steps):
-        gap = gathered(fit) - wanted
-        if fit.gaps and np.abs(gap - fit.gaps[-1]).max() < 1e-6:
+        gap = (gathered(fit) - wanted) * weight
+        if fit.gaps and np.abs(gap - fit.gaps[-1]).max() < TOLERANCE:
             break
         fit.gaps.append(gap)
     return fit

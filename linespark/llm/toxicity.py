@@ -189,8 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     total = known.count()
-    spread = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000))
-    chosen = known.filter(spread < int(1_000_000 * min(1.0, train_rows / max(1, total)) + 1))
+    spread = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 40))
+    chosen = known.filter(spread < int((1 << 40) * min(1.0, train_rows / max(1, total))) + 1)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     train = written(texts.join(F.broadcast(chosen), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int")).repartition(12), "toxicity-sample")
     share = {r[0]: r[1] for r in train.groupBy("label").count().collect()}

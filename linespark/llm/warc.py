@@ -7,9 +7,13 @@ An archive is one ZIP file with stored (uncompressed) members::
     datapackage.json         names of the resources
 
 ``write_archives`` packs records inside the tasks and writes each bounded archive through
-Spark's own file writer, so any store that Spark reaches will do. ``read_archives`` parses
-the end record, the ZIP64 locator and the central directory, finds stored members and the
-index, and decodes records from their byte ranges; no member is extracted.
+Spark's own file writer, so any store that Spark reaches will do. ``read_archives`` works in two
+steps. First, tasks read of each archive the end record, the ZIP64 locator, the central directory and
+the indexes (also gzipped ones), each by its byte range; of an archive's member that no index
+lists, the records are found by one pass over it. Then the records' places are dealt out in runs of
+about ``RANGE_BYTES``, and tasks read just these ranges. No archive is read or held whole, and no
+member is extracted. Only where Python can't open the store (Spark alone reaches it), Spark
+hands over whole archives, up to its limit for binary files.
 
 Defined cases: a null payload is empty; a null URL is written as ``urn:none``; a row with a
 null id is always a response and never what a revisit refers to; rows repeated with the same
@@ -28,6 +32,7 @@ import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +42,8 @@ from pyspark.sql import functions as F
 MIN_REVISIT_BYTES = 1000
 #: An archive is closed once its records reach this many bytes.
 ARCHIVE_BYTES = 4 << 20
+#: Bytes of neighbouring records that are read at once (a single record may be longer).
+RANGE_BYTES = 1 << 20
 
 RECORD_FIELDS = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, digest_ok boolean"
 
@@ -147,22 +154,65 @@ def read_index(ranges: ByteRanges, members: list[Member]) -> Iterator[tuple[str,
     """(archive member's name, offset, length) of each record that the indexes list."""
     for member in members:
         if member.name.startswith("indexes/") and member.stored:
-            text = ranges.read(data_offset(ranges, member), member.size).decode("utf-8")
+            raw = ranges.read(data_offset(ranges, member), member.size)
+            text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8")
             for line in text.splitlines():
-                entry = json.loads(line[line.index("{") :])
-                yield "archive/" + entry["filename"], int(entry["offset"]), int(entry["length"])
+                if "{" in line:
+                    entry = json.loads(line[line.index("{") :])
+                    yield "archive/" + entry["filename"], int(entry["offset"]), int(entry["length"])
+
+
+def scan_member(ranges: ByteRanges, start: int, size: int, chunk: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each gzip member of a stored archive, found by unpacking it in pieces."""
+    begin, at, unpack = 0, 0, zlib.decompressobj(wbits=31)
+    while at < size:
+        data = ranges.read(start + at, min(chunk, size - at))
+        at += len(data)
+        while data:
+            unpack.decompress(data)
+            if not unpack.eof:
+                break
+            data = unpack.unused_data
+            end = at - len(data)
+            yield begin, end - begin
+            begin, unpack = end, zlib.decompressobj(wbits=31)
 
 
-def iter_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every indexed record in one archive, each read from its own byte range."""
-    ranges = ByteRanges(source)
+def record_ranges(ranges: ByteRanges) -> Iterator[tuple[int, int]]:
+    """(offset, length) in the file of each record: of the indexes' lines, then of members that no index lists."""
     members = read_directory(ranges)
-    start = {m.name: data_offset(ranges, m) for m in members if m.stored and m.name.startswith("archive/")}
+    start = {m.name: (data_offset(ranges, m), m.size) for m in members if m.stored and m.name.startswith("archive/")}
+    listed = set()
     for name, offset, length in read_index(ranges, members):
-        raw = zlib.decompress(ranges.read(start[name] + offset, length), wbits=31)
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        headers = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-        yield headers, rest[: int(headers["Content-Length"])]
+        listed.add(name)
+        yield start[name][0] + offset, length
+    for name, (at, size) in start.items():
+        if name not in listed:
+            yield from ((at + offset, length) for offset, length in scan_member(ranges, at, size))
+
+
+def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of one packed record."""
+    head, _, rest = zlib.decompress(raw, wbits=31).partition(b"\r\n\r\n")
+    headers = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
+    return headers, rest[: int(headers["Content-Length"])]
+
+
+def iter_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record in one archive, each read from its own byte range."""
+    ranges = ByteRanges(source)
+    for offset, length in record_ranges(ranges):
+        yield parsed(ranges.read(offset, length))
+
+
+def open_file(path: str):
+    """A seekable file of any store that Python reaches; local paths as Spark writes them."""
+    if path.startswith(("file:", "/")):
+        return open("/" + unquote(path.removeprefix("file:")).lstrip("/") if path.startswith("file:") else path, "rb")  # noqa: SIM115
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
 
 
 # ------------------------------------------------------------------- records
@@ -262,23 +312,88 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
     packed.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "none").text(path)
 
 
-def _unpack(batches: Iterable[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
-    types = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("digest_ok", pa.bool_())]
+TYPES = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("digest_ok", pa.bool_())]
+
+
+def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+    http, _, payload = block.partition(b"\r\n\r\n")
+    told = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    url = headers["WARC-Target-URI"]
+    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length:"))
+    revisit = headers["WARC-Type"] == "revisit"
+    digest = told if revisit else hashlib.sha1(payload).hexdigest()
+    return _page_of(headers["WARC-Record-ID"]), None if url == "urn:none" else url, headers["WARC-Type"], payload if with_payload and not revisit else None, length if revisit else len(payload), digest, _page_of(headers.get("WARC-Refers-To")), digest == told
+
+
+def _rows(records: Iterable[tuple[dict[str, str], bytes]], with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """Record batches of about RANGE_BYTES of payload."""
+    rows, size = [], 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), TYPES, strict=True)], names=[n for n, _ in TYPES])
+    for headers, block in records:
+        rows.append(_row(headers, block, with_payload))
+        size += len(block) if with_payload else 256
+        if size >= RANGE_BYTES:
+            yield done()
+            rows, size = [], 0
+    if rows:
+        yield done()
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, begin, end, offsets, lengths): runs of neighbouring records, from the archives' directories and indexes."""
     for batch in batches:
-        for content in batch.column(0):
-            rows: list[tuple] = []
-            for headers, block in iter_records(memoryview(content.as_buffer())):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                told = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                url = headers["WARC-Target-URI"]
-                length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length:"))
-                revisit = headers["WARC-Type"] == "revisit"
-                digest = told if revisit else hashlib.sha1(payload).hexdigest()
-                rows.append((_page_of(headers["WARC-Record-ID"]), None if url == "urn:none" else url, headers["WARC-Type"], payload if with_payload and not revisit else None, length if revisit else len(payload), digest, _page_of(headers.get("WARC-Refers-To")), digest == told))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=[n for n, _ in types])
+        for path in batch.column(0).to_pylist():
+            with open_file(path) as file:
+                found = sorted(record_ranges(ByteRanges(file)))
+            runs: list[list[tuple[int, int]]] = []
+            for offset, length in found:
+                if not runs or offset + length - runs[-1][0][0] > RANGE_BYTES:
+                    runs.append([])
+                runs[-1].append((offset, length))
+            yield pa.RecordBatch.from_pydict({
+                "path": pa.array([path] * len(runs), pa.string()),
+                "offsets": pa.array([[o for o, _ in r] for r in runs], pa.list_(pa.int64())),
+                "lengths": pa.array([[n for _, n in r] for r in runs], pa.list_(pa.int64())),
+            })
+
+
+def _read_runs(batches: Iterable[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
+    def records():
+        for batch in batches:
+            for path, offsets, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open_file(path) as file:
+                    ranges = ByteRanges(file)
+                    end = max(o + n for o, n in zip(offsets, lengths, strict=True))
+                    # Records in a row are read at once; a single one may be longer than a run.
+                    raw = memoryview(ranges.read(offsets[0], end - offsets[0]))
+                for offset, length in zip(offsets, lengths, strict=True):
+                    yield parsed(raw[offset - offsets[0] : offset - offsets[0] + length])
+
+    yield from _rows(records(), with_payload)
+
+
+def _read_whole(batches: Iterable[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
+    yield from _rows((r for batch in batches for content in batch.column(0) for r in iter_records(memoryview(content.as_buffer()))), with_payload)
+
+
+def _reachable(path: str) -> bool:
+    if path.startswith(("file:", "/")):
+        return True
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path)
+    except Exception:  # each store's client fails in its own way
+        return False
+    return True
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row for each record of every archive below ``path``; revisits have no payload of their own."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(lambda batches: _unpack(batches, with_payload), RECORD_FIELDS)
+    files = spark.read.format("binaryFile").load(path)
+    if not _reachable(path):
+        return files.select("content").mapInArrow(lambda batches: _read_whole(batches, with_payload), RECORD_FIELDS)
+    # Without the column of contents Spark lists the files and reads none.
+    runs = files.select("path").repartition("path").mapInArrow(_runs, "path string, offsets array<long>, lengths array<long>")
+    dealt = runs.repartition("path", F.element_at("offsets", 1))
+    return dealt.mapInArrow(lambda batches: _read_runs(batches, with_payload), RECORD_FIELDS)

@@ -96,6 +96,17 @@ def test_toxicity_without_both_classes(spark):
     assert [r.score for r in toxicity.score(d, none).collect()] == [0.0, 0.0]
 
 
+def test_toxicity_of_repeated_rows_and_empty_tables(spark):
+    docs, labels = toxic_rows(5, 400)
+    d, truth = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels * 2, "doc_id long, toxic int")
+    model = toxicity.learn(d, truth)
+    rows = toxicity.score(d.limit(20).unionByName(d.limit(20)), model).collect()
+    assert len(rows) == 40 and len({(r.key.doc_id, r.score) for r in rows}) == 20
+    assert toxicity.score(d.limit(0), model).count() == 0
+    none = toxicity.learn(d.limit(0), truth)
+    assert {r.score for r in toxicity.score(d.limit(3), none).collect()} == {0.0}
+
+
 @pytest.mark.parametrize("word,expected", [("St1nk3r!", ("stinker", True)), ("plain,", ("plain", False)), ("it's", ("it's", False)), ("42", ("42", False)), ("###", ("", False))])
 def test_words_are_read_plainly(word, expected):
     assert toxicity.plain(word) == expected
@@ -124,6 +135,27 @@ def test_rates_reach_the_targets_like_a_direct_solution(spark):
     assert np.abs(r - rate).max() < 0.02
 
 
+def test_rare_domains_reach_their_targets(spark):
+    """A domain with a thousandth of the tokens gets its share as exactly as the large ones."""
+    tokens = {"big": 899_000, "mid": 100_000, "rare": 1000}
+    members = spark.createDataFrame([((i,), n // 10, [float(d == name) for d in tokens]) for i, (name, n) in enumerate((k, v) for k, v in tokens.items() for _ in range(10))], "key struct<doc_id:long>, n_tokens long, posterior array<double>")
+    domains = mixing.Domains(list(tokens), np.ones(3) / 3, np.zeros((1, 3)))
+    fit = mixing.fit_rates(members, domains, {"big": 0.9, "mid": 0.098, "rare": 0.002})
+    rows = mixing.with_rates(members, fit, domains).collect()
+    reached = np.sum([np.array(r.posterior) * r.n_tokens * r.rate for r in rows], axis=0) / 1_000_000
+    assert np.abs(reached / [0.9, 0.098, 0.002] - 1).max() < 0.005
+
+
+def test_mixing_of_repeated_long_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "apple pear " * 50_000), (2, "iron zinc"), (2, "iron zinc"), (3, "iron"), (4, "apple")], "doc_id long, text string")
+    domains = mixing.learn(docs, spark.createDataFrame([(3, "metal"), (4, "fruit"), (4, "metal")], "doc_id long, domain string"))
+    members = mixing.memberships(docs, domains)
+    rows = mixing.with_rates(members, mixing.fit_rates(members, domains, {"fruit": 1.0, "metal": 1.0}), domains).collect()
+    assert sorted(r.n_tokens for r in rows) == [1, 1, 2, 2, 100_000] and len({(tuple(r.posterior), r.rate) for r in rows if r.key.doc_id == 2}) == 1
+    none = docs.limit(0)
+    assert mixing.with_rates(mixing.memberships(none, domains), mixing.fit_rates(mixing.memberships(none, domains), domains, {"fruit": 1.0}), domains).count() == 0
+
+
 def test_memberships_and_odd_rows(spark):
     docs = spark.createDataFrame([(i, ("apple pear plum " if i % 2 else "iron steel zinc ") * 20) for i in range(40)] + [(100, None), (101, ""), (None, "apple iron")], "doc_id long, text string")
     domains = mixing.learn(docs, spark.createDataFrame([(i, "fruit" if i % 2 else "metal") for i in range(30)] + [(None, "x"), (5, None)], "doc_id long, domain string"))

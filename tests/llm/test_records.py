@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import zipfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,56 @@ def test_zip64_directory_and_offsets():
         warc.read_directory(warc.ByteRanges(b"no archive at all, but long enough"))
 
 
+def packed_records(ids):
+    return [zlib.compress(warc.warc_record(i, f"u{i}", b"text %d" % i, hashlib.sha1(b"text %d" % i).hexdigest(), None), wbits=31) for i in ids]
+
+
+def test_ranges_of_a_large_archive_are_read_alone(spark, tmp_path):
+    """A sparse package of five gigabytes: far above what can be loaded, with its records behind a hole."""
+    import struct
+
+    records, hole = packed_records(range(40)), 5 << 30
+    data = b"".join(records)
+    index = "\n".join(f'{i} 1970 {{"offset": {sum(map(len, records[:i]))}, "length": {len(records[i])}, "filename": "data.warc.gz"}}' for i in range(40)).encode()
+    (tmp_path / "w").mkdir()
+    with open(tmp_path / "w" / "part-0", "wb") as file:
+        places = []
+        for name, body in ((b"archive/other.bin", None), (b"archive/data.warc.gz", data), (b"indexes/index.cdxj.gz", zlib.compress(index, wbits=31))):
+            size = hole if body is None else len(body)
+            places.append((name, size, file.tell()))
+            file.write(struct.pack(warc.LOCAL_LAYOUT, warc.LOCAL_SIGNATURE, 45, 0, 8 if body is None else 0, 0, 0, 0, 0, 0, len(name), 0) + name)
+            file.seek(size, 1) if body is None else file.write(body)
+        at = file.tell()
+        for name, size, offset in places:
+            extra = struct.pack("<2H3Q", warc.ZIP64_EXTRA, 24, size, size, offset)
+            file.write(struct.pack(warc.ENTRY_LAYOUT, warc.ENTRY_SIGNATURE, 45, 45, 0, 8 if size == hole else 0, 0, 0, 0, warc.FULL32, warc.FULL32, len(name), len(extra), 0, 0, 0, 0, warc.FULL32) + name + extra)
+        size = file.tell() - at
+        file.write(struct.pack(warc.END64_LAYOUT, warc.END64_SIGNATURE, 44, 45, 45, 0, 0, 3, 3, size, at))
+        file.write(struct.pack(warc.END64_LOCATOR_LAYOUT, warc.END64_LOCATOR_SIGNATURE, 0, at + size, 1))
+        file.write(struct.pack(warc.END_LAYOUT, warc.END_SIGNATURE, 0, 0, warc.FULL16, warc.FULL16, warc.FULL32, warc.FULL32, 0))
+    rows = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((r.page_id, bytes(r.payload), r.digest_ok) for r in rows) == [(i, b"text %d" % i, True) for i in range(40)]
+
+
+def test_members_without_an_index_are_scanned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 2000)
+    (tmp_path / "w x").mkdir()
+    with zipfile.ZipFile(tmp_path / "w x" / "part 1", "w", zipfile.ZIP_STORED) as package:
+        package.writestr("archive/a.warc.gz", b"".join(packed_records(range(30))))
+        package.writestr("archive/b.warc.gz", b"".join(packed_records(range(100, 103))))
+        package.writestr("indexes/index.cdxj", '101 1970 {"offset": %d, "length": %d, "filename": "b.warc.gz"}' % tuple(len(x) for x in packed_records([100, 101])))
+    assert sorted(r.page_id for r in warc.read_archives(spark, f"file://{tmp_path}/w x").collect()) == [*range(30), 101]
+    package = (tmp_path / "w x" / "part 1").read_bytes()
+    assert sorted(warc._page_of(h["WARC-Record-ID"]) for h, _ in warc.iter_records(package)) == [*range(30), 101]
+    assert list(warc.scan_member(warc.ByteRanges(b"".join(packed_records([7, 8]))), 0, sum(map(len, packed_records([7, 8]))), 3)) == [(0, len(packed_records([7])[0])), (len(packed_records([7])[0]), len(packed_records([8])[0]))]
+
+
+def test_a_very_long_page(spark, tmp_path):
+    long = "<p>word é " * 400_000
+    (row,) = round_trip(spark, [(1, "u", long, None, 0)], str(tmp_path / "w"))
+    assert bytes(row.payload).decode() == long and row.payload_bytes == len(long.encode())
+
+
 # ------------------------------------------------------------------- SimHash
 
 
