@@ -13,13 +13,17 @@ own. Two means keep this small:
   hash is its anchor. Equal windows have equal anchors at equal places, so windows are grouped
   by their anchor, and neighbouring windows with one anchor form one row (about one row for
   eight windows). This loses no repeat.
-* Variable-length prefixes. A prefix that very many documents hold would make one large
-  group. Such prefixes (found in a sample; this steers the balance only, never the result)
-  are lengthened to all ``window`` words, which splits their group by what surrounds them.
-  Of equal rows in one block of text, only the earliest leaves the task, so a passage that a
-  third of all documents share reaches its group once for each block.
+* Variable-length prefixes. A prefix whose group would outgrow ``GROUP_BYTES``, or a good part of a
+  partition, is lengthened to all ``window`` words, which splits its group by what surrounds it
+  (found in a sample; this steers the balance only, never the result). Of equal rows in one
+  block of text, only the earliest leaves the task, so a passage that a third of all documents
+  share reaches its group once for each block.
 
-A suffix in a group is known by a 64-bit hash of its prefix and a 40-bit hash of its window.
+A group's rows arrive in the order of their documents and are searched batch by batch; all that
+is held of a group are its nodes met so far, with their earliest leaves. So a group of any number
+of rows takes the memory of its different windows, which is one for a lengthened prefix.
+
+A suffix in a group is known by a 64-bit hash of its prefix and a 48-bit hash of its window.
 
 Defined cases: a null, empty or short text has no window and loses nothing; a null id counts
 as the largest; rows repeated with equal id and text are one document and get equal results;
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +48,15 @@ from .common import lean, pieces
 
 WINDOW = 20
 PREFIX_WORDS = 6
-WINDOW_HASH_BYTES = 5
+WINDOW_HASH_BYTES = 6
 #: Bytes of text that a task looks at together.
 BLOCK_BYTES = 12 << 20
 #: Words whose hash a task keeps at hand.
 CACHE_WORDS = 400_000
 #: Documents sampled for each shuffle partition to find prefixes to lengthen, and how many of them must hold one.
 SAMPLE_DOCS, SAMPLE_HITS = 64, 16
+#: Bytes of a group above which its prefix is lengthened, and of one of its rows.
+GROUP_BYTES, ROW_BYTES = 32 << 20, 112
 #: An odd constant, the base of the rolling hash.
 BASE = 0x9E3779B97F4A7C15
 
@@ -169,8 +176,13 @@ def _suffixes(batches: Iterable[pa.RecordBatch], window: int, long_prefixes: np.
             yield _suffix_rows(spread, ids[doc[again]], versions[doc[again]], start[again], ((1 << count[again]) - 1).astype(np.int32), pa.nulls(len(again), pa.binary()))
 
 
+ROW_KIND = "prefix long, doc_id long, tag long, start int, windows binary"
+
+
 def _suffix_rows(key, ids, versions, start, mask, packed) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(versions.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(mask), packed], ["prefix", "doc_id", "version", "start", "mask", "windows"])
+    """``tag`` has the version above, and below it the mask of windows that are repeats already."""
+    tag = (versions.astype(np.int64) << 32) | mask
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(tag), pa.array(start.astype(np.int32)), packed], ["prefix", "doc_id", "tag", "start", "windows"])
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -199,57 +211,65 @@ def _prefixes(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 
 @lean
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by prefix, the windows that start earlier too, as a bit mask for each row."""
-    held: list[pa.RecordBatch] = []
-    for batch in _then_none(batches):
-        if batch is not None:
-            if not batch.num_rows:
-                continue
-            last = batch.column(0)[-1].as_py()
-            prefix = batch.column(0).to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(prefix, last))
-            if not cut:
-                held.append(batch)
-                continue
-            ready, held = [*held, batch.slice(0, cut)], [batch.slice(cut)]
-        else:
-            ready, held = held, []
-        if ready:
-            yield _repeats_of(pa.Table.from_batches(ready).combine_chunks().to_batches()[0])
-
-
-def _repeats_of(rows: pa.RecordBatch) -> pa.RecordBatch:
-    prefix, ids, versions, start, mask = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-    out = mask.astype(np.int32)
-    live = np.flatnonzero(~np.asarray(rows.column(5).is_null()))
+    """Of rows sorted by prefix, document and start, the windows that start earlier too, as a bit mask for each row."""
+    nodes = Nodes(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64)))
+    for batch in batches:
+        if batch.num_rows:
+            found, nodes = _repeats_of(batch, nodes)
+            yield found
+
+
+@dataclass(frozen=True)
+class Nodes:
+    """Nodes at the window's depth, each with its earliest leaf."""
+
+    prefix: np.ndarray
+    window: np.ndarray
+    doc: np.ndarray
+    version: np.ndarray
+    at: np.ndarray
+
+
+def _repeats_of(rows: pa.RecordBatch, nodes: Nodes) -> tuple[pa.RecordBatch, Nodes]:
+    """The repeats among the rows and after ``nodes``, which earlier rows have left; the nodes of the last group."""
+    prefix, ids, tag, start = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    versions, out = tag >> 32, (tag & 0xFFFFFFFF).astype(np.int32)
+    last = prefix[-1]
+    held = len(nodes.prefix)
+    live = np.flatnonzero(~np.asarray(rows.column(4).is_null()))
+    # Groups of one row have no repeats, unless an earlier batch or the next one has more of theirs.
     group = np.cumsum(np.r_[0, prefix[live][1:] != prefix[live][:-1]]) if len(live) else live
-    live = live[np.bincount(group)[group] > 1] if len(live) else live
     if len(live):
-        packed = rows.column(5).take(pa.array(live))
+        open_ = (prefix[live] == last) | (prefix[live] == nodes.prefix[0] if held else False)
+        live = live[(np.bincount(group)[group] > 1) | open_]
+    row, offset, window = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(live):
+        packed = rows.column(4).take(pa.array(live))
         ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
         raw = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, WINDOW_HASH_BYTES)
         count = np.diff(ends) // WINDOW_HASH_BYTES
-        window = np.zeros((len(raw), 8), np.uint8)
-        window[:, :WINDOW_HASH_BYTES] = raw
-        window = window.view(np.uint64)[:, 0]
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :WINDOW_HASH_BYTES] = raw
+        window = wide.view(np.uint64)[:, 0]
         row = np.repeat(live, count)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        at = start[row] + offset
-        # The suffixes of each group in sorted order: by prefix, window, then document and place.
-        order = np.lexsort((at, versions[row], ids[row], window, prefix[row]))
-        row, offset, at, window = row[order], offset[order], at[order], window[order]
-        head = np.r_[True, (window[1:] != window[:-1]) | (prefix[row[1:]] != prefix[row[:-1]])]
+    # The suffixes of each group in sorted order: by prefix, window, then document and place; held nodes have row -1.
+    row = np.r_[np.full(held, -1), row]
+    of = lambda own, column: np.r_[own, column[row[held:]]]
+    all_prefix, doc, version, at = of(nodes.prefix, prefix), of(nodes.doc, ids), of(nodes.version, versions), of(nodes.at, start.astype(np.int64))
+    at[held:] += offset
+    window = np.r_[nodes.window, window]
+    order = np.lexsort((at, version, doc, window, all_prefix))
+    row, all_prefix, doc, version, at, window, offset = (x[order] for x in (row, all_prefix, doc, version, at, window, np.r_[np.zeros(held, np.int64), offset]))
+    if len(row):
+        head = np.r_[True, (window[1:] != window[:-1]) | (all_prefix[1:] != all_prefix[:-1])]
         leader = np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))
-        first = row[leader]
-        again = ~head & ~((ids[row] == ids[first]) & (versions[row] == versions[first]) & (at == at[leader]))
+        again = ~head & ~((doc == doc[leader]) & (version == version[leader]) & (at == at[leader]))
         np.bitwise_or.at(out, row[again], (1 << offset[again]).astype(np.int32))
+        keep = head & (all_prefix == last)
+        nodes = Nodes(*(x[keep] for x in (all_prefix, window, doc, version, at)))
     hit = np.flatnonzero(out)
-    return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(versions[hit]), pa.array(start[hit]), pa.array(out[hit])], ["doc_id", "version", "start", "mask"])
-
-
-def _then_none(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(versions[hit].astype(np.int32)), pa.array(start[hit]), pa.array(out[hit])], ["doc_id", "version", "start", "mask"]), nodes
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -262,15 +282,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def long_prefixes(keyed: DataFrame, window: int = WINDOW) -> np.ndarray:
     """Prefixes that so many documents hold that their group would outgrow a shuffle partition.
 
-    The sample has SAMPLE_DOCS documents for each shuffle partition; a prefix counts if at least
-    SAMPLE_HITS sampled documents hold it (a quarter of a partition's share of documents).
+    The sample has SAMPLE_DOCS documents for each shuffle partition, or more, so that SAMPLE_HITS of them stand
+    for GROUP_BYTES; a prefix counts if at least SAMPLE_HITS sampled documents hold it.
     """
     spark = keyed.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = keyed.count()
     sample = keyed.select("doc_id", "version", "text")
-    if total > SAMPLE_DOCS * partitions:
-        sample = sample.sample(SAMPLE_DOCS * partitions / total, seed=1)
+    wanted = max(SAMPLE_DOCS * partitions, SAMPLE_HITS * ROW_BYTES / GROUP_BYTES * total)
+    if total > wanted:
+        sample = sample.sample(wanted / total, seed=1)
     counts = sample.mapInArrow(lambda batches: _prefixes(batches, window), "prefix long").groupBy("prefix").count()
     return np.array([r[0] for r in counts.filter(F.col("count") >= SAMPLE_HITS).select("prefix").collect()], np.int64).view(np.uint64)
 
@@ -281,8 +302,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         raise ValueError(f"window must have {PREFIX_WORDS} to {30 + PREFIX_WORDS} words")
     keyed = _keyed(docs, id_col, text_col).select("doc_id", "version", "text")
     long = long_prefixes(keyed, window)
-    rows = keyed.mapInArrow(lambda batches: _suffixes(batches, window, long), "prefix long, doc_id long, version int, start int, mask int, windows binary")
-    dealt = rows.repartition("prefix").sortWithinPartitions("prefix")
+    rows = keyed.mapInArrow(lambda batches: _suffixes(batches, window, long), ROW_KIND)
+    dealt = rows.repartition("prefix").sortWithinPartitions("prefix", "doc_id", "tag", "start")
     return dealt.mapInArrow(_repeats, "doc_id long, version int, start int, mask int")
 
 

@@ -252,6 +252,32 @@ def test_lengthened_prefixes_give_the_same(spark, monkeypatch):
     assert {r.row.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_passages(rows)
 
 
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_groups_are_searched_in_batches_of_any_size(size):
+    """The marks don't depend on where batches end, and of a group only its different windows are held."""
+    rows = [(i, " ".join(WORDS[:40])) for i in range(300)] + [(1000 + i, " ".join(WORDS[i % 3 : 30])) for i in range(50)]
+    texts = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([t for _, t in rows])], ["doc_id", "version", "text"])
+    parts = [p for i in range(0, len(rows), 5) for p in substrings._suffixes([texts.slice(i, 5)], 20, np.zeros(0, np.uint64))]
+    table = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in ("prefix", "doc_id", "tag", "start")]).combine_chunks()
+    marks = lambda n: sorted(tuple(r.values()) for b in substrings._repeats(table.to_batches(n)) for r in b.to_pylist())
+    assert marks(size) == marks(10_000) and len(marks(size)) > 300
+    nodes, most = substrings.Nodes(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))), 0
+    for batch in table.to_batches(size):
+        _, nodes = substrings._repeats_of(batch, nodes)
+        most = max(most, len(nodes.prefix))
+    assert most <= 21
+
+
+def test_prefixes_are_lengthened_by_bytes(spark, monkeypatch):
+    text = " ".join(WORDS[:25])
+    keyed = substrings._keyed(spark.createDataFrame([(i, f"{text} x{i}") for i in range(200)], "doc_id long, text string"), "doc_id", "text")
+    monkeypatch.setattr(substrings, "SAMPLE_DOCS", 0)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 200 * substrings.ROW_BYTES)
+    assert not len(substrings.long_prefixes(keyed))
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 20 * substrings.ROW_BYTES)
+    assert len(substrings.long_prefixes(keyed))
+
+
 def test_passages_of_repeated_and_null_rows(spark):
     text = " ".join(WORDS[:30])
     rows = [(5, text, 1), (5, text, 1), (None, text, 2), (9, text, 3)]
