@@ -53,6 +53,18 @@ def test_language_accuracy_spans_and_odd_rows(spark):
     assert languages.identify(spark.createDataFrame([], odd.schema), model).count() == 0
 
 
+def test_languages_of_null_ids_repeated_rows_and_ties(spark):
+    letters = {"xx": "abcd", "yy": "abcd", "zz": "mnop"}
+    rows = [(i, " ".join(letters[k] * 5 for _ in range(20)), k) for i, k in enumerate(letters)] + [(None, "qrst " * 30, "null id"), (2, letters["zz"] * 30, "zz")]
+    model = languages.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == ["xx", "yy", "zz"]
+    odd = spark.createDataFrame([(None, "abcdabcd", "k"), (1, "abcd abcd", "k"), (1, "abcd abcd", "k"), (2, "mnop", "k")], "doc_id long, text string, key string")
+    out = languages.identify(odd.withColumn("held_out", languages.held_out()), model).collect()
+    # Equal languages tie; the first by name gets the text.
+    assert sorted((str(r.key.doc_id), r.lang_pred) for r in out) == [("1", "xx"), ("1", "xx"), ("2", "zz"), ("None", "xx")]
+    assert [r.key.held_out for r in out if r.key.doc_id is None] == [False] and {r.key.key for r in out} == {"k"}
+
+
 def test_nothing_learned_means_undetermined(spark):
     model = languages.learn(spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string"))
     row = languages.identify(spark.createDataFrame([(1, "text")], "doc_id long, text string"), model).first()
@@ -235,6 +247,13 @@ def test_encode_and_decode_rows(spark):
     assert sentencepieces.encode(df.limit(0)).count() == 0
 
 
+def test_tokens_of_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "two words"), (1, "two words"), (1, "two words"), (2, None)], "doc_id long, text string")
+    rows = sentencepieces.encode(df).collect()
+    assert len(rows) == 4 and len({tuple(r.token_ids) for r in rows if r.token_ids is not None}) == 1
+    assert [r.n_tokens for r in rows if r.key.doc_id == 2] == [None]
+
+
 # --------------------------------------------------------------------- pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
