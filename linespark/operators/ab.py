@@ -20,6 +20,14 @@ def pair_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     return long(a, "a").join(long(b, "b"), ["seed", "metric"])
 
 
+def pair_arms(runs: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
+    """(seed, metric, a, b) of one table of runs with their ``arm``, one for each arm and seed, in one pass."""
+    names = [m for m, _, _ in METRICS]
+    long = runs.select("seed", "arm", *(F.col(m).cast("double").alias(m) for m in names)).unpivot(["seed", "arm"], names, "metric", "value")
+    of = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("value")))
+    return long.groupBy("seed", "metric").agg(of(a).alias("a"), of(b).alias("b")).filter("a is not null and b is not null")
+
+
 def paired_ci(pairs: DataFrame) -> DataFrame:
     """Means of both arms and of the differences, with a 95 % interval (0 for a single pair)."""
     delta = F.col("b") - F.col("a")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import div
@@ -22,8 +22,8 @@ def filter_running(df: DataFrame, min_values: dict[str, float]) -> DataFrame:
     return df.filter(~(F.col("value") < least))
 
 
-def score_window(events: DataFrame, split_days: int, start_ms: int = 0) -> DataFrame:
-    """Cycles that end at least ``split_days`` shifts after the start of the clock."""
+def score_window(events: DataFrame, split_days: int, start_ms: int | Column = 0) -> DataFrame:
+    """Cycles that end at least ``split_days`` shifts after the start of the clock, a number or a column of the events."""
     return events.filter(F.col("ts_end_ms") >= start_ms + split_days * SHIFT_MS)
 
 

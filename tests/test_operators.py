@@ -230,6 +230,9 @@ def test_paired_ci_and_verdicts(spark):
     ci = ab.paired_ci(ab.pair_runs(runs(100, 5.0, 0.9), runs(110, 6.0, 0.9)))
     rows = {r.metric: r for r in ab.ab_table(ci).collect()}
     assert (rows["throughput_good_parts"].verdict, rows["total_downtime_h"].verdict, rows["line_oee"].verdict) == ("B better", "B WORSE", "no effect")
+    both = runs(100, 5.0, 0.9).withColumn("arm", F.lit("A")).unionByName(runs(110, 6.0, 0.9).filter("seed < 3").withColumn("arm", F.lit("B")))
+    pairs = ab.pair_runs(runs(100, 5.0, 0.9), runs(110, 6.0, 0.9).filter("seed < 3"))
+    assert sorted(map(tuple, ab.pair_arms(both).collect())) == sorted(map(tuple, pairs.collect()))
     one = ab.paired_ci(ab.pair_runs(runs(1, 1.0, 1.0).limit(1), runs(2, 1.0, 1.0).limit(1)))
     assert all(r.delta_ci95 == 0.0 for r in one.collect())
 
