@@ -1,8 +1,8 @@
 """As-of and interval joins between samples, maintenance stops and cycles.
 
-A maintenance log with few rows (counted first) is broadcast as a grid: each station's time is cut
-into as many cells as it has stops, and a cell holds its own stops and the last one before it. A
-sample meets one cell by an equi-join and looks through that cell's stops, about one.
+A maintenance log with few rows (counted first) is broadcast as intervals dealt over a grid of cells: time is
+cut so that a station has about as many cells as stops, and an interval has a row for each cell that it
+meets, about two. A sample meets the intervals of its own cell by an equi-join on station and cell.
 Beyond that, and for cycles, rows of both sides are put on one time line for each (station, time
 chunk), and a window carries the value along; what was carried into a chunk is worked out from one
 row per chunk. So a station's whole time line never has to fit one task.
@@ -13,7 +13,9 @@ result's column is replaced, as ``withColumn`` does; other names never clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import div
@@ -55,26 +57,39 @@ def _carried(left: DataFrame, marks: DataFrame, forward: bool) -> DataFrame:
     return carried.join(entry, ["station", "chunk"], "left").select("row", F.coalesce("mark", "entry").alias("mark"))
 
 
-def _latest(samples: DataFrame, marks: DataFrame, name: str) -> DataFrame:
-    """Samples with ``name``: the struct (at, value) of their station's latest mark at or before ``ts_ms``, or null.
+@dataclass(frozen=True)
+class Grid:
+    """Cells of time that suit a log of few rows: where they begin, how long they are and how many there are."""
 
-    ``marks`` (station, at, value) are few and are broadcast as a grid of cells.
-    """
-    spans = marks.groupBy("station").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").cast("long").alias("cells"))
-    spans = spans.withColumn("step", F.greatest(F.lit(1).cast("long"), F.ceil((F.col("last") - F.col("first") + 1) / F.col("cells")).cast("long")))
-    cell = lambda at: F.least(div(at - F.col("first"), F.col("step")), F.col("cells"))
-    inside = marks.join(spans, "station").groupBy("station", cell(F.col("at")).alias("cell")).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("own"))
-    grid = spans.select("station", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells"))).alias("cell")).join(inside, ["station", "cell"], "left")
-    before = Window.partitionBy("station").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("entry", F.last(F.element_at("own", -1), ignorenulls=True).over(before))
-    grid = F.broadcast(grid.select(F.struct(F.col("station").alias("on"), F.col("cell").alias("cell"), "own", "entry").alias("_grid")))
-    spans = F.broadcast(spans.select(F.struct(F.col("station").alias("on"), "first", "step", "cells").alias("_span")))
-    rows = samples.select(F.struct("*").alias("_row")).join(spans, F.col("_row.station") == F.col("_span.on"), "left")
-    place = F.when(F.col("_row.ts_ms") >= F.col("_span.first"), F.least(div(F.col("_row.ts_ms") - F.col("_span.first"), F.col("_span.step")), F.col("_span.cells")))
-    met = rows.join(grid, (F.col("_span.on") == F.col("_grid.on")) & (place == F.col("_grid.cell")), "left")
-    passed = F.filter(F.col("_grid.own"), lambda m: m["at"] <= F.col("_row.ts_ms"))
-    found = F.coalesce(F.when(F.size(passed) > 0, F.element_at(passed, -1)), F.col("_grid.entry"))
-    return met.select(*(F.col("_row")[c].alias(c) for c in samples.columns if c != name), found.alias(name))
+    first: int
+    step: int
+    cells: int
+
+    def cell(self, at: Column) -> Column:
+        """The cell of a time; none before the first."""
+        return F.when(at >= self.first, F.least(div(at - F.lit(self.first), self.step), F.lit(self.cells).cast("long")))
+
+    def dealt(self, spans: DataFrame) -> DataFrame:
+        """Rows (station, begin, end) as structs ``_span`` for each cell that they meet; without an end they go on."""
+        last = F.coalesce(self.cell(F.col("end") - 1), F.lit(self.cells).cast("long"))
+        cells = F.sequence(self.cell(F.col("begin")), last)
+        return F.broadcast(spans.withColumn("cell", F.explode(cells)).select(F.struct("station", "begin", "end", "cell").alias("_span")))
+
+    def met(self, samples: DataFrame, spans: DataFrame) -> DataFrame:
+        """(_row, _span): each sample with the span of its station that it lies in, if there is one; spans don't overlap."""
+        at, span = F.col("_row.ts_ms"), F.col("_span")
+        inside = (F.col("_row.station") == span["station"]) & (self.cell(at) == span["cell"]) & (at >= span["begin"]) & (span["end"].isNull() | (at < span["end"]))
+        return samples.select(F.struct("*").alias("_row")).join(self.dealt(spans), inside, "left")
+
+
+def _grid(maintenance: DataFrame, most: int) -> Grid | None:
+    """A grid for the log, or none if it has more rows than may be broadcast."""
+    ends = F.col("ts_ms") + F.col("duration_ms")
+    n, low, high, stations = maintenance.agg(F.count("*"), F.min(F.least("ts_ms", ends)), F.max(F.greatest("ts_ms", ends)), F.approx_count_distinct("station")).first()
+    if n > most:
+        return None
+    cells = -(-n // max(1, stations)) + 1
+    return Grid(low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // cells)), cells)
 
 
 def asof_maintenance(telemetry: DataFrame, maintenance: DataFrame, keep_unmatched: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -83,24 +98,37 @@ def asof_maintenance(telemetry: DataFrame, maintenance: DataFrame, keep_unmatche
     Samples before the first stop are dropped (their tool's age is unknown), or have a null
     ``fresh`` with ``keep_unmatched``.
     """
-    ends = maintenance.select("station", (F.col("ts_ms") + F.col("duration_ms")).alias("at")).filter("at >= 0 and station is not null").distinct()
-    if maintenance.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        out = _latest(telemetry, ends.withColumn("value", F.col("at")), "fresh").withColumn("fresh", F.col("fresh.at"))
+    kept = [c for c in telemetry.columns if c != "fresh"]
+    if grid := _grid(maintenance, broadcast_rows):
+        spans = maintenance_intervals(maintenance).filter("until is null or until > fresh").select("station", F.col("fresh").alias("begin"), F.col("until").alias("end"))
+        out = grid.met(telemetry, spans).select(*(F.col("_row")[c].alias(c) for c in kept), F.col("_span.begin").alias("fresh"))
     else:
+        ends = maintenance.select("station", (F.col("ts_ms") + F.col("duration_ms")).alias("at")).filter("at >= 0 and station is not null").distinct()
         rows = telemetry.select("station", F.col("ts_ms").alias("at"), F.struct("*").alias("row"))
-        found = _carried(rows, ends, forward=False)
-        out = found.select(*(F.col("row")[c].alias(c) for c in telemetry.columns if c != "fresh"), F.col("mark").alias("fresh"))
+        out = _carried(rows, ends, forward=False).select(*(F.col("row")[c].alias(c) for c in kept), F.col("mark").alias("fresh"))
     return out if keep_unmatched else out.filter("fresh is not null")
 
 
+def _stops(maintenance: DataFrame) -> DataFrame:
+    return maintenance.select("station", F.col("ts_ms").alias("begin"), (F.col("ts_ms") + F.col("duration_ms")).alias("end")).filter("end > begin and station is not null")
+
+
+def _merged_few(maintenance: DataFrame) -> DataFrame:
+    """``merged_stops`` of a log with few rows, by one sort of each station's."""
+    order = Window.partitionBy("station").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    stops = _stops(maintenance).withColumn("new", F.when(before.isNull() | (F.col("begin") > before), 1).otherwise(0))
+    stops = stops.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return stops.groupBy("station", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+
+
 def merged_stops(maintenance: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """(station, begin, end) of stops [ts, ts + duration), overlapping or touching ones merged.
 
     Stops are sorted by (station, chunk); one row a chunk carries the latest end and the number of
     merged stops to the chunks after it.
     """
-    stops = maintenance.select("station", F.col("ts_ms").alias("begin"), (F.col("ts_ms") + F.col("duration_ms")).alias("end")).filter("end > begin and station is not null")
-    stops = stops.withColumn("chunk", F.floor(F.col("begin") / F.lit(chunk_ms)).cast("long"))
+    stops = _stops(maintenance).withColumn("chunk", F.floor(F.col("begin") / F.lit(chunk_ms)).cast("long"))
     earlier = Window.partitionBy("station").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ends = stops.groupBy("station", "chunk").agg(F.max("end").alias("last")).withColumn("reach", F.max("last").over(earlier))
     order = Window.partitionBy("station", "chunk").orderBy("begin", "end")
@@ -114,11 +142,10 @@ def merged_stops(maintenance: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
 
 def label_stopped(telemetry: DataFrame, maintenance: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Samples with ``stopped``: whether they lie in a stop of their station. No sample is repeated."""
-    stops = merged_stops(maintenance)
     kept = [c for c in telemetry.columns if c != "stopped"]
-    if maintenance.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        marks = stops.select("station", F.col("begin").alias("at"), F.col("end").alias("value"))
-        return _latest(telemetry, marks, "stopped").withColumn("stopped", F.coalesce(F.col("ts_ms") < F.col("stopped.value"), F.lit(False)))
+    if grid := _grid(maintenance, broadcast_rows):
+        return grid.met(telemetry, _merged_few(maintenance)).select(*(F.col("_row")[c].alias(c) for c in kept), F.col("_span").isNotNull().alias("stopped"))
+    stops = merged_stops(maintenance)
     rows = telemetry.select("station", F.col("ts_ms").alias("at"), F.struct("*").alias("row"))
     last = _carried(rows, stops.select("station", F.col("begin").alias("at")), forward=False)
     spans = stops.select(F.col("station").alias("on_station"), "begin", "end")

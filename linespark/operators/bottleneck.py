@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 from ..schemas import CYCLE_ORDER
 
-CHUNK_MS = 8 * 3600 * 1000
+#: A week: some ten thousand cycles of a station.
+CHUNK_MS = 7 * 24 * 3600 * 1000
 
 
 def _chunks(part_events: DataFrame, chunk_ms: int) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import CYCLE_ORDER
 
 ORDER = [*CYCLE_ORDER, "down_ms", "status"]
-CHUNK_MS = 8 * 3600 * 1000
+#: A week: some ten thousand cycles of a station.
+CHUNK_MS = 7 * 24 * 3600 * 1000
 
 
 def cycles_since_maintenance(part_events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
