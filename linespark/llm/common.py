@@ -109,6 +109,31 @@ def pieces(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int) -> It
             yield batch.slice(begin)
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self, first: int = 0):
+        self.first = first
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + self.first
+        return number
+
+
+def joined(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Join record batches so that the texts of one hold about ``max_bytes`` (one row at least, and the last what is left)."""
+    held, size = [], 0
+    for piece in pieces(batches, column, max_bytes // 4):
+        n = sum(_lengths(piece.column(column)))
+        if held and size + n > max_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(piece)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _lengths(array: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 

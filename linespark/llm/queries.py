@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, media, mixing, neighbours, pages, sentencepieces, simhash, substrings, toxicity, warc
+from . import decontamination, languages, media, mixing, neighbours, oracles, pages, periodic, sentencepieces, simhash, substrings, toxicity, variants, warc
 from .common import new_path, shipped, written
 
 
@@ -84,8 +84,60 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("key.doc_id", "n_tokens", "posterior", "rate", mixing.copies(F.col("rate"), "key.doc_id").alias("copies"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents, each tenth of which by the checksum of its id repeats a stretch of its words with a period up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i).cast("int"))))
+
+    # The words are bound as the one element of a list, so that they are split once for all places.
+    words = F.array(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    planted = F.get(F.transform(words, lambda w: F.when(F.size(w) > 0, again(w))), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(planted, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_periods(_table(spark, sf_dir, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    longest = F.struct(first["start"].alias("start"), (-first["minus"]).alias("length"), first["period"].alias("period"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")), 256)
+    rows = found.select("key.doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), digest.alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("r.length") / F.col("r.period")).alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", "r.start", "r.length", "r.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def with_slips(docs: DataFrame) -> DataFrame:
+    """(word): the words of all texts; where the checksum of document and word is a multiple of 97 a letter is left out."""
+    words = docs.select("doc_id", F.explode(variants.words_of(F.col("text"))).alias("word"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")))
+    at = (h % F.length("word")).cast("int")
+    slip = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    return words.select(F.when(h % 97 == 0, slip).otherwise(F.col("word")).alias("word"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.vocabulary(with_slips(_table(spark, sf_dir, "documents"))))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = written(decontamination.index_shards(_table(spark, sf_dir, "documents").select("doc_id", "text")), "shards")
+    found = decontamination.occurrences(index, _table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["length"])
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    rows = found.select("key.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
+    return rows.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_warc, op2_simhash, op3_languages, op4_neighbours, op5_sentencepiece, op6_substrings, op7_pages, op8_media, op9_toxicity, op10_mixing]
+    found += [op11_periodic, op12_variants, op13_decontamination]
     return {f.__name__: shipped(f) for f in found}
 
 
@@ -109,4 +161,4 @@ select query_id, rank::int rank, vec_id, score from r where rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op11_periodic": oracles.OP11, "op12_variants": oracles.OP12, "op13_decontamination": oracles.OP13}
