@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Metrics with their labels and the better direction.
@@ -13,19 +13,23 @@ METRICS = [
 ]
 
 
-def pair_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(seed, metric, a, b): the metrics of the runs of both arms that share a seed."""
-    names = [m for m, _, _ in METRICS]
-    long = lambda df, name: df.select("seed", *(F.col(m).cast("double").alias(m) for m in names)).unpivot(["seed"], names, "metric", name)
-    return long(a, "a").join(long(b, "b"), ["seed", "metric"])
+def _once(arm: str) -> Column:
+    """The arm's one value; a seed that ran twice is refused rather than picked from."""
+    own = F.when(F.col("arm") == arm, F.col("value"))
+    return F.when(F.count(own) > 1, F.raise_error(F.concat(F.lit(f"arm {arm} has several runs of seed "), F.first("seed").cast("string")))).otherwise(F.max(own))
 
 
 def pair_arms(runs: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
     """(seed, metric, a, b) of one table of runs with their ``arm``, one for each arm and seed, in one pass."""
     names = [m for m, _, _ in METRICS]
     long = runs.select("seed", "arm", *(F.col(m).cast("double").alias(m) for m in names)).unpivot(["seed", "arm"], names, "metric", "value")
-    of = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("value")))
-    return long.groupBy("seed", "metric").agg(of(a).alias("a"), of(b).alias("b")).filter("a is not null and b is not null")
+    return long.groupBy("seed", "metric").agg(_once(a).alias("a"), _once(b).alias("b")).filter("a is not null and b is not null")
+
+
+def pair_runs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``pair_arms`` of two tables of runs."""
+    names = ["seed", *(m for m, _, _ in METRICS)]
+    return pair_arms(a.select(*names).withColumn("arm", F.lit("A")).unionByName(b.select(*names).withColumn("arm", F.lit("B"))))
 
 
 def paired_ci(pairs: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """As-of and interval joins between samples, maintenance stops and cycles.
 
-A maintenance log with few rows (counted first) is broadcast as intervals dealt over a grid of cells: time is
-cut so that a station has about as many cells as stops, and an interval has a row for each cell that it
-meets, about two. A sample meets the intervals of its own cell by an equi-join on station and cell.
-Beyond that, and for cycles, rows of both sides are put on one time line for each (station, time
+A maintenance log with few rows (counted first, as far as that number) is broadcast as intervals in cells of equal
+numbers: their borders stand at quantiles of each station's stops, so a burst or an outlying stop changes nothing. A
+sample finds its cell by a binary search in the borders of its station, and its interval by an equi-join on station
+and cell. Beyond that, and for cycles, rows of both sides are put on one time line for each (station, time
 chunk), and a window carries the value along; what was carried into a chunk is worked out from one
 row per chunk. So a station's whole time line never has to fit one task.
 
@@ -13,8 +13,6 @@ result's column is replaced, as ``withColumn`` does; other names never clash.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,39 +55,40 @@ def _carried(left: DataFrame, marks: DataFrame, forward: bool) -> DataFrame:
     return carried.join(entry, ["station", "chunk"], "left").select("row", F.coalesce("mark", "entry").alias("mark"))
 
 
-@dataclass(frozen=True)
-class Grid:
-    """Cells of time that suit a log of few rows: where they begin, how long they are and how many there are."""
+#: Cells of a station at most; the search below takes one step for each binary digit.
+CELLS = 1023
+STEPS = [1 << k for k in range(CELLS.bit_length() - 1, -1, -1)]
+
 
-    first: int
-    step: int
-    cells: int
+def _few(maintenance: DataFrame, most: int) -> bool:
+    """Whether the log has at most so many rows; no more of them than that are counted."""
+    return most > 0 and maintenance.select(F.lit(1)).limit(most + 1).count() <= most
 
-    def cell(self, at: Column) -> Column:
-        """The cell of a time; none before the first."""
-        return F.when(at >= self.first, F.least(div(at - F.lit(self.first), self.step), F.lit(self.cells).cast("long")))
 
-    def dealt(self, spans: DataFrame) -> DataFrame:
-        """Rows (station, begin, end) as structs ``_span`` for each cell that they meet; without an end they go on."""
-        last = F.coalesce(self.cell(F.col("end") - 1), F.lit(self.cells).cast("long"))
-        cells = F.sequence(self.cell(F.col("begin")), last)
-        return F.broadcast(spans.withColumn("cell", F.explode(cells)).select(F.struct("station", "begin", "end", "cell").alias("_span")))
+def _cell(borders: Column, at: Column) -> Column:
+    """How many of the sorted borders are at or before a time, by binary search; none for a null."""
+    return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), lambda n, step: F.when(F.get(borders, n + step - 1) <= at, n + step).otherwise(n))
 
-    def met(self, samples: DataFrame, spans: DataFrame) -> DataFrame:
-        """(_row, _span): each sample with the span of its station that it lies in, if there is one; spans don't overlap."""
-        at, span = F.col("_row.ts_ms"), F.col("_span")
-        inside = (F.col("_row.station") == span["station"]) & (self.cell(at) == span["cell"]) & (at >= span["begin"]) & (span["end"].isNull() | (at < span["end"]))
-        return samples.select(F.struct("*").alias("_row")).join(self.dealt(spans), inside, "left")
 
+def _met(samples: DataFrame, spans: DataFrame) -> DataFrame:
+    """(_row, _span): each sample with the span of its station that it lies in, if there is one.
 
-def _grid(maintenance: DataFrame, most: int) -> Grid | None:
-    """A grid for the log, or none if it has more rows than may be broadcast."""
-    ends = F.col("ts_ms") + F.col("duration_ms")
-    n, low, high, stations = maintenance.agg(F.count("*"), F.min(F.least("ts_ms", ends)), F.max(F.greatest("ts_ms", ends)), F.approx_count_distinct("station")).first()
-    if n > most:
-        return None
-    cells = -(-n // max(1, stations)) + 1
-    return Grid(low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // cells)), cells)
+    ``spans`` (station, begin, end) are few and don't overlap; without an end one goes on. They are cut into cells of equal
+    numbers, so the borders stand at quantiles of each station's spans and a span lies in one cell, however unevenly
+    they are spread. A station's borders are one row, in which a sample looks up its cell.
+    """
+    order = Window.partitionBy("station").orderBy("begin")
+    everyone = Window.partitionBy("station")
+    size = F.ceil(F.count("*").over(everyone) / CELLS)
+    nth = F.row_number().over(order) - 1
+    dealt = spans.select("station", "begin", "end", nth.alias("nth"), size.alias("size")).withColumn("cell", (div(F.col("nth"), F.col("size")) + 1).cast("int"))
+    first = F.when(F.col("nth") % F.col("size") == 0, F.col("begin"))
+    borders = dealt.groupBy(F.col("station").alias("_station")).agg(F.sort_array(F.collect_list(first)).alias("_borders"))
+    rows = samples.select(F.struct("*").alias("_row")).join(F.broadcast(borders), F.col("_row.station") == F.col("_station"), "left")
+    rows = rows.select("_row", _cell(F.col("_borders"), F.col("_row.ts_ms")).alias("_cell"))
+    at, span = F.col("_row.ts_ms"), F.col("_span")
+    inside = (F.col("_row.station") == span["station"]) & (F.col("_cell") == span["cell"]) & (at >= span["begin"]) & (span["end"].isNull() | (at < span["end"]))
+    return rows.join(F.broadcast(dealt.select(F.struct("station", "begin", "end", "cell").alias("_span"))), inside, "left")
 
 
 def asof_maintenance(telemetry: DataFrame, maintenance: DataFrame, keep_unmatched: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -99,9 +98,9 @@ def asof_maintenance(telemetry: DataFrame, maintenance: DataFrame, keep_unmatche
     ``fresh`` with ``keep_unmatched``.
     """
     kept = [c for c in telemetry.columns if c != "fresh"]
-    if grid := _grid(maintenance, broadcast_rows):
+    if _few(maintenance, broadcast_rows):
         spans = maintenance_intervals(maintenance).filter("until is null or until > fresh").select("station", F.col("fresh").alias("begin"), F.col("until").alias("end"))
-        out = grid.met(telemetry, spans).select(*(F.col("_row")[c].alias(c) for c in kept), F.col("_span.begin").alias("fresh"))
+        out = _met(telemetry, spans).select(*(F.col("_row")[c].alias(c) for c in kept), F.col("_span.begin").alias("fresh"))
     else:
         ends = maintenance.select("station", (F.col("ts_ms") + F.col("duration_ms")).alias("at")).filter("at >= 0 and station is not null").distinct()
         rows = telemetry.select("station", F.col("ts_ms").alias("at"), F.struct("*").alias("row"))
@@ -143,8 +142,8 @@ def merged_stops(maintenance: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
 def label_stopped(telemetry: DataFrame, maintenance: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Samples with ``stopped``: whether they lie in a stop of their station. No sample is repeated."""
     kept = [c for c in telemetry.columns if c != "stopped"]
-    if grid := _grid(maintenance, broadcast_rows):
-        return grid.met(telemetry, _merged_few(maintenance)).select(*(F.col("_row")[c].alias(c) for c in kept), F.col("_span").isNotNull().alias("stopped"))
+    if _few(maintenance, broadcast_rows):
+        return _met(telemetry, _merged_few(maintenance)).select(*(F.col("_row")[c].alias(c) for c in kept), F.col("_span").isNotNull().alias("stopped"))
     stops = merged_stops(maintenance)
     rows = telemetry.select("station", F.col("ts_ms").alias("at"), F.struct("*").alias("row"))
     last = _carried(rows, stops.select("station", F.col("begin").alias("at")), forward=False)

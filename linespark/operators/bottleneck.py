@@ -12,14 +12,20 @@ from ..schemas import CYCLE_ORDER
 CHUNK_MS = 7 * 24 * 3600 * 1000
 
 
-def _chunks(part_events: DataFrame, chunk_ms: int) -> DataFrame:
-    """One row for each (station, chunk): its length, first, last and best run of blocked cycles, and its sums."""
+def run_chunks(part_events: DataFrame, chunk_ms: int = CHUNK_MS, by: list[str] | None = None, instead: Column | None = None) -> DataFrame:
+    """One row for each (station, chunk): its length, first, last and best run of blocked cycles, and its sums.
+
+    Chunks can be stored and further ones added: ``bottleneck_of_chunks`` needs nothing else. ``by`` names further keys;
+    where ``instead`` isn't null it is the chunk.
+    """
+    keys = [*(by or []), "station", "chunk"]
     sums = ["cycle_ms", "blocked_ms", "starved_ms"]
-    rows = part_events.select("station", *CYCLE_ORDER, F.floor(F.col("ts_end_ms") / F.lit(chunk_ms)).cast("long").alias("chunk"))
-    order = Window.partitionBy("station", "chunk").orderBy(*CYCLE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    chunk = F.floor(F.col("ts_end_ms") / F.lit(chunk_ms)).cast("long")
+    rows = part_events.select(*keys[:-1], *CYCLE_ORDER, (chunk if instead is None else F.coalesce(instead, chunk)).alias("chunk"))
+    order = Window.partitionBy(*keys).orderBy(*CYCLE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     free = F.when(F.col("blocked_ms") > 0, 0).otherwise(1)
-    runs = rows.withColumn("island", F.sum(free).over(order)).groupBy("station", "chunk", "island").agg(F.count("*").alias("rows"), F.count(F.when(F.col("blocked_ms") > 0, 1)).alias("n"), *(F.sum(c).alias(c) for c in sums))
-    return runs.groupBy("station", "chunk").agg(
+    runs = rows.withColumn("island", F.sum(free).over(order)).groupBy(*keys, "island").agg(F.count("*").alias("rows"), F.count(F.when(F.col("blocked_ms") > 0, 1)).alias("n"), *(F.sum(c).alias(c) for c in sums))
+    return runs.groupBy(*keys).agg(
         F.sum("rows").alias("len"),
         F.coalesce(F.max(F.when(F.col("island") == 0, F.col("n"))), F.lit(0).cast("long")).alias("prefix"),
         F.max_by("n", "island").alias("suffix"),
@@ -51,16 +57,26 @@ def longest_blocked_run(part_events: DataFrame, chunk_ms: int = CHUNK_MS) -> Dat
     A chunk comes down to its length, first run, last run and best run, so a station with very
     many cycles is as many tasks as it has chunks; only four numbers a chunk meet in one.
     """
-    return _chunks(part_events, chunk_ms).groupBy("station").agg(_longest())
+    return longest_of_chunks(run_chunks(part_events, chunk_ms))
 
 
 #: The name under which callers ask for the form in chunks; both are that form.
 longest_blocked_run_chunked = longest_blocked_run
 
 
+def longest_of_chunks(chunks: DataFrame) -> DataFrame:
+    """(station, longest_blocked_run) from the chunks of a station's whole time."""
+    return chunks.groupBy("station").agg(_longest())
+
+
 def bottleneck(part_events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Cycles, utilisation, idle, blocked and starved time, mean cycle and longest blocked run of each station, in one pass."""
-    sums = _chunks(part_events, chunk_ms).groupBy("station").agg(F.sum("len").alias("cycles"), F.sum("cycle_ms").alias("run_ms"), F.sum("blocked_ms").alias("blocked_ms"), F.sum("starved_ms").alias("starved_ms"), _longest())
+    return bottleneck_of_chunks(run_chunks(part_events, chunk_ms))
+
+
+def bottleneck_of_chunks(chunks: DataFrame) -> DataFrame:
+    """``bottleneck`` from the chunks of a station's whole time."""
+    sums = chunks.groupBy("station").agg(F.sum("len").alias("cycles"), F.sum("cycle_ms").alias("run_ms"), F.sum("blocked_ms").alias("blocked_ms"), F.sum("starved_ms").alias("starved_ms"), _longest())
     idle = F.col("blocked_ms") + F.col("starved_ms")
     return sums.select(
         "station", "cycles", ratio(F.col("run_ms"), F.col("run_ms") + idle).alias("utilisation"), (idle / 1000.0).alias("idle_s"), (F.col("blocked_ms") / 1000.0).alias("blocked_s"),

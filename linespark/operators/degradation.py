@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import div, sample_sd
+from ..functions.moments import comoments, merge_comoments, merge_moments, moments, sd_of
 from .asof import asof_maintenance
 from .filters import filter_running, filter_signal, fitted_buckets
 
@@ -15,17 +16,37 @@ def age_bucket(bucket_s: int) -> Column:
     return div(div(F.col("ts_ms") - F.col("fresh"), 1000), bucket_s)
 
 
-def degradation(telemetry: DataFrame, maintenance: DataFrame, signal: str = "torque", bucket_s: int = 1800, min_value: float | None = None) -> DataFrame:
-    """(station, age_h, n, mean, sd): the signal's samples by age since the end of the last stop.
-
-    Signal and running samples are filtered before the join.
-    """
+def _aged(telemetry: DataFrame, maintenance: DataFrame, signal: str, min_value: float | None) -> DataFrame:
+    """The signal's samples with the end of their last stop; signal and running samples are filtered before the join."""
     rows = filter_signal(telemetry, signal)
     if min_value is not None:
         rows = filter_running(rows, {signal: min_value})
-    aged = asof_maintenance(rows, maintenance)
+    return asof_maintenance(rows, maintenance)
+
+
+def _age_h(bucket_s: int) -> Column:
+    return (F.col("bucket") * bucket_s / 3600.0).alias("age_h")
+
+
+def degradation(telemetry: DataFrame, maintenance: DataFrame, signal: str = "torque", bucket_s: int = 1800, min_value: float | None = None) -> DataFrame:
+    """(station, age_h, n, mean, sd): the signal's samples by age since the end of the last stop."""
+    aged = _aged(telemetry, maintenance, signal, min_value)
     curve = aged.groupBy("station", age_bucket(bucket_s).alias("bucket")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), sample_sd(F.col("value")).alias("sd"))
-    return curve.select("station", (F.col("bucket") * bucket_s / 3600.0).alias("age_h"), "n", "mean", "sd")
+    return curve.select("station", _age_h(bucket_s), "n", "mean", "sd")
+
+
+def curve_partials(telemetry: DataFrame, maintenance: DataFrame, by: list[str], signal: str = "torque", bucket_s: int = 1800, min_value: float | None = None) -> DataFrame:
+    """(station, bucket, by, n, mean, m2): the curve's figures of each part of the rows, such as a day.
+
+    The part of a day needs the log up to that day only, as a sample's age goes back to an earlier stop.
+    """
+    return _aged(telemetry, maintenance, signal, min_value).groupBy("station", age_bucket(bucket_s).alias("bucket"), *by).agg(*moments(F.col("value")))
+
+
+def curve_merge(partials: DataFrame, bucket_s: int = 1800) -> DataFrame:
+    """The curve from partials of any split of its samples."""
+    merged = merge_moments(partials, ["station", "bucket"])
+    return merged.select("station", _age_h(bucket_s), "n", "mean", sd_of().alias("sd"))
 
 
 def degradation_slopes(curve: DataFrame) -> DataFrame:
@@ -37,6 +58,17 @@ def degradation_slopes(curve: DataFrame) -> DataFrame:
     return fit.filter("buckets >= 3 and slope_per_h is not null")
 
 
+def slope_partials(fitted: DataFrame, by: list[Column]) -> DataFrame:
+    """Co-moments of age and mean of the fitted buckets in each part, for lines fitted over parts of a curve."""
+    return fitted.groupBy("station", *by).agg(*comoments(F.col("age_h"), F.col("mean")))
+
+
+def slope_merge(partials: DataFrame) -> DataFrame:
+    """``degradation_slopes`` from partials of any split of the fitted buckets."""
+    merged = merge_comoments(partials, ["station"]).filter("n >= 3 and cxx > 0").withColumn("slope_per_h", F.col("cxy") / F.col("cxx"))
+    return merged.select("station", "slope_per_h", (F.col("mean_y") - F.col("slope_per_h") * F.col("mean_x")).alias("intercept"), F.col("n").alias("buckets"))
+
+
 def degradation_points(curve: DataFrame, slopes: DataFrame, fitted_only: bool = False) -> DataFrame:
     """Curve points with ``rise_pct``, the rise above the fitted fresh value."""
     points = fitted_buckets(curve) if fitted_only else curve

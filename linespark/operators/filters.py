@@ -27,6 +27,18 @@ def score_window(events: DataFrame, split_days: int, start_ms: int | Column = 0)
     return events.filter(F.col("ts_end_ms") >= start_ms + split_days * SHIFT_MS)
 
 
+def score_stored_days(stored: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows of stored runs from each run's first scored day on; ``starts`` has (run, first_dt), a row for each run to score.
+
+    ``stored`` is partitioned by run and day. Folders are left unread in two ways: those before the earliest start by a filter known
+    beforehand, and other runs' by the runs of ``starts`` (dynamic pruning). ``starts`` are as few as runs and are read here once.
+    """
+    earliest = starts.agg(F.min("first_dt")).first()[0]
+    own = F.broadcast(starts.filter(F.col("first_dt") >= F.lit(earliest)).select(F.col("run").alias("_run"), "first_dt"))
+    rows = stored.filter(F.col("dt") >= F.lit(earliest).cast("date"))
+    return rows.join(own, (F.col("run") == F.col("_run")) & (F.col("dt") >= F.col("first_dt"))).drop("_run", "first_dt")
+
+
 def assign_shift_day(df: DataFrame, start_date: str, days: int, ts_col: str = "ts_ms") -> DataFrame:
     """The production day ``dt``: whole shifts since the start, the last day at most."""
     day = F.least(F.lit(days - 1).cast("long"), div(F.col(ts_col), SHIFT_MS))

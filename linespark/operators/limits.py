@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import not_nan, sample_sd
+from ..functions.moments import merge_moments, moments, sd_of
 from .filters import filter_running, fitted_buckets
 
 KEYS = ("station", "signal")
@@ -30,23 +31,19 @@ def control_limits(telemetry: DataFrame, signals: list[str] | None = None, k: fl
     return _with_limits(stats, k)
 
 
+def _least_and_largest() -> list[Column]:
+    return [F.min(not_nan(F.col("value"))).alias("min"), F.max(not_nan(F.col("value"))).alias("max")]
+
+
 def moment_partials(telemetry: DataFrame, by: list[str], signals: list[str] | None = None, min_values: dict[str, float] | None = None) -> DataFrame:
     """n, mean, sum of squared deviations, least and largest value of each part of the rows."""
-    value = F.col("value")
-    rows = _samples(telemetry, signals, min_values)
-    return rows.groupBy(*KEYS, *by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count("*")).alias("m2"), F.min(not_nan(value)).alias("min"), F.max(not_nan(value)).alias("max"))
+    return _samples(telemetry, signals, min_values).groupBy(*KEYS, *by).agg(*moments(F.col("value")), *_least_and_largest())
 
 
 def moment_merge(partials: DataFrame, k: float = 3.0) -> DataFrame:
-    """Limits from partials of any split: squared deviations add up with those of the parts' means.
-
-    Deviations are taken from the merged mean, never as a difference of large squares.
-    """
-    means = partials.groupBy(*KEYS).agg(F.sum("n").alias("total"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("overall"))
-    parts = partials.join(means, list(KEYS))
-    m2 = F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("overall")) * (F.col("mean") - F.col("overall")))
-    merged = parts.groupBy(*KEYS).agg(F.first("total").alias("n"), F.first("overall").alias("mean"), m2.alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"))
-    return _with_limits(merged.withColumn("sd", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0)), k)
+    """Limits from partials of any split, such as those of stored days."""
+    merged = merge_moments(partials, list(KEYS), F.min("min").alias("min"), F.max("max").alias("max"))
+    return _with_limits(merged.withColumn("sd", sd_of()), k)
 
 
 def filter_bias(aged: DataFrame, min_value: float, bucket_s: int = 1800) -> DataFrame:

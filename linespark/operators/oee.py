@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from .filters import assign_shift_day
 
-def _partial_columns() -> list:
+
+def partial_columns() -> list[Column]:
+    """The additive figures of a group of cycles."""
     return [
         F.count("*").alias("parts"),
         F.sum(F.when(F.col("status") == "PASS", 1).otherwise(0)).alias("good"),
@@ -22,7 +24,7 @@ def _partial_columns() -> list:
 def oee_partials(part_events: DataFrame, start_date: str = "1970-01-01", days: int = 1_000_000, by: tuple[str, ...] = ("station", "dt")) -> DataFrame:
     """Additive figures of each (station, day)."""
     rows = assign_shift_day(part_events, start_date, days, "ts_end_ms") if "dt" in by and "dt" not in part_events.columns else part_events
-    return rows.filter("cycle_ms > 0").groupBy(*by).agg(*_partial_columns())
+    return rows.filter("cycle_ms > 0").groupBy(*by).agg(*partial_columns())
 
 
 def oee_merge(partials: DataFrame, ideal: DataFrame | None = None) -> DataFrame:
@@ -38,7 +40,7 @@ def oee(part_events: DataFrame, ideal: DataFrame | None = None) -> DataFrame:
     ``ideal`` has (station, ideal_cycle_s): nameplate cycles of a line's few stations. A station
     without one falls back to its best cycle and has ``ideal_configured`` false.
     """
-    return _ratios(part_events.filter("cycle_ms > 0").groupBy("station").agg(*_partial_columns()), ideal)
+    return _ratios(part_events.filter("cycle_ms > 0").groupBy("station").agg(*partial_columns()), ideal)
 
 
 def _ratios(total: DataFrame, ideal: DataFrame | None) -> DataFrame:

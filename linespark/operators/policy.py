@@ -42,7 +42,8 @@ def _synthesised(base: DataFrame, mined: DataFrame, sigma: Column, rise: Column,
     }
     # Without any input for a line there is no policy; this is found while the rows are made, not by a pass of its own.
     missing = F.when(F.col("limits_met") == 0, "no control limits for the line's stations").when(F.col("cycles_met") == 0, "no utilisation of the line's stations")
-    new["torque_lcl"] = F.when(missing.isNotNull(), F.raise_error(missing)).otherwise(new["torque_lcl"])
+    # A condition on the rows holds whichever columns are asked for.
+    rows = rows.filter(F.when(missing.isNotNull(), F.raise_error(missing).cast("boolean")).otherwise(F.lit(True)))
     return rows.select(*line, "station", *(new.get(c, F.col(c)).alias(c) for c in POLICY_FIELDS))
 
 

@@ -10,8 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.moments import moments
 from ..sources.lines import parse_part_events, parse_telemetry
 from .asof import asof_maintenance
+from .bottleneck import CHUNK_MS, run_chunks
+from .degradation import age_bucket
+from .limits import moment_partials
+from .oee import partial_columns
 
 
 def _known(*names: str) -> Column:
@@ -68,6 +73,49 @@ def quality_report(classified: DataFrame) -> DataFrame:
     return counts.select("class", "n", F.when(kept + other > 0, 100.0 * other / (kept + other)).alias("other_signal_pct"))
 
 
+#: Classes of the rows that a job's results are made of.
+MINED = ("PARSED", "KEPT", "JOINED")
+
+
+def _mined(classified: DataFrame, *keys: str) -> DataFrame:
+    """Classified rows of which only those that are mined keep the keys of their results."""
+    return classified.withColumns({k: F.when(F.col("class").isin(*MINED), F.col(k)) for k in keys})
+
+
+def mine_oee(lines: DataFrame) -> DataFrame:
+    """OEE partials of each class and station: results (``oee_merge`` of ``mined_rows``) and class counts by one scan.
+
+    Counts kept in accumulators would count twice what is run again after an executor is lost; these are rows.
+    """
+    return _mined(classify_oee(lines), "station").groupBy("class", "station").agg(*partial_columns(), F.count("*").alias("rows"))
+
+
+def mine_bottleneck(lines: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """``run_chunks`` of each class; rows that aren't mined are dealt over chunks of their own."""
+    return run_chunks(_mined(classify_bottleneck(lines), "station"), chunk_ms, ["class"], F.when(~F.col("class").isin(*MINED), -1 - F.pmod(F.xxhash64("line"), F.lit(4096)))).withColumn("rows", F.col("len"))
+
+
+def mine_limits(lines: DataFrame, signal: str, min_value: float = float("-inf")) -> DataFrame:
+    """Moments of each class, station and signal."""
+    rows = _mined(classify_limits(lines, signal, min_value).withColumn("value", F.col("sample")), "station", "signal")
+    return moment_partials(rows, ["class"]).withColumn("rows", F.col("n"))
+
+
+def mine_degradation(lines: DataFrame, maintenance: DataFrame, signal: str, min_value: float = float("-inf"), bucket_s: int = 1800) -> DataFrame:
+    """Moments of each class, station and age bucket."""
+    rows = classify_degradation(lines, maintenance, signal, min_value).withColumn("bucket", age_bucket(bucket_s))
+    return _mined(rows, "station", "bucket").groupBy("class", "station", "bucket").agg(*moments(F.col("value"))).withColumn("rows", F.col("n"))
+
+
+def mined_rows(mined: DataFrame) -> DataFrame:
+    return mined.filter(F.col("class").isin(*MINED))
+
+
+def class_counts(mined: DataFrame) -> DataFrame:
+    """(class, n) of a job's lines from what was mined."""
+    return mined.groupBy("class").agg(F.sum("rows").alias("n"))
+
+
 def count_per_station(lines: DataFrame) -> DataFrame:
     """(station, records, malformed): good records of each untrimmed station; malformed ones under a null station."""
     rows = lines.filter(~F.col("line").startswith("timestamp")).withColumn("raw", F.get("fields", F.lit(1)))

@@ -13,7 +13,7 @@ from ..sources import lines as text_lines
 from ..sources import policies, sinks
 from ..sources.shared import fresh_path
 from ..streaming import live
-from . import adapters
+from . import adapters, stored
 
 MIN_VALUES = {"torque": 5.0}
 BUCKET_S = 1800
@@ -82,6 +82,8 @@ def _ci(spark: SparkSession, d: str) -> DataFrame:
 
 OEE_DIGITS = {"oee": 4, "availability": 4, "performance": 4, "quality": 4, "defect_rate": 5}
 LIMIT_DIGITS = {"mean": 4, "sd": 4, "lcl": 4, "ucl": 4}
+#: Before the rounding proper: merged means may miss a half by their last bits.
+CLOSE = {c: 10 for c in LIMIT_DIGITS}
 BOTT_DIGITS = {"utilisation": 4, "idle_s": 1, "blocked_s": 1, "starved_s": 1, "mean_cycle_s": 3}
 TABLE_DIGITS = {"oee": 4, "availability": 4, "performance": 4, "quality": 4, "defect_rate": 5, "utilisation": 4, "mean_cycle_s": 3, "blocked_s": 1, "starved_s": 1, "torque_mean": 4, "torque_sd": 4, "slope_per_h": 4, "fresh_torque": 3}
 CI_DIGITS = {"a_mean": 6, "b_mean": 6, "delta_mean": 6, "delta_ci95": 5, "delta_pct": 4}
@@ -93,7 +95,7 @@ def control_limits(spark, d):
 
 def control_limits_partials(spark, d):
     parts = limits.moment_partials(adapters.telemetry(spark, d).withColumn("part", F.pmod("ts_ms", F.lit(7))), ["part"], None, MIN_VALUES)
-    return _r(limits.moment_merge(parts), **LIMIT_DIGITS)
+    return _r(_r(limits.moment_merge(parts), **CLOSE), **LIMIT_DIGITS)
 
 
 def oee_query(spark, d):
@@ -387,6 +389,22 @@ def spc_derate_limits(spark, d):
     return held.groupBy("station", "derated", "breach").agg(F.count("*").alias("n"), F.sum("nth").alias("places"), F.sum("part_id").alias("part_ids"))
 
 
+def oee_rollup(spark, d):
+    return _r(stored.oee_rollup(spark, d), **OEE_DIGITS)
+
+
+def limits_rollup(spark, d):
+    return _r(_r(stored.limits_rollup(spark, d), **CLOSE), **LIMIT_DIGITS)
+
+
+def slopes_rollup(spark, d):
+    return _r(stored.slopes_rollup(spark, d), slope_per_h=4, intercept=3)
+
+
+def bottleneck_stored(spark, d):
+    return _r(stored.bottleneck_stored(spark, d), **BOTT_DIGITS)
+
+
 def queries() -> dict[str, Query]:
     named = {"oee": oee_query, "bottleneck": bottleneck_query, "degradation": degradation_query}
     same = [
@@ -396,6 +414,8 @@ def queries() -> dict[str, Query]:
         pivot_policy, stack_policies, validate_kpis, diff_outputs, filter_bias, count_per_station, quality_report, quality_degradation, assign_shift_day, score_window, kv_round_trip, breach_counts,
         read_telemetry, read_part_events, read_maintenance, maintenance_log, policy_round_trip, missing_stations, ingest_runs, summary_round_trip, classify_oee, classify_bottleneck,
         kv_bottleneck, kv_limits, kv_degradation, curve_ordered, shares_ordered, spc_derate_limits,
+        oee_rollup, limits_rollup, slopes_rollup, bottleneck_stored, stored.since_stored, stored.derate_stored, stored.diff_fingerprints, stored.mined_counts, stored.ingest_days, stored.score_stored,
+        stored.breach_stream, stored.derate_stream,
     ]
     return named | {f.__name__: f for f in same}
 

@@ -88,6 +88,23 @@ CLASS_REPORT = """select class, n, case when kept + other > 0 then round(100.0::
   cross join (select count(*) filter (class = 'FILTERED_OTHER_SIGNAL') other, count(*) filter (class in ('KEPT', 'JOINED')) kept from c)"""
 
 
+#: The first time of the chunk of 90 days from which cycles count as new.
+NEW_MS = 118 * 90 * 86_400_000
+HELD = f"""select *, coalesce(nth - breach_nth <= 40 and (stop_nth is null or stop_nth <= breach_nth), false) derated from (
+  select *, max(case when cycle_ms >= 17600 then nth end) over w breach_nth, max(case when down_ms > 0 then nth end) over w stop_nth from (
+  select *, row_number() over (partition by station order by {FULL_ORDER}) nth from part_events) window w as (partition by station order by nth rows between unbounded preceding and 1 preceding))"""
+#: Lines with their class, as each job sees them.
+CLASSES = {
+    "oee": "select f, case when starts_with(line, 'ts_end_ms') then 'HEADER' when len(f) >= 8 and f[2] <> '' and try_cast(f[4] as bigint) > 0 then 'PARSED' else 'MALFORMED' end class from event_fields",
+    "bottleneck": "select f, case when len(f) >= 8 and f[2] <> '' and try_cast(f[4] as bigint) is not null then 'PARSED' else 'MALFORMED' end class from event_fields where not starts_with(line, 'ts_end_ms')",
+    "limits": """select f, case when starts_with(line, 'ts_ms') then 'HEADER' when len(f) < 4 or trim(f[2]) = '' then 'MALFORMED' when trim(f[3]) <> 'torque' then 'FILTERED_OTHER_SIGNAL'
+  when try_cast(trim(f[4]) as double) is null then 'MALFORMED' when try_cast(trim(f[4]) as double) < 5.0 then 'FILTERED_NOT_RUNNING' else 'KEPT' end class from fields""",
+    "degradation": """select f, case when len(f) < 4 then 'MALFORMED' when trim(f[3]) <> 'torque' then 'FILTERED_OTHER_SIGNAL' when try_cast(trim(f[1]) as bigint) is null or try_cast(trim(f[4]) as double) is null then 'MALFORMED'
+  when try_cast(trim(f[4]) as double) < 5.0 then 'FILTERED_NOT_RUNNING' when first_fresh is null or try_cast(trim(f[1]) as bigint) < first_fresh then 'NO_MAINTENANCE_YET' else 'JOINED' end class
+  from fields left join (select station, min(fresh) first_fresh from stops group by station) s on s.station = trim(f[2]) where not starts_with(line, 'ts_ms')""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     tables = _with()
     asof = "select ts_ms, station, signal, value, fresh from aged"
@@ -182,5 +199,33 @@ def oracle_sql() -> dict[str, str]:
   select *, max(case when breach then nth end) over w breach_nth, max(case when down_ms > 0 then nth end) over w stop_nth from (
   select *, cycle_ms / 1000.0::double > ucl breach, row_number() over (partition by station order by {FULL_ORDER}) nth from part_events join (
     select station, round(avg(cycle_ms / 1000.0::double) + stddev_samp(cycle_ms / 1000.0::double), 2) ucl from part_events group by station) using (station)) window w as (partition by station order by nth rows between unbounded preceding and 1 preceding))) group by 1, 2, 3""",
+        "oee_rollup": f"select {OEE_COLUMNS} from oee",
+        "limits_rollup": f"select {LIMIT_COLUMNS} from limits",
+        "slopes_rollup": "select station, round(slope_per_h, 4) slope_per_h, round(intercept, 3) intercept, buckets from slopes",
+        "bottleneck_stored": "select station, cycles, round(utilisation, 4) utilisation, round(idle_s, 1) idle_s, round(blocked_s, 1) blocked_s, round(starved_s, 1) starved_s, round(mean_cycle_s, 3) mean_cycle_s, longest_blocked_run from bott",
+        "since_stored": f"""select station, (case when stops > 0 then nth - 1 else nth end)::bigint since, count(*) n, sum(part_id)::bigint part_ids from (
+  select *, row_number() over (partition by station, stops order by {FULL_ORDER}) nth from (select *, sum(case when down_ms > 0 then 1 else 0 end) over (partition by station order by {FULL_ORDER} rows unbounded preceding) stops from part_events))
+  where ts_end_ms >= {NEW_MS} group by 1, 2""",
+        "derate_stored": f"select station, derated, count(*) n, sum(nth)::bigint places, sum(part_id)::bigint part_ids from ({HELD}) where ts_end_ms >= {NEW_MS} group by 1, 2",
+        "diff_fingerprints": """select part_id, station, cycle_ms, status, arm, case when d > 0 then 'A' else 'B' end side, abs(d)::bigint n from (
+  select part_id, station, cycle_ms, status, arm, sum(d) d from (select *, 1 d from part_events union all select *, -1 from part_events where part_id % 500 <> 0 union all select *, -1 from part_events where part_id % 700 = 0) group by all) where d <> 0""",
+        "mined_counts": f"""select job, class, n, results, round(total, 3) total from (
+  select 'oee' job, class, count(*) n from ({CLASSES["oee"]}) group by class union all select 'bottleneck', class, count(*) from ({CLASSES["bottleneck"]}) group by class
+  union all select 'limits', class, count(*) from ({CLASSES["limits"]}) group by class union all select 'degradation', class, count(*) from ({CLASSES["degradation"]}) group by class) join (
+  select 'oee' job, count(*) results, sum(x)::double total from (select f[2], count(*) filter (f[8] = 'PASS') x from ({CLASSES["oee"]}) where class = 'PARSED' group by f[2])
+  union all select 'bottleneck', count(*), sum(x)::double from (select station, max(n) x from (select station, island, count(*) filter (blocked_ms > 0) n from (
+    select *, sum(case when blocked_ms > 0 then 0 else 1 end) over (partition by station order by {CYCLE_ORDER} rows unbounded preceding) island from (
+    select f[2] station, f[1]::bigint ts_end_ms, f[3]::bigint part_id, f[4]::bigint cycle_ms, f[5]::bigint blocked_ms, f[6]::bigint starved_ms from ({CLASSES["bottleneck"]}) where class = 'PARSED')) group by all) group by station)
+  union all select 'limits', count(*), sum(x) from (select avg(f[4]::double) x from ({CLASSES["limits"]}) where class = 'KEPT' group by f[2])
+  union all select 'degradation', count(*), sum(x) from (select avg(v) x from (select t.station, t.v, (t.ts_ms - s.fresh) // 1000 // 1800 bucket from (
+    select f[2] station, f[1]::bigint ts_ms, f[4]::double v from ({CLASSES["degradation"]}) where class = 'JOINED') t asof join stops s on t.station = s.station and t.ts_ms >= s.fresh) group by station, bucket)) using (job)""",
+        "ingest_days": """select 'a' run, dt, station, count(*) n, min(ts_ms) first_ms from (select *, (date '1970-01-01' + (ts_ms // 86400000)::int)::varchar dt from telemetry)
+  where dt <> '2024-01-15' or station = 'S02' group by all""",
+        "score_stored": """select arm run, station, count(*) n, min(ts_end_ms) first_ms from (select *, date_trunc('quarter', date '1970-01-01' + (ts_end_ms // 86400000)::int) dt from part_events)
+  where dt >= case when arm = 'A' then date '1996-04-01' else date '2000-01-01' end group by all""",
+        "breach_stream": f"""select t.station, t.signal, ts_ms // 3600000 * 3600000 window_start_ms, count(*) samples, count(*) filter (t.value > l.ucl) breaches from (
+    select *, min(ts_ms) over () low, (max(ts_ms) over () - min(ts_ms) over ()) // 3 + 1 step from telemetry) t join ({_limits(1.0, 'true')}) l
+  on l.station = t.station and l.signal = t.signal where not (ts_ms < low + step // 2 and floor(t.value) % 5 = 0) group by all""",
+        "derate_stream": f"select station, derated, count(*) n, sum(part_id)::bigint part_ids from ({HELD}) group by 1, 2",
     }
     return {name: tables + text for name, text in selects.items()}

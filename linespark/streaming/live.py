@@ -1,9 +1,19 @@
-"""Live limit check: breaches per station, signal and window, from a stream or a table."""
+"""Live checks on streams: breaches per station, signal and window, and the hold after a breach."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructField, StructType, BooleanType
+
+from ..schemas import CYCLE_ORDER
+
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def breach_counts(telemetry: DataFrame, limits: DataFrame, window: str = "1 hour", delay: str | None = None) -> DataFrame:
@@ -24,3 +34,77 @@ def breach_counts(telemetry: DataFrame, limits: DataFrame, window: str = "1 hour
 def breach_stream(stream: DataFrame, limits: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """The same on a telemetry stream, for an append sink."""
     return breach_counts(stream, limits, window, delay)
+
+
+class Hold(StatefulProcessor):
+    """For each station the cycles that a breach still holds, and the cycles that wait for the watermark.
+
+    Cycles are taken in their order once the watermark has passed them, whatever the order in which they came. A station
+    that isn't held and has no waiting cycle has no state.
+    """
+
+    def __init__(self, schema: StructType, hold: int):
+        self.schema, self.hold = schema, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.left = handle.getValueState("left", "left int")
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            if len(part):
+                self.waiting.appendList([tuple(r) for r in part[self.schema.names].astype(object).itertuples(index=False)])
+                first = min(int(part["ts_end_ms"].min()), first if first is not None else int(part["ts_end_ms"].max()))
+        if first is not None:
+            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=self.schema.names)
+        due = rows["ts_end_ms"] <= passed
+        ready, rest = rows[due].sort_values([*CYCLE_ORDER, "down_ms", "status"]), rows[~due]
+        left = self.left.get()[0] if self.left.exists() else 0
+        derated = []
+        for stop, breach in zip(ready["down_ms"] > 0, ready["breach"], strict=True):
+            derated.append(left > 0)
+            left = self.hold if breach else 0 if stop else max(0, left - 1)
+        if left:
+            self.left.update((left,))
+        else:
+            self.left.clear()
+        self.waiting.clear()
+        if len(rest):
+            self.waiting.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
+            self.handle.registerTimer(int(rest["ts_end_ms"].min()))
+        if len(ready):
+            yield ready.assign(derated=derated)
+
+    def close(self) -> None:
+        pass
+
+
+def derate_stream(cycles: DataFrame, hold: int = 40, delay: str = "10 minutes") -> DataFrame:
+    """Cycles of a stream with ``derated``, as ``spc_derate`` gives it: a breach within the last ``hold`` cycles of the station, and no stop since.
+
+    ``cycles`` are part events with a boolean ``breach``. Those that come later than ``delay`` are dropped. State is kept in a
+    RocksDB store (``run_available`` sets it): one number a station, and the cycles of ``delay``.
+    """
+    schema = cycles.schema
+    rows = cycles.withColumn("at", F.timestamp_millis("ts_end_ms")).withWatermark("at", delay)
+    out = StructType([*schema.fields, StructField("derated", BooleanType())])
+    return rows.groupBy("station").transformWithStateInPandas(Hold(schema, hold), out, "Append", "EventTime")
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Add to the Parquet table ``out`` what the stream gives for all that has arrived; goes on where ``checkpoint`` left off."""
+    spark = stream.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS_DB)
+    try:
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
