@@ -6,11 +6,14 @@
    each. Two sets at the threshold share no key with a chance of 5e-6, at higher overlaps with a
    smaller one. Nodes that are linked by a fingerprint or share a key, directly or not, are a
    candidate group; only links to a key's first node are passed on.
-3. Check: the shingle sets of a group meet in one task, those of a group of over ``BLOCK_NODES``
-   nodes in pairs of blocks, so that each pair of nodes meets. The exact overlap of each pair not
-   yet joined is counted; links of ``THRESHOLD`` or more make the classes.
-
-Defined cases: as in ``simhash``; texts without words have one node.
+3. Check: the shingle sets of a group meet in one task. A group of over ``BLOCK_NODES`` nodes, which may be a long chain
+   of keys with little in common, is taken apart again: there the nodes of each key (keys with the same nodes count once) and
+   of each link between fingerprints are a group, so a chain costs what its keys do. The nodes of a key that is too large itself, or whose
+   sets have over ``BLOCK_SHINGLES`` shingles, meet in pairs of blocks, so that each pair of nodes meets. The exact overlap
+   of each pair not yet joined is counted; links of ``THRESHOLD`` or more make the classes.
+
+Defined cases: as in ``simhash``; texts without words have one node. A text is found again by its id and a hash of it, so rows that
+share an id, or have none, are looked up once each. A text is never cut: a task holds one of any length, and its set (8 bytes a word).
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ BANDS, BAND_ROWS = 40, 6
 CHUNK = 1 << 11
 PIECE_BYTES = 4 << 20
 BLOCK_NODES = 512
+BLOCK_SHINGLES = 4 << 20
 
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,16 +72,15 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1, PIECE_BYTES):
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
         nodes = np.array([node_of(s) for s in sets], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes.view(np.int64)), pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)), _lists([band_keys(s) for s in sets])], ["doc_id", "version", "node", "bits", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes.view(np.int64)), pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)), _lists([band_keys(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "version", "node", "bits", "bands", "size"])
 
 
 @lean
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, grp, shingles) of (text, node, grp); an id's other texts are left out."""
+    """(node, shingles) of (text)."""
     for batch in pieces(batches, 0, PIECE_BYTES):
         sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-        keep = np.flatnonzero(np.array([node_of(s) for s in sets], np.uint64).view(np.int64) == batch.column(1).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), _lists([sets[i] for i in keep])], ["node", "grp", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([node_of(s) for s in sets], np.uint64).view(np.int64)), _lists(sets)], ["node", "shingles"])
 
 
 def spanning_links(sets: list[np.ndarray], side: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -119,14 +122,30 @@ def _check(rows: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[a], "b": nodes[b]})
 
 
-def checked_links(sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b): links that connect the nodes of each group; ``sets`` holds (node, grp, shingles), ``sizes`` (grp, n)."""
-    blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+def checked_links(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): links that connect the nodes of each group; ``sets`` holds (node, shingles), ``members`` (node, grp, size)."""
+    n, total = F.count("*"), F.sum("size")
+    blocks = F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sized = members.join(members.groupBy("grp").agg(n.alias("n"), blocks.alias("blocks")).filter("n > 1"), "grp")
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    rows = sets.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", block)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "shingles", "grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
-    return rows.select("node", "shingles", "grp", "low", "high", F.col("own").alias("side")).groupBy("grp", "low", "high").applyInArrow(_check, "a long, b long")
+    placed = sized.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("node", "grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("side"))
+    rows = sets.join(placed, "node").select("node", "shingles", "grp", "low", "high", "side")
+    return rows.groupBy("grp", "low", "high").applyInArrow(_check, "a long, b long")
+
+
+def taken_apart(wide: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, grp) of nodes in large groups: those of each key, and those of each pair of fingerprints' nodes.
+
+    ``wide`` has (node), ``keys`` (node, band), ``pairs`` (a, b).
+    """
+    own = keys.join(wide, "node", "left_semi")
+    alike = own.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).filter("n > 1")
+    named = alike.groupBy("n", "all").agg(F.min("band").alias("band")).select("band")
+    of_keys = own.join(named, "band").select("node", F.xxhash64("band", F.lit("key")).alias("grp"))
+    linked = pairs.filter("a <> b").join(wide.withColumnRenamed("node", "a"), "a", "left_semi")
+    of_pairs = linked.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("grp"))
+    return of_keys.unionByName(of_pairs).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Spark's hash of the text, which tells rows of one id apart.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(rows.withColumn("version", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, version long, node long, bits long, bands array<long>"), "shingles")
+    sketch = written(rows.withColumn("version", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, version long, node long, bits long, bands array<long>, size long"), "shingles")
     keys = sketch.select("node", F.explode("bands").alias("band")).distinct()
     # Each key's nodes are linked to its first one.
     first = keys.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
@@ -148,12 +167,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = links(prints).select(F.col("a").alias("bits"), F.col("b").alias("other")).join(firsts, "bits")
     linked = linked.select("a", F.col("other").alias("bits")).join(firsts.withColumnRenamed("a", "b"), "bits").select("a", "b")
     groups = written(components(near.unionByName(alike).unionByName(linked)), "shingle-groups")
-    sizes = groups.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("n"))
-    known = sketch.select("doc_id", "node").groupBy("node").agg(F.min("doc_id").alias("id"))
-    wanted = known.join(groups, "node").select("id", "node", F.col("component").alias("grp"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "grp")
-    sets = texts.mapInArrow(_sets, "node long, grp long, shingles array<long>").dropDuplicates(["node"])
-    classes = components(checked_links(sets, sizes))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    sized = groups.join(sizes, "component")
+    pairs = alike.unionByName(linked)
+    apart = taken_apart(sized.filter(F.col("n") > BLOCK_NODES).select("node"), keys, pairs)
+    grouped = sized.filter(F.col("n") <= BLOCK_NODES).select("node", F.col("component").alias("grp")).unionByName(apart)
+    # Of each node one text, found by its id and version.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("one")
+    known = sketch.groupBy("node").agg(F.min("doc_id").alias("id"), one, F.max("size").alias("size"))
+    members = written(grouped.join(known.select("node", "size"), "node"), "shingle-members")
+    wanted = known.join(members.select("node").distinct(), "node", "left_semi").select(F.col("one.doc_id").alias("own_id"), F.col("one.version").alias("own_version"))
+    texts = rows.withColumn("version", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("version") == F.col("own_version")), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"])
+    classes = components(checked_links(sets, members))
     named = known.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id", "component")

@@ -54,3 +54,48 @@ def test_odd_rows(spark):
     out = sorted((r.doc_id or -1, r.component_id or -1) for r in shingles.near_duplicates(df).collect())
     assert out == [(-1, -1), (-1, 7), (7, 7), (7, 7), (8, 8), (9, 8)]
     assert shingles.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_text_without_an_id_is_looked_up_once(spark, monkeypatch):
+    """Rows that share an id, or have none, don't multiply with the nodes of that id."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(None if i % 2 else 4, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+    inner = shingles._sets
+
+    def counted(batches):
+        for batch in inner(batches):
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(shingles, "_sets", counted)
+    out = shingles.near_duplicates(docs).collect()
+    assert len(out) == 60 and {r.component for r in out} == {out[0].component} and {r.component_id for r in out} == {4}
+    assert read.value == 60
+
+
+def test_chains_of_keys_are_linear(spark, monkeypatch):
+    """Nodes chained by keys: each meets those that share a key, and keys with equal nodes count once."""
+    monkeypatch.setattr(shingles, "BLOCK_NODES", 16)
+    n = 3000
+    keys = spark.range(n).selectExpr("id node", "explode(array(id, id + 1, id + 100000, id + 100001)) band").selectExpr("node", "band")
+    pairs = spark.range(n - 1).selectExpr("id a", "id + 1 b").filter("a % 10 = 0")
+    apart = shingles.taken_apart(spark.range(n).selectExpr("id node"), keys, pairs)
+    assert apart.count() == 2 * (n - 1) + 2 * pairs.count()
+    assert apart.groupBy("grp").count().agg({"count": "max"}).first()[0] == 2
+
+
+def test_sets_of_many_shingles_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK_SHINGLES", 300)
+    words = [f"w{i}" for i in range(400)]
+    long = " ".join(words * 40)
+    rows = [(1, " ".join(words)), (2, " ".join(words[:398])), (3, " ".join(words[4:])), (4, long), (5, long + " end"), (6, "other " * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
