@@ -11,12 +11,18 @@ the host and all of its text blocks, also those inside of ``article``,
 * which share of its text is link text, lies in ``article`` or ``main``, or lies in an element
   whose class names a role that is no main text.
 
-Importance is ``GAMMA`` of the first plus the rest of the second, lowered by what else is known of
+Importance is ``GAMMA`` of the first plus the rest of the second, shifted by what else is known of
 the node: link text counts against nodes outside of articles; a node outside of articles counts
-the less, the more of the host's text lies in articles; a role's name takes ``ROLE_WEIGHT`` of it.
-Branches below ``LOW`` are removed from every page of the host (after Yi, Liu and Li, "Eliminating
-Noisy Information in Web Pages", KDD 2003), and so are single contents that most pages have.
-All logs are to the base m + ``SMOOTHING``: the fewer pages a host has, the less they prove.
+the less, the more of the host's text lies in articles (``OUTSIDE``: if all of its contents are a page's own and their
+number varies it can stay); a role's name takes ``STRONG`` of it, or ``WEAK`` in an article for a word of many meanings.
+So an entropy high enough keeps what such a word names in an article, and a low one removes a node of the
+article. A host's threshold is learned: the middle of the widest gap between the importances of its nodes, within
+``LOWEST`` and ``HIGHEST``. Branches below it are removed from every page of the host (after Yi, Liu and Li,
+"Eliminating Noisy Information in Web Pages", KDD 2003). All logs are to the base m + ``SMOOTHING``: the fewer pages
+a host has, the less they prove.
+
+A node on one page only has the highest content importance and no spread of shapes, so the page can judge it by itself; only nodes
+that pages share are sent to them, and a site that makes up a class for each page sends none of those.
 
 Pages of a host that have their longest block in common are copies and count once. A role's name
 says nothing if its element holds an article or nearly all of the page (``WHOLE``).
@@ -26,7 +32,8 @@ of articles, footers, sidebars (``aside``), scripts, styles, controls, and what
 
 Defined cases: a null page is empty; a page without text gives an empty text; pages without a
 host form one site of their own each; unfinished tags at the end are markup; rows repeated count
-once in the tree; an empty table gives an empty table; further columns are carried in ``key``.
+once in the tree; an empty table gives an empty table; further columns are carried in ``key``. A page is never
+cut, and its work is linear in its length.
 """
 
 from __future__ import annotations
@@ -39,16 +46,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, pieces, written
 
-GAMMA, LOW, SMOOTHING = 0.9, 0.25, 4
-#: What the name of a role takes from a node's importance, and the share of a page from which on it says nothing.
-ROLE_WEIGHT, WHOLE = 0.8, 0.9
-#: A content on more than this share of a host's pages is removed by itself.
-COMMON = 0.5
+GAMMA, SMOOTHING = 0.9, 4
+#: Between which a host's threshold is looked for; the middle holds where nothing is known.
+LOWEST, HIGHEST = 0.15, 0.35
+LOW = (LOWEST + HIGHEST) / 2
+#: What the name of a role takes from a node's importance, and how much of a page lies outside of articles at most takes.
+STRONG, WEAK, OUTSIDE = 0.8, 0.5, 0.74
+#: The share of a page from which on its element's name says nothing.
+WHOLE = 0.9
 PIECE_BYTES = 8 << 20
 
 # Fixed values of HTML: elements by kind.
@@ -76,8 +86,10 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 ROLE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidenav footer "
     "masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended "
-    "comment comments commentlist disqus replies widget widgets pagination pager header siteheader pageheader".split()
+    "comment comments commentlist disqus replies discussion opinions thread widget widgets pagination pager header siteheader pageheader".split()
 )
+#: Those of them that name a part of an article as well.
+WEAK_WORDS = set("banner comment header notice notices promo promotion recommended related share sharing social widget widgets".split())
 BESIDE_WORDS = set("area bar block bottom box button buttons container content field form holder inner item items label left link links list outer pane panel post right section side site slot text title top unit user wrap wrapper".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -87,29 +99,29 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 NO_MARKS: frozenset[int] = frozenset()
 
 
-def names_role(token: str) -> bool:
-    """Whether a class or id as a whole names a role: ``cookie-notice`` does, ``share-price`` doesn't."""
+def role_named(token: str) -> int:
+    """Whether a class or id as a whole names a role: 2 if it does (``cookie-notice``), 1 if by a word of many meanings (``notice``), 0 if not (``share-price``)."""
     words = [w.lower() for w in WORD.findall(token)]
-    if "".join(words) in ROLE_WORDS:
-        return True
-    return not ROLE_WORDS.isdisjoint(words) and all(w in ROLE_WORDS or w in BESIDE_WORDS for w in words)
+    named = ROLE_WORDS & {*words, "".join(words)}
+    whole = "".join(words) in ROLE_WORDS or all(w in ROLE_WORDS or w in BESIDE_WORDS for w in words)
+    return 0 if not named or not whole else 1 if named <= WEAK_WORDS else 2
 
 
 @lru_cache(maxsize=50_000)
-def look(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(signature, whether it's never main text, whether it names a role that is none) of a start tag."""
+def look(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """(signature, whether it's never main text, how surely it names a role that is none) of a start tag."""
     words: set[str] = set()
-    gone, role = tag in GONE, tag == "form"
+    gone, role = tag in GONE, 2 if tag == "form" else 0
     if "=" in attributes or "hidden" in attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(value.strip("\"'"))
             if name in ("class", "id"):
-                role |= any(map(names_role, value.split()))
+                role = max([role, *map(role_named, value.split())])
                 if name == "class":
                     words.update(w.lower() for w in WORD.findall(value))
             gone |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES) or (name == "style" and re.search(r"display\s*:\s*none", value) is not None)
     page = tag in ("article", "main", "body", "html")
-    return f"{tag}.{'.'.join(sorted(words))}", gone, role and not page
+    return f"{tag}.{'.'.join(sorted(words))}", gone, 0 if page else role
 
 
 @lru_cache(maxsize=50_000)
@@ -139,7 +151,8 @@ def blocks(source: str | None) -> list[Block]:
     out: list[Block] = []
     stack = [Frame("", 0, False, False, False, -1, {})]
     open_tags: dict[str, int] = {}
-    # Elements that name a role: the one around each, whether it holds an article, its letters of text.
+    # Elements that name a role: how surely, the one around each, and whether it holds an article.
+    sure: list[int] = []
     parents: list[int] = []
     holds: list[bool] = []
 
@@ -194,6 +207,7 @@ def blocks(source: str | None) -> list[Block]:
             if holder >= 0:
                 holds[holder] = True
         if role:
+            sure.append(role)
             parents.append(holder)
             holds.append(False)
             holder = len(parents) - 1
@@ -205,11 +219,11 @@ def blocks(source: str | None) -> list[Block]:
                 near = {g: p for g, p in near.items() if g != group}
         open_tags[tag] = open_tags.get(tag, 0) + 1
         stack.append(Frame(tag, _below(top.path, signature) if tag in BLOCK else top.path, top.gone or gone or (tag == "header" and not core), core, top.link or tag == "a", holder, near))
-    return _judged(out, parents, holds)
+    return _judged(out, sure, parents, holds)
 
 
-def _judged(found: list[Block], parents: list[int], holds: list[bool]) -> list[Block]:
-    """The blocks that have text, joined and hashed; ``role`` says whether a role's name counts for them."""
+def _judged(found: list[Block], sure: list[int], parents: list[int], holds: list[bool]) -> list[Block]:
+    """The blocks that have text, joined and hashed; ``role`` is what the names of roles take from them, in thousandths."""
     out, sizes = [], [0] * len(parents)
     for b in found:
         b.text = " ".join("".join(b.text).split())
@@ -224,34 +238,49 @@ def _judged(found: list[Block], parents: list[int], holds: list[bool]) -> list[B
         if parents[i] >= 0:
             sizes[parents[i]] += sizes[i]
             holds[parents[i]] |= holds[i]
-    counts: list[bool] = []
+    named: list[int] = []
     for i, parent in enumerate(parents):
-        counts.append((not holds[i] and sizes[i] < WHOLE * total) or (parent >= 0 and counts[parent]))
+        own = sure[i] if not holds[i] and sizes[i] < WHOLE * total else 0
+        named.append(max(own, named[parent] if parent >= 0 else 0))
     for b in out:
-        b.role = b.role >= 0 and counts[b.role]
+        by_name = named[b.role] if b.role >= 0 else 0
+        b.role = round(1000 * (0 if not by_name else WEAK if by_name == 1 and b.core else STRONG))
     return out
 
 
-def low_alone(found: list[Block]) -> frozenset[int]:
-    """The low nodes of a page whose host has no other page."""
+def _evidence(b: Block) -> np.ndarray:
+    """Letters of a block: all, links outside of articles, inside of articles, and what names take, in thousandths."""
+    n = len(b.text)
+    return np.array([n, 0 if b.core else b.linked, n if b.core else 0, n * b.role], np.int64)
+
+
+def own_nodes(found: list[Block]) -> dict[int, np.ndarray]:
+    """The evidence of each node of one page; a content counts once a node."""
     sums: dict[int, np.ndarray] = {}
-    for b in found:
-        n = len(b.text)
-        own = np.array([n, 0 if b.core else b.linked, n if b.core else 0, n if b.role else 0], np.float64)
-        sums[b.path] = sums.get(b.path, 0) + own
-    article = sum(x[2] for x in sums.values()) / max(1, sum(x[0] for x in sums.values()))
-    known = {path: (1 - x[1] / x[0]) * (1 - (1 - x[2] / x[0]) * article) * (1 - ROLE_WEIGHT * x[3] / x[0]) for path, x in sums.items()}
-    return frozenset(path for path, value in known.items() if GAMMA * value < LOW)
+    for b in {(b.path, b.content): b for b in found}.values():
+        sums[b.path] = sums.get(b.path, 0) + _evidence(b)
+    return sums
 
 
-def main_text(source: str | None, low: frozenset[int] | None = None, common: frozenset[int] = NO_MARKS) -> str:
-    """The page's main text; ``low`` are nodes of its host's style tree that are removed, ``common`` contents.
+def known_weight(evidence: np.ndarray, article: float) -> float:
+    """What is left of a node's importance by what is known besides the entropies."""
+    n, linked, inner, named = (float(x) for x in evidence)
+    return (1 - linked / n) * (1 - OUTSIDE * (1 - inner / n) * article) * (1 - named / (1000 * n))
 
-    Without ``low`` the page is judged as the only one of its host.
+
+def main_text(source: str | None, low: frozenset[int] = NO_MARKS, high: frozenset[int] = NO_MARKS, article: float | None = None, threshold: float = LOW) -> str:
+    """The page's main text; ``low`` are nodes of its host's style tree that are removed, ``high`` those that stay.
+
+    Nodes that no other page has are judged here, by the host's share of text in articles and its threshold. Without
+    these the page is judged as the only one of its host.
     """
     found = blocks(source)
-    low = low_alone(found) if low is None else low
-    return " ".join(b.text for b in found if b.path not in low and b.content not in common)
+    nodes = own_nodes(found)
+    if article is None:
+        total = sum(nodes.values(), np.zeros(4, np.int64))
+        article = float(total[2] / max(1, total[0]))
+    own = {path for path, x in nodes.items() if path not in high and path not in low and GAMMA * known_weight(x, article) < threshold}
+    return " ".join(b.text for b in found if b.path not in low and b.path not in own)
 
 
 # -------------------------------------------------------------------- Spark
@@ -274,9 +303,8 @@ def _tree_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = max(found, key=lambda b: len(b.text)).content
             shapes: dict[int, int] = {}
             for b in found:
-                n = len(b.text)
                 shapes[b.path] = shapes.get(b.path, 0) + 1
-                rows[host, b.path, CONTENT, b.content, page] = (n, 0 if b.core else b.linked, n if b.core else 0, n if b.role else 0)
+                rows[host, b.path, CONTENT, b.content, page] = tuple(_evidence(b).tolist())
             rows.update({(host, path, SHAPE, n, page): (0, 0, 0, 0) for path, n in shapes.items()})
             rows[host, 0, PAGE, page, page] = (0, 0, 0, 0)
         columns = list(zip(*(k + v for k, v in rows.items()), strict=True)) or [[]] * len(types)
@@ -320,37 +348,48 @@ def style_trees(merged: DataFrame) -> DataFrame:
     content = 1 - F.col("content") / F.col("size") / base
     shapes = (F.ln("on_pages") - F.col("shapes") / F.col("on_pages")) / base
     share = lambda c: F.col(c) / F.col("size")
-    known = (1 - share("linked")) * (1 - (1 - share("inner")) * F.col("article")) * (1 - ROLE_WEIGHT * share("named"))
-    return own.select("host", "path", ((GAMMA * content + (1 - GAMMA) * shapes) * known).alias("importance"), "m")
+    known = (1 - share("linked")) * (1 - OUTSIDE * (1 - share("inner")) * F.col("article")) * (1 - share("named") / 1000)
+    return own.select("host", "path", ((GAMMA * content + (1 - GAMMA) * shapes) * known).alias("importance"), "on_pages", "article", "m")
+
+
+def thresholds(shared: DataFrame) -> DataFrame:
+    """(host, threshold): the middle of the widest gap between the importances of a host's nodes, the lowest of several."""
+    bounds = shared.select("host").distinct().select("host", F.explode(F.array(F.lit(LOWEST), F.lit(HIGHEST))).alias("at"))
+    inside = shared.filter(F.col("importance").between(LOWEST, HIGHEST)).select("host", F.col("importance").alias("at"))
+    after = F.lead("at").over(Window.partitionBy("host").orderBy("at"))
+    gaps = bounds.unionByName(inside).withColumn("next", after).filter("next is not null")
+    wide = F.struct((F.col("at") - F.col("next")).alias("minus"), ((F.col("at") + F.col("next")) / 2).alias("middle"))
+    return gaps.groupBy("host").agg(F.min(wide)["middle"].alias("threshold"))
 
 
 def removals(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(site, low, common) of each host: nodes below ``LOW``, and contents that more than ``COMMON`` of its pages have."""
-    merged = written(merged_trees(pages, url_col, html_col), "style-trees")
-    trees = written(style_trees(merged), "style-nodes")
-    sites = trees.groupBy("host").agg(F.first("m").alias("m"))
-    low = trees.filter(F.col("importance") < LOW).select("host", F.col("path").alias("low"), F.lit(None).cast("long").alias("common"))
-    often = merged.filter(F.col("value").isNotNull() & (F.col("kind") == CONTENT)).join(sites, "host").filter(F.col("n") > COMMON * (F.col("m") + SMOOTHING))
-    both = low.unionByName(often.select("host", F.lit(None).cast("long").alias("low"), F.col("value").alias("common")))
-    return both.groupBy(F.col("host").alias("site")).agg(F.collect_set("low").alias("low"), F.collect_set("common").alias("common"))
+    """(site, low, high, article, threshold) of each host: the nodes that several of its pages share, below its threshold and above."""
+    trees = written(style_trees(merged_trees(pages, url_col, html_col)), "style-nodes")
+    shared = trees.filter("on_pages > 1")
+    judged = shared.join(thresholds(shared), "host").withColumn("goes", F.col("importance") < F.col("threshold"))
+    sites = trees.groupBy("host").agg(F.first("article").alias("article"))
+    lists = [F.collect_set(F.when(c, F.col("path"))).alias(name) for c, name in ((F.col("goes"), "low"), (~F.col("goes"), "high"))]
+    marks = judged.groupBy("host").agg(*lists, F.first("threshold").alias("threshold"))
+    return sites.join(marks, "host", "left").select(F.col("host").alias("site"), "low", "high", "article", F.coalesce("threshold", F.lit(LOW)).alias("threshold"))
 
 
 @lean
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1, PIECE_BYTES):
-        texts = [main_text(source, frozenset(low or ()), frozenset(common or ())) for source, low, common in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        rows = zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True)
+        texts = [main_text(source, frozenset(low or ()), frozenset(high or ()), article, LOW if at is None else at) for source, low, high, article, at in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["key", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(key, text, n_chars) of every page; ``key`` holds all columns but the source.
 
-    What is removed is written first, so that Spark knows its size: it is sent to the pages where
+    What is known of the hosts is written first, so that Spark knows its size: it is sent to the pages where
     it's small and else joined by host.
     """
     gone = written(removals(pages, url_col, html_col), "style-removals")
     key = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c != html_col))
     rows = pages.select(key.alias("key"), F.col(html_col).cast("string").alias("html"), _site(url_col, html_col).alias("host"))
-    met = rows.join(gone, rows["host"] == gone["site"], "left").select("key", "html", "low", "common")
+    met = rows.join(gone, rows["host"] == gone["site"], "left").select("key", "html", "low", "high", "article", "threshold")
     kind = met.schema["key"].dataType.simpleString()
     return met.mapInArrow(_extract, f"key {kind}, text string, n_chars long")

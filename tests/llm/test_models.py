@@ -1,7 +1,10 @@
 """Learned operators by held-out accuracy, tokenizer parity, page text, image copies and the pipeline."""
 
 import itertools
+import math
 import random
+import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -286,63 +289,125 @@ def test_style_tree_removes_low_nodes_without_roles(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
-def tree_by_hand(rows):
-    """Importance of each (host, path) by plain loops over pages: [(host, html)]."""
-    import math
+class PlainPage(HTMLParser):
+    """Blocks (path, text, linked, core, named) of a well-formed page, by a parser of its own."""
+
+    NAMED = {"ad box": (0.8, 0.8), "notice": (0.8, 0.5)}
+
+    def __init__(self, source):
+        super().__init__()
+        self.stack, self.found, self.fresh = [], [], True
+        self.feed(source or "")
+
+    def handle_starttag(self, tag, attributes):
+        names = dict(attributes).get("class") or ""
+        words = sorted({w for w in re.split(r"[^a-z]+", names) if w})
+        self.stack.append((tag, f"{tag}.{'.'.join(words)}", self.NAMED.get(names)))
+        self.fresh |= tag != "a"
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+        self.fresh |= tag != "a"
 
+    def handle_data(self, text):
+        core = any(t == "article" for t, _, _ in self.stack)
+        if self.fresh:
+            path = tuple(s for t, s, _ in self.stack if t != "a")
+            named = max([0, *(n[core] for _, _, n in self.stack if n)])
+            self.found.append([path, "", 0, core, named])
+            self.fresh = False
+        self.found[-1][1] += text
+        self.found[-1][2] += len(text) if any(t == "a" for t, _, _ in self.stack) else 0
+
+
+def tree_by_hand(rows):
+    """Importances of each host's nodes and the main text of each page by plain loops: [(host, html)]."""
     sites = {}
-    for host, source in rows:
-        found = pages.blocks(source)
+    parsed = [PlainPage(source).found for _, source in rows]
+    for (host, _), found in zip(rows, parsed, strict=True):
         if found:
-            longest = max(len(b.text) for b in found)
-            sites.setdefault(host, {}).setdefault(next(b.text for b in found if len(b.text) == longest), []).append(found)
-    out = {}
+            longest = max(len(b[1]) for b in found)
+            sites.setdefault(host, {}).setdefault(next(b[1] for b in found if len(b[1]) == longest), []).append(found)
+    importance, shared, low, cut = {}, {}, {}, {}
     for host, by_page in sites.items():
         m = len(by_page)
         size = inner = 0
         nodes = {}
         for page, copies in by_page.items():
-            seen = {(b.path, b.text): b for found in copies for b in found}
-            for (path, text), b in seen.items():
-                nodes.setdefault(path, []).append((text, page, b))
-                size += len(text)
-                inner += len(text) * b.core
+            for b in {(b[0], b[1]): b for found in copies for b in found}.values():
+                nodes.setdefault(b[0], []).append((b[1], page, b))
+                size += len(b[1])
+                inner += len(b[1]) * b[3]
         for path, own in nodes.items():
             pages_of = {}
             for text, page, _ in own:
                 pages_of.setdefault(text, set()).add(page)
             letters = sum(len(t) for t, _, _ in own)
             content = sum(len(t) * (1 - math.log(len(pages_of[t])) / math.log(m + 4)) for t, _, _ in own) / letters
-            shapes = {(page, sum(b.path == path for b in found)) for page, copies in by_page.items() for found in copies if any(b.path == path for b in found)}
+            shapes = {(page, sum(b[0] == path for b in found)) for page, copies in by_page.items() for found in copies if any(b[0] == path for b in found)}
             counts = [sum(n == k for _, n in shapes) for k in {n for _, n in shapes}]
             entropy = -sum(c / len(shapes) * math.log(c / len(shapes)) for c in counts) / math.log(m + 4)
-            links = sum(0 if b.core else b.linked for _, _, b in own) / letters
-            inside = sum(len(t) * b.core for t, _, b in own) / letters
-            named = sum(len(t) * b.role for t, _, b in own) / letters
-            out[host, path] = (0.9 * content + 0.1 * entropy) * (1 - links) * (1 - (1 - inside) * inner / size) * (1 - 0.8 * named)
-    return out
+            links = sum(0 if b[3] else b[2] for _, _, b in own) / letters
+            inside = sum(len(t) * b[3] for t, _, b in own) / letters
+            named = sum(len(t) * b[4] for t, _, b in own) / letters
+            importance[host, path] = (0.9 * content + 0.1 * entropy) * (1 - links) * (1 - 0.74 * (1 - inside) * inner / size) * (1 - named)
+            shared[host, path] = len(shapes) > 1
+        at = [0.15, *sorted(v for (h, p), v in importance.items() if h == host and shared[h, p] and 0.15 <= v <= 0.35), 0.35]
+        widest = max(b - a for a, b in zip(at, at[1:], strict=False))
+        cut[host] = next((a + b) / 2 for a, b in zip(at, at[1:], strict=False) if b - a == widest) if any(shared[h, p] for h, p in shared if h == host) else 0.25
+        low |= {(h, p): v < cut[host] for (h, p), v in importance.items() if h == host}
+    texts = [" ".join(b[1] for b in found if not low[host, b[0]]) for (host, _), found in zip(rows, parsed, strict=True)]
+    return importance, {k for k, gone in low.items() if gone and shared[k]}, cut, texts
 
 
 def test_importance_equals_plain_loops(spark):
+    """Nodes, thresholds and texts against a parser and loops that share nothing with the operator."""
     rng = random.Random(6)
     words = [f"w{i}" for i in range(80)]
-    say = lambda n: " ".join(rng.choices(words, k=n))
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
     rows = []
     for i in range(60):
-        parts = [f"<div class=top>{rng.choice(['Welcome', 'Hello there'])}</div>", f"<div class='ad box'>{say(3)}</div>", f"<ul class=links{i}><li><a href=x>{say(2)}</a> and {say(1)}</ul>"]
-        parts += [f"<{'article' if i % 3 else 'div class=story'}>" + "".join(f"<p>{say(9)}</p>" for _ in range(1 + i % 4)) + "<p class=legal>Printed in 2020</p>" + f"</{'article' if i % 3 else 'div'}>"]
+        parts = [f"<div class=top>{rng.choice(['Welcome', 'Hello there'])}</div>", f"<div class='ad box'>{say(3)}</div>", f"<ul class=links{i}><li><a href=x>{say(2)}</a> and {say(1)}</li></ul>"]
+        parts += [f"<{'article' if i % 3 else 'div class=story'}>" + "".join(f"<p>{say(9)}</p>" for _ in range(1 + i % 4)) + f"<h2>Summary</h2><h2>{say(5)}</h2><p class=notice>{say(6)}</p><p class=legal>Printed in 2020</p>" + f"</{'article' if i % 3 else 'div'}>"]
         rows.append((i, f"http://h{i % 4 if i < 50 else 4}.example/{i}", "".join(parts)))
-    rows += [(100 + i, *rows[0][1:]) for i in range(3)] + [(200, rows[1][1], rows[1][2].replace("Welcome", "Bye")), (201, None, "<p>no host"), (202, None, None)]
+    rows += [(100 + i, *rows[0][1:]) for i in range(3)] + [(200, rows[1][1], rows[1][2].replace("Welcome", "Bye")), (201, None, "<p>no host</p>"), (202, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    nodes = pages.style_trees(pages.merged_trees(df)).collect()
-    ours = {(r.host, r.path): r.importance for r in nodes if not r.host.startswith("page:")}
-    theirs = tree_by_hand([(u.split("/")[2], h) for _, u, h in rows if u])
-    assert ours.keys() == theirs.keys() and all(abs(ours[k] - theirs[k]) < 1e-9 for k in ours)
-    assert sum(r.host.startswith("page:") for r in nodes) == 1
-    low = {r.site: set(r.low) for r in pages.removals(df).collect()}
-    assert {(h, p) for h, own in low.items() for p in own if not h.startswith("page:")} == {k for k, v in theirs.items() if v < 0.25}
-    found = {r.key.page_id: r.text for r in pages.extract(df).collect()}
-    assert not any("Printed" in t or "Welcome" in t for i, t in found.items() if i < 40) and found[201] == "no host"
+    nodes = [r for r in pages.style_trees(pages.merged_trees(df)).collect() if not r.host.startswith("page:")]
+    importance, low, cut, texts = tree_by_hand([(u.split("/")[2], h) for _, u, h in rows if u])
+    for host in cut:
+        ours, theirs = (sorted(x) for x in ([r.importance for r in nodes if r.host == host], [v for (h, _), v in importance.items() if h == host]))
+        assert len(ours) == len(theirs) and all(abs(a - b) < 1e-9 for a, b in zip(ours, theirs, strict=True))
+    found = {r.site: r for r in pages.removals(df).collect() if not r.site.startswith("page:")}
+    assert {h: len(r.low or ()) for h, r in found.items()} == {h: sum(x == h for x, _ in low) for h in cut}
+    assert all(abs(found[h].threshold - cut[h]) < 1e-9 for h in cut)
+    out = {r.key.page_id: r.text for r in pages.extract(df).collect()}
+    assert [out[i] for i, u, _ in rows if u] == texts and out[201] == "no host" and out[202] == ""
+    assert all("Summary" in t for i, t in out.items() if i < 60 and i % 3)
+
+
+def test_entropy_decides_within_articles(spark):
+    """Without the tree the same pages give other texts: it removes what repeats and keeps what differs, whatever its name."""
+    say = lambda name, i: " ".join(f"{name}{i}x{k}" for k in range(12))
+    page = lambda i: f"<article><p>{say('body', i)}</p><div class=promo>{say('promo', i)}</div><p class=note>Sign the letter of the week</p><p class=notice>Prices include tax</p></article><div class=rail>{''.join(f'<p>{say(f'rail{k}', i)}</p>' for k in range(1 + i % 7))}</div>"
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(40)]
+    out = {r.key.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, source in rows:
+        assert out[i].startswith(f"{say('body', i)} {say('promo', i)}") and "letter of the week" not in out[i] and "include tax" not in out[i]
+        assert "letter of the week" in pages.main_text(source) and "include tax" in pages.main_text(source)
+    assert all(f"rail0{i}x0" in out[i] for i in out)
+    # In an article the names of roles with other meanings don't decide alone.
+    for name, tag in (("notice", "p"), ("header", "p"), ("promo", "div"), ("social", "div"), ("comment", "p")):
+        assert pages.main_text(f"<article><p>Body</p><{tag} class={name}>The text stays.</{tag}></article>") == "Body The text stays."
+    assert pages.main_text("<article><p>Body</p><div class='user-opinions'>No</div><ol class=thread><li>no</ol></article><div class=promo>no</div>") == "Body"
+
+
+def test_classes_made_for_each_page_are_not_sent(spark):
+    rows = [(i, "http://one.example/", f"<article><p class=a{'bcdefghijk'[i]}{'xyz'[i % 3] * (i + 1)}>text {i}</p></article><div class=ad>buy {i}</div>") for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 low", "2 high", "'c' host", "3 article")
+    out = pages.extract(df).select("key.*", "text").collect()
+    assert all(r.text == f"text {r.page_id}" and (r.low, r.high, r.host, r.article) == (1, 2, "c", 3) for r in out)
+    (site,) = pages.removals(df).collect()
+    assert len(site.low) + len(site.high) == 1
 
 
 def test_main_text_beside_teasers_and_under_odd_names(spark):
