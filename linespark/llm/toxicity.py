@@ -5,8 +5,8 @@ Three things are learned, all from a bounded sample of about ``TRAIN_ROWS`` labe
 1. a lexicon: words and word beginnings found far oftener in toxic than in clean texts;
 2. boosted trees over the features below, where the features of a training row use a lexicon
    learned without the row's own fold;
-3. an isotonic map from the trees' output to a probability, fitted on a fold that the trees
-   haven't seen.
+3. an isotonic map from the trees' output to a probability, fitted on outputs for all rows, each by trees that
+   have seen the other half only.
 
 Features: densities and log counts of lexicon words and of lexicon beginnings, how many of the
 hits stand near a word of the second person, shares of capitals and of words in capitals,
@@ -15,7 +15,7 @@ hits among these once they are read plainly, the number of words, and the larges
 evidence of the hits, so that a term seen thrice weighs less than one seen hundreds of times.
 
 Defined cases: null, empty and wordless texts get the score of a text whose counts are all
-zero; without labelled rows of both classes every text gets the share of toxic rows (0 if
+zero, very long texts are read whole; without labelled rows of both classes every text gets the share of toxic rows (0 if
 there are none); rows labelled more than once count as toxic if one label says so; a null id
 is never held out, yet never learned from; an empty table gives an empty table; further
 columns are carried in ``key``.
@@ -39,8 +39,8 @@ from .common import lean, pieces, written
 
 TRAIN_ROWS = 12_000
 FOLDS = 4
-#: The lexicon: terms in at least so many toxic texts, so many times likelier there, and so many at most.
-MIN_TOXIC, MIN_LIFT, LEXICON_TERMS = 3, 15.0, 4000
+#: The lexicon: terms in at least so many toxic texts of the sample, and so many times likelier there.
+MIN_TOXIC, MIN_LIFT = 3, 15.0
 BEGINNINGS = (4, 5, 6)
 NEAR_WORDS = 5
 TREES, DEPTH = 20, 3
@@ -152,7 +152,8 @@ def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicons_of(train: DataFrame) -> list[Lexicon]:
     """A lexicon for each fold, learned without it, and last one of all folds.
 
-    The counts stay in Spark; only terms that can pass come to the driver, LEXICON_TERMS at most.
+    The counts stay in Spark; only terms that can pass come to the driver. They are as few as the sample is bounded: a term has
+    to stand in MIN_TOXIC of its toxic texts at least.
     """
     totals = np.zeros((2, FOLDS))
     for label, fold, n in train.groupBy("label", "fold").count().collect():
@@ -161,7 +162,7 @@ def lexicons_of(train: DataFrame) -> list[Lexicon]:
     cells = [F.sum(F.when((F.col("label") == x) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{x}{k}") for x in (0, 1) for k in range(FOLDS)]
     toxic, clean = (sum((F.col(f"n{x}{k}") for k in range(1, FOLDS)), F.col(f"n{x}0")) for x in (1, 0))
     passed = counts.groupBy("term").agg(*cells).filter(toxic >= MIN_TOXIC).filter(toxic / float(totals[1].sum()) >= MIN_LIFT / 3 * (clean + 0.5) / float(totals[0].sum()))
-    rows = passed.orderBy(toxic.desc(), "term").limit(LEXICON_TERMS).collect()
+    rows = passed.collect()
     out = []
     for left in [*range(FOLDS), None]:
         use = [k for k in range(FOLDS) if k != left]
@@ -201,13 +202,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = with_features(train.select(F.struct("label", "fold").alias("key"), "text", F.col("fold").alias("lexicon")), lexicons)
     rows = written(rows.select("key.label", "key.fold", "features").coalesce(2), "toxicity-features").withColumn("features", array_to_vector("features"))
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, cacheNodeIds=False)
-    held = rows.filter(f"fold = {FOLDS - 1}")
-    first = trees.fit(rows.filter(f"fold < {FOLDS - 1}")) if held.filter("label = 1").count() and rows.filter(f"fold < {FOLDS - 1}").select("label").distinct().count() == 2 else None
-    if first is None:
-        return Model(lexicons[-1], trees.fit(rows), None, rate)
-    outputs = first.transform(held).select(vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(outputs)
-    return Model(lexicons[-1], first, calibration, rate)
+    halves = [F.col("fold") < FOLDS // 2, F.col("fold") >= FOLDS // 2]
+    final = trees.fit(rows)
+    if any(rows.filter(half).select("label").distinct().count() < 2 for half in halves):
+        return Model(lexicons[-1], final, None, rate)
+    outputs = [trees.fit(rows.filter(~half)).transform(rows.filter(half)) for half in halves]
+    outputs = outputs[0].unionByName(outputs[1]).select(vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"))
+    return Model(lexicons[-1], final, IsotonicRegression(featuresCol="raw", labelCol="label").fit(outputs), rate)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
