@@ -82,7 +82,8 @@ def _met(samples: DataFrame, spans: DataFrame) -> DataFrame:
     size = F.ceil(F.count("*").over(everyone) / CELLS)
     nth = F.row_number().over(order) - 1
     dealt = spans.select("station", "begin", "end", nth.alias("nth"), size.alias("size")).withColumn("cell", (div(F.col("nth"), F.col("size")) + 1).cast("int"))
-    first = F.when(F.col("nth") % F.col("size") == 0, F.col("begin"))
+    # Both uses read the same columns, so that Spark sorts the spans once.
+    first = F.when((F.col("nth") % F.col("size") == 0) & (F.col("end").isNull() | (F.col("end") >= F.col("begin"))), F.col("begin"))
     borders = dealt.groupBy(F.col("station").alias("_station")).agg(F.sort_array(F.collect_list(first)).alias("_borders"))
     rows = samples.select(F.struct("*").alias("_row")).join(F.broadcast(borders), F.col("_row.station") == F.col("_station"), "left")
     rows = rows.select("_row", _cell(F.col("_borders"), F.col("_row.ts_ms")).alias("_cell"))

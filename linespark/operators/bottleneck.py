@@ -7,30 +7,35 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..schemas import CYCLE_ORDER
+from .oee import merged_columns, oee_of_totals, partial_columns
 
 #: A week: some ten thousand cycles of a station.
 CHUNK_MS = 7 * 24 * 3600 * 1000
+#: Before the names of OEE's figures in chunks.
+OEE = "oee_"
 
 
-def run_chunks(part_events: DataFrame, chunk_ms: int = CHUNK_MS, by: list[str] | None = None, instead: Column | None = None) -> DataFrame:
+def run_chunks(part_events: DataFrame, chunk_ms: int = CHUNK_MS, by: list[str] | None = None, instead: Column | None = None, with_oee: bool = False) -> DataFrame:
     """One row for each (station, chunk): its length, first, last and best run of blocked cycles, and its sums.
 
     Chunks can be stored and further ones added: ``bottleneck_of_chunks`` needs nothing else. ``by`` names further keys;
-    where ``instead`` isn't null it is the chunk.
+    where ``instead`` isn't null it is the chunk. ``with_oee`` adds the additive figures of OEE, for both in one pass.
     """
     keys = [*(by or []), "station", "chunk"]
     sums = ["cycle_ms", "blocked_ms", "starved_ms"]
     chunk = F.floor(F.col("ts_end_ms") / F.lit(chunk_ms)).cast("long")
-    rows = part_events.select(*keys[:-1], *CYCLE_ORDER, (chunk if instead is None else F.coalesce(instead, chunk)).alias("chunk"))
+    further = ["down_ms", "status"] if with_oee else []
+    rows = part_events.select(*keys[:-1], *CYCLE_ORDER, *further, (chunk if instead is None else F.coalesce(instead, chunk)).alias("chunk"))
     order = Window.partitionBy(*keys).orderBy(*CYCLE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     free = F.when(F.col("blocked_ms") > 0, 0).otherwise(1)
-    runs = rows.withColumn("island", F.sum(free).over(order)).groupBy(*keys, "island").agg(F.count("*").alias("rows"), F.count(F.when(F.col("blocked_ms") > 0, 1)).alias("n"), *(F.sum(c).alias(c) for c in sums))
+    runs = rows.withColumn("island", F.sum(free).over(order)).groupBy(*keys, "island").agg(F.count("*").alias("rows"), F.count(F.when(F.col("blocked_ms") > 0, 1)).alias("n"), *(F.sum(c).alias(c) for c in sums), *(partial_columns(F.col("cycle_ms") > 0, OEE) if with_oee else []))
     return runs.groupBy(*keys).agg(
         F.sum("rows").alias("len"),
         F.coalesce(F.max(F.when(F.col("island") == 0, F.col("n"))), F.lit(0).cast("long")).alias("prefix"),
         F.max_by("n", "island").alias("suffix"),
         F.max("n").alias("best"),
         *(F.sum(c).alias(c) for c in sums),
+        *(merged_columns(OEE) if with_oee else []),
     )
 
 
@@ -74,14 +79,29 @@ def bottleneck(part_events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     return bottleneck_of_chunks(run_chunks(part_events, chunk_ms))
 
 
-def bottleneck_of_chunks(chunks: DataFrame) -> DataFrame:
-    """``bottleneck`` from the chunks of a station's whole time."""
-    sums = chunks.groupBy("station").agg(F.sum("len").alias("cycles"), F.sum("cycle_ms").alias("run_ms"), F.sum("blocked_ms").alias("blocked_ms"), F.sum("starved_ms").alias("starved_ms"), _longest())
+def _totals(chunks: DataFrame, *further: Column) -> DataFrame:
+    return chunks.groupBy("station").agg(F.sum("len").alias("cycles"), F.sum("cycle_ms").alias("run_ms"), F.sum("blocked_ms").alias("blocked_ms"), F.sum("starved_ms").alias("starved_ms"), _longest(), *further)
+
+
+def _figures() -> list[Column | str]:
     idle = F.col("blocked_ms") + F.col("starved_ms")
-    return sums.select(
+    return [
         "station", "cycles", ratio(F.col("run_ms"), F.col("run_ms") + idle).alias("utilisation"), (idle / 1000.0).alias("idle_s"), (F.col("blocked_ms") / 1000.0).alias("blocked_s"),
         (F.col("starved_ms") / 1000.0).alias("starved_s"), (F.col("run_ms") / 1000.0 / F.col("cycles")).alias("mean_cycle_s"), "longest_blocked_run",
-    )
+    ]
+
+
+def bottleneck_of_chunks(chunks: DataFrame) -> DataFrame:
+    """``bottleneck`` from the chunks of a station's whole time."""
+    return _totals(chunks).select(*_figures())
+
+
+def oee_and_bottleneck(part_events: DataFrame, ideal: DataFrame | None = None, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """(station, oee, bottleneck): the figures of ``oee`` (null without a counted cycle) and of ``bottleneck`` as structs, by one pass over the cycles."""
+    totals = _totals(run_chunks(part_events, chunk_ms, with_oee=True), *merged_columns(OEE))
+    own = (F.col(c).alias(c.removeprefix(OEE)) for c in totals.columns if c.startswith(OEE))
+    rated = oee_of_totals(totals.select("station", *own, F.struct(*_figures()[1:]).alias("bottleneck")), ideal, "bottleneck")
+    return rated.select("station", F.when(F.col("parts") > 0, F.struct(*rated.columns[1:-1])).alias("oee"), "bottleneck")
 
 
 def find_constraint(table: DataFrame) -> DataFrame:

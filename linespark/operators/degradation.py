@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import div, sample_sd
 from ..functions.moments import comoments, merge_comoments, merge_moments, moments, sd_of
 from .asof import asof_maintenance
-from .filters import filter_running, filter_signal, fitted_buckets
+from .filters import FITTED_SHARE, filter_running, filter_signal, fitted_buckets
 
 
 def age_bucket(bucket_s: int) -> Column:
@@ -16,12 +16,12 @@ def age_bucket(bucket_s: int) -> Column:
     return div(div(F.col("ts_ms") - F.col("fresh"), 1000), bucket_s)
 
 
-def _aged(telemetry: DataFrame, maintenance: DataFrame, signal: str, min_value: float | None) -> DataFrame:
+def _aged(telemetry: DataFrame, maintenance: DataFrame, signal: str, min_value: float | None, keep_unmatched: bool = False) -> DataFrame:
     """The signal's samples with the end of their last stop; signal and running samples are filtered before the join."""
     rows = filter_signal(telemetry, signal)
     if min_value is not None:
         rows = filter_running(rows, {signal: min_value})
-    return asof_maintenance(rows, maintenance)
+    return asof_maintenance(rows, maintenance, keep_unmatched)
 
 
 def _age_h(bucket_s: int) -> Column:
@@ -69,6 +69,25 @@ def slope_merge(partials: DataFrame) -> DataFrame:
     return merged.select("station", "slope_per_h", (F.col("mean_y") - F.col("slope_per_h") * F.col("mean_x")).alias("intercept"), F.col("n").alias("buckets"))
 
 
+def limits_and_slopes(telemetry: DataFrame, maintenance: DataFrame, signal: str = "torque", bucket_s: int = 1800, min_value: float | None = None) -> DataFrame:
+    """(station, n, mean, sd, slope_per_h, intercept, buckets): a signal's spread and its wear by one pass over the samples.
+
+    Samples are put together by age first, those before the first stop under no age; both figures come from these. A
+    station that has no line has nulls for it.
+    """
+    aged = _aged(telemetry, maintenance, signal, min_value, keep_unmatched=True)
+    parts = aged.groupBy("station", age_bucket(bucket_s).alias("bucket")).agg(*moments(F.col("value")))
+    whole = Window.partitionBy("station")
+    parts = parts.withColumns({"overall": F.sum(F.col("mean") * F.col("n")).over(whole) / F.sum("n").over(whole), "fullest": F.max(F.when(F.col("bucket").isNotNull(), F.col("n"))).over(whole)})
+    off = F.col("mean") - F.col("overall")
+    fitted = F.col("bucket").isNotNull() & (F.col("n") >= FITTED_SHARE * F.col("fullest"))
+    y, x = F.when(fitted, F.col("mean")), F.when(fitted, F.col("bucket") * bucket_s / 3600.0)
+    fit = [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("at_zero"), F.count(x).alias("buckets")]
+    table = parts.groupBy("station").agg(F.sum("n").alias("n"), F.first("overall").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"), *fit)
+    known = (F.col("buckets") >= 3) & F.col("slope").isNotNull()
+    return table.select("station", "n", "mean", sd_of().alias("sd"), *(F.when(known, F.col(c)).alias(name) for c, name in (("slope", "slope_per_h"), ("at_zero", "intercept"), ("buckets", "buckets"))))
+
+
 def degradation_points(curve: DataFrame, slopes: DataFrame, fitted_only: bool = False) -> DataFrame:
     """Curve points with ``rise_pct``, the rise above the fitted fresh value."""
     points = fitted_buckets(curve) if fitted_only else curve

@@ -45,7 +45,11 @@ def assign_shift_day(df: DataFrame, start_date: str, days: int, ts_col: str = "t
     return df.withColumn("dt", F.date_add(F.lit(start_date).cast("date"), day.cast("int")))
 
 
-def fitted_buckets(curve: DataFrame, share: float = 0.2) -> DataFrame:
+#: Samples of a fitted bucket, as a share of the station's fullest one.
+FITTED_SHARE = 0.2
+
+
+def fitted_buckets(curve: DataFrame, share: float = FITTED_SHARE) -> DataFrame:
     """Age buckets with at least ``share`` of the samples of the station's fullest one."""
     fullest = F.max("n").over(Window.partitionBy("station"))
     return curve.withColumn("fullest", fullest).filter(F.col("n") >= share * F.col("fullest")).drop("fullest")

@@ -9,16 +9,27 @@ from ..functions.columns import ratio
 from .filters import assign_shift_day
 
 
-def partial_columns() -> list[Column]:
-    """The additive figures of a group of cycles."""
-    return [
-        F.count("*").alias("parts"),
-        F.sum(F.when(F.col("status") == "PASS", 1).otherwise(0)).alias("good"),
-        *(F.sum(c + "_ms").alias(c + "_ms") for c in ("cycle", "down", "blocked", "starved")),
-        F.min("cycle_ms").alias("min_cycle_ms"),
-        F.min("ts_end_ms").alias("first_ts"),
-        F.max("ts_end_ms").alias("last_ts"),
-    ]
+#: Additive figures of cycles, and those of which the least or the largest counts.
+SUMS = ("parts", "good", "cycle_ms", "down_ms", "blocked_ms", "starved_ms")
+
+
+def partial_columns(counted: Column | None = None, prefix: str = "") -> list[Column]:
+    """The additive figures of a group of cycles, or of those of them that are counted."""
+    own = lambda c: c if counted is None else F.when(counted, c)
+    columns = {
+        "parts": F.count(own(F.lit(1))),
+        "good": F.sum(F.when((F.col("status") == "PASS") & (F.lit(True) if counted is None else counted), 1).otherwise(0)),
+        **{c: F.sum(own(F.col(c))) for c in SUMS[2:]},
+        "min_cycle_ms": F.min(own(F.col("cycle_ms"))),
+        "first_ts": F.min(own(F.col("ts_end_ms"))),
+        "last_ts": F.max(own(F.col("ts_end_ms"))),
+    }
+    return [c.alias(prefix + name) for name, c in columns.items()]
+
+
+def merged_columns(prefix: str = "") -> list[Column]:
+    """The figures of several partials."""
+    return [*(F.sum(prefix + c).alias(prefix + c) for c in SUMS), *(F.min(prefix + c).alias(prefix + c) for c in ("min_cycle_ms", "first_ts")), F.max(prefix + "last_ts").alias(prefix + "last_ts")]
 
 
 def oee_partials(part_events: DataFrame, start_date: str = "1970-01-01", days: int = 1_000_000, by: tuple[str, ...] = ("station", "dt")) -> DataFrame:
@@ -29,9 +40,7 @@ def oee_partials(part_events: DataFrame, start_date: str = "1970-01-01", days: i
 
 def oee_merge(partials: DataFrame, ideal: DataFrame | None = None) -> DataFrame:
     """OEE of each station from partials of any split of its rows."""
-    sums = ("parts", "good", "cycle_ms", "down_ms", "blocked_ms", "starved_ms")
-    total = partials.groupBy("station").agg(*(F.sum(c).alias(c) for c in sums), F.min("min_cycle_ms").alias("min_cycle_ms"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
-    return _ratios(total, ideal)
+    return oee_of_totals(partials.groupBy("station").agg(*merged_columns()), ideal)
 
 
 def oee(part_events: DataFrame, ideal: DataFrame | None = None) -> DataFrame:
@@ -40,10 +49,11 @@ def oee(part_events: DataFrame, ideal: DataFrame | None = None) -> DataFrame:
     ``ideal`` has (station, ideal_cycle_s): nameplate cycles of a line's few stations. A station
     without one falls back to its best cycle and has ``ideal_configured`` false.
     """
-    return _ratios(part_events.filter("cycle_ms > 0").groupBy("station").agg(*partial_columns()), ideal)
+    return oee_of_totals(part_events.filter("cycle_ms > 0").groupBy("station").agg(*partial_columns()), ideal)
 
 
-def _ratios(total: DataFrame, ideal: DataFrame | None) -> DataFrame:
+def oee_of_totals(total: DataFrame, ideal: DataFrame | None, *carried: str) -> DataFrame:
+    """OEE of each station from its additive figures; carried columns stay."""
     if ideal is None:
         rows = total.withColumn("ideal_cycle_s", F.lit(None).cast("double"))
     else:
@@ -57,7 +67,7 @@ def _ratios(total: DataFrame, ideal: DataFrame | None) -> DataFrame:
     return rows.select(
         "station", "parts", "good", (F.col("availability") * F.col("performance") * F.col("quality")).alias("oee"), "availability", "performance", "quality",
         (1.0 - F.col("quality")).alias("defect_rate"), "ideal_cycle_s", "ideal_configured", (F.col("min_cycle_ms") / 1000.0).alias("min_cycle_s"),
-        (F.col("down_ms") / 1000.0).alias("down_s"), (F.col("blocked_ms") / 1000.0).alias("blocked_s"), (F.col("starved_ms") / 1000.0).alias("starved_s"),
+        (F.col("down_ms") / 1000.0).alias("down_s"), (F.col("blocked_ms") / 1000.0).alias("blocked_s"), (F.col("starved_ms") / 1000.0).alias("starved_s"), *carried,
     )
 
 

@@ -21,6 +21,13 @@ def station_table(stations: DataFrame, oee: DataFrame, bott: DataFrame, limits:
     return out.join(slopes.select("station", "slope_per_h", F.col("intercept").alias("fresh_torque")), "station", "left")
 
 
+def station_table_of(stations: DataFrame, cycles: DataFrame, torque: DataFrame) -> DataFrame:
+    """``station_table`` from ``oee_and_bottleneck`` and ``limits_and_slopes``: cycles and samples are read once each."""
+    own = cycles.select("station", *(f"oee.{c}" for c in ("oee", "availability", "performance", "quality", "defect_rate")), *(f"bottleneck.{c}" for c in ("utilisation", "mean_cycle_s", "blocked_s", "starved_s")))
+    torque = torque.select("station", F.col("mean").alias("torque_mean"), F.col("sd").alias("torque_sd"), "slope_per_h", F.col("intercept").alias("fresh_torque"))
+    return stations.select("station").join(own, "station", "left").join(torque, "station", "left")
+
+
 def _synthesised(base: DataFrame, mined: DataFrame, sigma: Column, rise: Column, line: list[str]) -> DataFrame:
     """Base rows with new set points; ``mined`` has mean, sd, utilisation, mean_cycle_s, slope_per_h and intercept by station."""
     rows = base.join(mined, [*line, "station"], "left")
@@ -47,19 +54,23 @@ def _synthesised(base: DataFrame, mined: DataFrame, sigma: Column, rise: Column,
     return rows.select(*line, "station", *(new.get(c, F.col(c)).alias(c) for c in POLICY_FIELDS))
 
 
-def mined_table(limits: DataFrame, bott: DataFrame, slopes: DataFrame, line: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """What the policy needs of each (line, station), as rounded in the job outputs; and each line's constraint."""
+def mined_table(limits: DataFrame, bott: DataFrame, slopes: DataFrame | None, line: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What the policy needs of each (line, station), as rounded in the job outputs; and each line's constraint.
+
+    Without ``slopes`` the limits have them as well (``limits_and_slopes``).
+    """
     line = line or []
     keys = [*line, "station"]
     four = lambda c: F.round(c, 4).alias(c)
     used = bott.select(*keys, four("utilisation"), F.round("mean_cycle_s", 3).alias("mean_cycle_s"))
     order = Window.partitionBy(*line).orderBy(F.desc("utilisation"), "station")
     first = used.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(*line, F.col("station").alias("constraint"))
-    found = limits.select(*keys, four("mean"), four("sd")).join(used, keys, "full").join(slopes.select(*keys, "slope_per_h", "intercept"), keys, "left")
-    return found, first
+    wear = ["slope_per_h", "intercept"]
+    found = limits.select(*keys, four("mean"), four("sd"), *(wear if slopes is None else [])).join(used, keys, "full")
+    return found if slopes is None else found.join(slopes.select(*keys, *wear), keys, "left"), first
 
 
-def synthesise_policy(base: DataFrame, limits: DataFrame, bott: DataFrame, slopes: DataFrame, sigma: float = 3.0, target_rise: float = TARGET_RISE, policy_id: str = "B-mined", line: list[str] | None = None) -> DataFrame:
+def synthesise_policy(base: DataFrame, limits: DataFrame, bott: DataFrame, slopes: DataFrame | None = None, sigma: float = 3.0, target_rise: float = TARGET_RISE, policy_id: str = "B-mined", line: list[str] | None = None) -> DataFrame:
     """One row for each (line, station) of the base policy with new limits, intervals and buffers.
 
     A line for whose stations there are no limits or no utilisation at all raises an error.
@@ -73,7 +84,7 @@ def synthesise_policy(base: DataFrame, limits: DataFrame, bott: DataFrame, slope
     return out.withColumns({"policy_id": F.lit(policy_id), "provenance": told})
 
 
-def policy_grid(base: DataFrame, limits: DataFrame, bott: DataFrame, slopes: DataFrame, sigmas: list[float], rises: list[float]) -> DataFrame:
+def policy_grid(base: DataFrame, limits: DataFrame, bott: DataFrame, slopes: DataFrame | None, sigmas: list[float], rises: list[float]) -> DataFrame:
     """Policies for all pairs of parameters: (sigma, target_rise, station, ..). The grid is as small as the given lists."""
     spark = base.sparkSession
     grid = spark.createDataFrame([(float(s), float(r)) for s in sigmas for r in rises], "sigma double, target_rise double")

@@ -30,10 +30,6 @@ def _r(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
-def _torque_limits(spark: SparkSession, d: str) -> DataFrame:
-    return limits.control_limits(adapters.telemetry(spark, d), ["torque"], 3.0, MIN_VALUES)
-
-
 def _curve(spark: SparkSession, d: str) -> DataFrame:
     return degradation.degradation(adapters.telemetry(spark, d), adapters.maintenance(spark, d), "torque", BUCKET_S, 5.0)
 
@@ -50,8 +46,13 @@ def _bottleneck(spark: SparkSession, d: str) -> DataFrame:
     return bottleneck.bottleneck(adapters.part_events(spark, d))
 
 
+def _torque(spark: SparkSession, d: str) -> DataFrame:
+    """Torque's spread and wear by one pass over the samples."""
+    return _r(degradation.limits_and_slopes(adapters.telemetry(spark, d), adapters.maintenance(spark, d), "torque", BUCKET_S, 5.0), mean=10, sd=10)
+
+
 def _policy_b(spark: SparkSession, d: str) -> DataFrame:
-    return policy.synthesise_policy(adapters.base_policy(spark), _torque_limits(spark, d), _bottleneck(spark, d), _slopes(spark, d))
+    return policy.synthesise_policy(adapters.base_policy(spark), _torque(spark, d), _bottleneck(spark, d))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +199,8 @@ def find_constraint(spark, d):
 
 
 def station_table(spark, d):
-    table = policy.station_table(adapters.base_policy(spark), _oee(spark, d), _bottleneck(spark, d), _torque_limits(spark, d), _slopes(spark, d))
+    cycles_of = bottleneck.oee_and_bottleneck(adapters.part_events(spark, d), adapters.ideal_cycles(spark))
+    table = policy.station_table_of(adapters.base_policy(spark), cycles_of, _torque(spark, d))
     return _r(table, **TABLE_DIGITS)
 
 
@@ -219,7 +221,7 @@ def synthesise_policy(spark, d):
 
 
 def policy_grid(spark, d):
-    grid = policy.policy_grid(adapters.base_policy(spark), _torque_limits(spark, d), _bottleneck(spark, d), _slopes(spark, d), SIGMAS, RISES)
+    grid = policy.policy_grid(adapters.base_policy(spark), _torque(spark, d), _bottleneck(spark, d), None, SIGMAS, RISES)
     return _r(grid, torque_lcl=2, torque_ucl=2)
 
 

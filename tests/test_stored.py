@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linespark.functions import moments
-from linespark.operators import ab, asof, bottleneck, cycles, degradation, filters, limits, oee, report
+from linespark.operators import ab, asof, bottleneck, cycles, degradation, filters, limits, oee, policy, report
 from linespark.plans import adapters, stored
 from linespark.schemas import PART_EVENTS
 from linespark.sources import rollups, sinks
@@ -177,3 +177,30 @@ def test_hold_takes_cycles_in_their_order_and_forgets_free_stations(spark, tmp_p
     finally:
         spark.conf.unset(live.PROVIDER)
     assert [tuple(r) for r in left] == [("S01", 1)]
+
+
+def test_one_pass_gives_what_two_give(spark):
+    events = adapters.part_events(spark, SF)
+    odd = spark.createDataFrame([(5, "S09", 1, 0, 10, 20, 0, "PASS", ""), (6, "S09", 2, 0, 0, 0, 5, "FAIL", "x"), (7, "S10", 3, 0, 7, 0, 0, "PASS", ""), (9, "S10", 4, 900, 0, 0, 0, "PASS", "")], PART_EVENTS)
+    events = events.select(*odd.columns).unionByName(odd)
+    ideal = adapters.ideal_cycles(spark, "S02")
+    both = bottleneck.oee_and_bottleneck(events, ideal)
+    assert rows_of(both.filter("oee is not null").select("station", "oee.*")) == rows_of(oee.oee(events, ideal))
+    assert rows_of(both.select("station", "bottleneck.*")) == rows_of(bottleneck.bottleneck(events))
+    assert both.filter("oee is null").count() == 1
+    samples, log = adapters.telemetry(spark, SF), adapters.maintenance(spark, SF)
+    early = spark.createDataFrame([(5, "S01", "torque", 50.0), (6, "S09", "torque", 7.0), (7, "S09", "torque", 9.0)], samples.schema)
+    samples = samples.unionByName(early)
+    one = degradation.limits_and_slopes(samples, log, "torque", 1800, 5.0)
+    limits_of = limits.control_limits(samples, ["torque"], 3.0, {"torque": 5.0})
+    slopes = degradation.degradation_slopes(degradation.degradation(samples, log, "torque", 1800, 5.0))
+    assert rows_of(one.select("station", "n", "mean", "sd")) == rows_of(limits_of.select("station", "n", "mean", "sd"))
+    assert rows_of(one.filter("buckets is not null").select(*slopes.columns)) == rows_of(slopes)
+    assert one.filter("station = 'S09'").first()["slope_per_h"] is None
+    stations = adapters.base_policy(spark)
+    assert rows_of(policy.station_table_of(stations, both, one)) == rows_of(policy.station_table(stations, oee.oee(events, ideal), bottleneck.bottleneck(events), limits_of, slopes))
+    assert rows_of(policy.synthesise_policy(stations, one, bottleneck.bottleneck(events))) == rows_of(policy.synthesise_policy(stations, limits_of, bottleneck.bottleneck(events), slopes))
+    # The samples once, and the log for its borders and its spans, which share one sort.
+    one.collect()
+    final = plan_of(one).split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") <= 3 and "ReusedExchange" in final
