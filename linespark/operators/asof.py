@@ -56,7 +56,7 @@ def _carried(left: DataFrame, marks: DataFrame, forward: bool) -> DataFrame:
 
 
 #: Cells of a station at most; the search below takes one step for each binary digit.
-CELLS = 1023
+CELLS = 511
 STEPS = [1 << k for k in range(CELLS.bit_length() - 1, -1, -1)]
 
 
