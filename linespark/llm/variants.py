@@ -37,6 +37,8 @@ LEVELS = len(SINGLE_LETTERS) + SHARED_LEVELS
 CELL_WORDS, MAX_NODES = 16_384, 4096
 #: Letters compared at once.
 COMPARED = 1 << 22
+#: An odd constant, the base of the halves' hashes.
+BASE = 0x9E3779B97F4A7C15
 MIN_LETTERS, MIN_COUNT, LEAD = 5, 3, 2
 
 Node = tuple[int, ...]
@@ -50,9 +52,10 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def vectors(words: list[str]) -> np.ndarray:
     """Letter counts by group, one row a word."""
     codes, sizes = letters(words)
-    group = len(SINGLE_LETTERS) + (codes % SHARED_LEVELS).astype(np.int64)
-    for level, letter in enumerate(SINGLE_LETTERS):
-        group[codes == ord(letter)] = level
+    low = np.arange(256)
+    known = len(SINGLE_LETTERS) + low % SHARED_LEVELS
+    known[[ord(letter) for letter in SINGLE_LETTERS]] = np.arange(len(SINGLE_LETTERS))
+    group = known[codes] if codes.max(initial=0) < 256 else np.where(codes < 256, known[np.minimum(codes, 255)], len(SINGLE_LETTERS) + codes % SHARED_LEVELS)
     word = np.repeat(np.arange(len(words)), sizes)
     return np.bincount(word * LEVELS + group, minlength=len(words) * LEVELS).reshape(-1, LEVELS).astype(np.int32)
 
@@ -146,6 +149,32 @@ def candidates(leaves: np.ndarray, queries: np.ndarray, level: int) -> Iterator[
             stack.append((begin, end, level + 1, live[stays], more[stays], fewer[stays]))
 
 
+class Halves:
+    """Hashes of the words' first and last halves, by their own length and by that less one.
+
+    If one edit leads from a word to another, at most one of the shorter one's halves is changed, so one stands in both words.
+    """
+
+    def __init__(self, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes
+        power = np.full(len(codes) + 1, BASE, np.uint64)
+        back = np.full(len(codes) + 1, pow(BASE, -1, 1 << 64), np.uint64)
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power), np.cumprod(back)
+        total = np.r_[np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1])]
+        part = lambda low, high: (total[high] - total[low]) * back[low]
+        ends = begins + sizes
+        half = np.stack([sizes // 2, np.maximum(sizes - 1, 0) // 2], axis=1)
+        self.first, self.last = part(begins[:, None] + 0 * half, begins[:, None] + half), part(ends[:, None] - half, ends[:, None] + 0 * half)
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of words have a half of the shorter one in common; lengths differ by one at most."""
+        longer = self.sizes[a] - self.sizes[b]
+        own, other = 2 * a + (longer > 0), 2 * b + (longer < 0)
+        first, last = self.first.ravel(), self.last.ravel()
+        return (first[own] == first[other]) | (last[own] == last[other])
+
+
 def one_edit(codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of words differ by exactly one edit; lengths differ by one at most."""
     near = np.zeros(len(a), bool)
@@ -185,23 +214,23 @@ def _search(rows: pa.Table) -> pa.Table:
     near_count = np.zeros(len(words), np.int64)
     best = np.full(len(words), -1)
     if len(leaf_at):
-        # Words by number of occurrences, then by code points: the first near one is the best.
-        by = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+        # Leaf words by number of occurrences, then by code points: the first near one is the best.
+        by = np.array(sorted(leaf_at.tolist(), key=list(zip((-n).tolist(), words, strict=True)).__getitem__))
         place = np.empty(len(words), np.int64)
         place[by] = np.arange(len(by))
-        by = np.array(by)
         best_place = np.full(len(words), len(words))
         codes, sizes = letters(words)
         begins = np.cumsum(sizes) - sizes
+        halves = Halves(codes, begins, sizes)
         counted = vectors(words)
-        leaves, leaf_of = np.unique(counted[leaf_at], axis=0, return_inverse=True)
-        queries, query_of = np.unique(counted, axis=0, return_inverse=True)
-        leaf_rows, query_rows = np.argsort(leaf_of.ravel(), kind="stable"), np.argsort(query_of.ravel(), kind="stable")
-        leaf_ends, query_ends = np.cumsum(np.bincount(leaf_of.ravel())), np.cumsum(np.bincount(query_of.ravel()))
+        leaves, leaf_rows, leaf_ends = distinct(counted[leaf_at])
+        queries, query_rows, query_ends = distinct(counted)
         for q, w in _grouped(candidates(leaves, queries, depth), np.diff(np.r_[0, query_ends]), np.diff(np.r_[0, leaf_ends]), int(sizes.max()) + 1):
             a, b = _expanded(q, w, query_rows, query_ends, leaf_rows, leaf_ends)
             for begin in range(0, len(a), COMPARED):
                 x, y = a[begin : begin + COMPARED], leaf_at[b[begin : begin + COMPARED]]
+                some = halves.shared(x, y)
+                x, y = x[some], y[some]
                 near = one_edit(codes, begins, sizes, x, y)
                 x, y = x[near], y[near]
                 near_count += np.bincount(x, minlength=len(words))
@@ -213,6 +242,13 @@ def _search(rows: pa.Table) -> pa.Table:
     return pa.table([rows["word"].take(pa.array(hits)), pa.array(near_count[hits]), found], names=["word", "n_near", "best"])
 
 
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows in order, all rows' numbers in that order, and where those of each end."""
+    order = np.lexsort(rows.T[::-1])
+    new = np.r_[True, (rows[order[1:]] != rows[order[:-1]]).any(axis=1)]
+    return rows[order[new]], order, np.r_[np.flatnonzero(new)[1:], len(rows)]
+
+
 def _grouped(pairs: Iterator, query_sizes: np.ndarray, leaf_sizes: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of vectors, as many together as make about COMPARED letters of words."""
     held, size = [], 0
