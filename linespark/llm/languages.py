@@ -13,7 +13,8 @@ share of letters times its probability over its own words.
 Defined cases: a null text or one without letters is ``und`` with score 0; if nothing was
 learned, every text is; words in a script that no learned language uses favour none; ties go to
 the first language by name; a null id is never held out, yet never learned from; an empty table
-gives an empty table; further columns are ignored.
+gives an empty table; further columns are ignored. A text is never cut: a task holds the longest one with a row of
+scores for each of its words.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ The classifier is naive Bayes on hashed words, learned from a bounded sample of
 Defined cases: null, empty and wordless texts have no tokens and the labelled shares as
 posterior; without labelled rows all rates are the budget; targets of unknown domains are left
 out, domains without a target get 0; an empty table gives an empty table; rows with equal or
-null ids are treated one by one; further columns are carried in ``key``.
+null ids are treated one by one; further columns are carried in ``key``. A text is never cut: a task holds the longest
+one with its words.
 """
 
 from __future__ import annotations

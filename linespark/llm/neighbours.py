@@ -26,7 +26,8 @@ no sum can pass 2^53, else 64-bit integers).
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null
 id, take no part; vectors of different lengths are never compared (the commonest length has
 pivots, the others are joined block by block); rows repeated with one id are all the query's own,
-and equal rows count once; an empty table gives an empty table; further columns are ignored.
+and equal rows count once; an empty table gives an empty table; further columns are ignored. Components so large that
+scores could pass 64 bits are refused.
 """
 
 from __future__ import annotations
@@ -211,6 +212,9 @@ def _block(blocks) -> Column:
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row whose id is divisible by ``every``."""
     rows = written(integer_vectors(df, id_col, vector_col), "vectors")
+    most, width = rows.agg(F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
+    if (most or 0) ** 2 * (width or 0) >= 1 << 63:
+        raise ValueError(f"components up to {most} in {width} dimensions make scores of over 64 bits")
     same = Window.partitionBy("v").orderBy("vec_id")
     data = written(rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).withColumn("width", F.size("v")), "vectors-data")
     queries = rows.filter(F.col("vec_id") % every == 0).withColumn("width", F.size("v"))

@@ -13,7 +13,8 @@ encoded once, in batches, and texts are put together from their words' ids. Othe
 whole texts. The original library always encodes whole texts.
 
 Defined cases: a null text has null results; an empty text has no tokens; further columns are
-carried in ``key``; an empty table gives an empty table.
+carried in ``key``; an empty table gives an empty table. A text is never cut: a task holds the longest one with its tokens, twice
+while both libraries are compared; null ids and repeated rows are encoded one by one.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ a spanning forest of the links is passed on, never all pairs.
 
 Defined cases: a null, empty or wordless text has fingerprint zero and links like any other;
 a null id gets the component of its fingerprint but never names one; rows repeated with one
-id count as documents of their own; an empty table gives an empty table.
+id count as documents of their own; an empty table gives an empty table. A text is never cut: its shingles are
+hashed some at a time, so a task holds the longest text and its words.
 """
 
 from __future__ import annotations

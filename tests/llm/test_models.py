@@ -171,6 +171,14 @@ def test_mixing_of_repeated_long_and_no_rows(spark):
     assert mixing.with_rates(mixing.memberships(none, domains), mixing.fit_rates(mixing.memberships(none, domains), domains, {"fruit": 1.0}), domains).count() == 0
 
 
+def test_mixing_carries_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(i, "apple pear" if i % 2 else "iron zinc", f"p{i}", i, -1.0, "k") for i in range(8)], "doc_id long, text string, posterior string, n_tokens int, rate double, key string")
+    domains = mixing.learn(docs, spark.createDataFrame([(0, "metal"), (1, "fruit")], "doc_id long, domain string"))
+    members = mixing.memberships(docs, domains)
+    rows = mixing.with_rates(members, mixing.fit_rates(members, domains, {"fruit": 1.0, "metal": 1.0}), domains).collect()
+    assert sorted((r.key.doc_id, r.key.posterior, r.key.n_tokens, r.key.rate, r.key.key, r.n_tokens) for r in rows) == [(i, f"p{i}", i, -1.0, "k", 2) for i in range(8)]
+
+
 def test_memberships_and_odd_rows(spark):
     docs = spark.createDataFrame([(i, ("apple pear plum " if i % 2 else "iron steel zinc ") * 20) for i in range(40)] + [(100, None), (101, ""), (None, "apple iron")], "doc_id long, text string")
     domains = mixing.learn(docs, spark.createDataFrame([(i, "fruit" if i % 2 else "metal") for i in range(30)] + [(None, "x"), (5, None)], "doc_id long, domain string"))

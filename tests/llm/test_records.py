@@ -368,3 +368,23 @@ def test_pieces_bound_the_bytes():
 
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "b" * 50, "c", "d" * 10]})
     assert [p.num_rows for p in pieces([batch], 0, 12)] == [2, 1, 2]
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    df = spark.createDataFrame([(50, [1e8, 1e8]), (1, [2e8, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        neighbours.top_k(df)
+    small = spark.createDataFrame([(50, [1e6, 1e6]), (1, [1e6, -1e6]), (2, [2e6, 0.0])], df.schema)
+    assert [(r.vec_id, r.score) for r in neighbours.top_k(small).collect()] == [(2, 256_000_000 * 512_000_000), (1, 0)]
+
+
+def test_passages_of_a_very_long_text(spark):
+    """A text longer than a block, with passages that come again within it and in others."""
+    rng = random.Random(21)
+    say = lambda n: [rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(n)]
+    passage, long = say(60), say(150_000)
+    long[90_000:90_060] = passage
+    long[140_000:140_060] = passage
+    rows = [(3, " ".join(long)), (2, " ".join(say(5) + passage + say(5))), (None, " ".join(passage)), (9, None)]
+    out = {r.row.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {2: (70, 0), 3: (150_000, 120), None: (60, 60), 9: (0, 0)}
