@@ -6,11 +6,11 @@
    each. Two sets at the threshold share no key with a chance of 5e-6, at higher overlaps with a
    smaller one. Nodes that are linked by a fingerprint or share a key, directly or not, are a
    candidate group; only links to a key's first node are passed on.
-3. Check: the shingle sets of a group meet in one task. A group of over ``BLOCK_NODES`` nodes, which may be a long chain
-   of keys with little in common, is taken apart again: there the nodes of each key (keys with the same nodes count once) and
-   of each link between fingerprints are a group, so a chain costs what its keys do. The nodes of a key that is too large itself, or whose
-   sets have over ``BLOCK_SHINGLES`` shingles, meet in pairs of blocks, so that each pair of nodes meets. The exact overlap
-   of each pair not yet joined is counted; links of ``THRESHOLD`` or more make the classes.
+3. Check: the shingle sets of a group meet in one task, those of a group of over ``BLOCK_NODES`` nodes or ``BLOCK_SHINGLES``
+   shingles in pairs of blocks, so that each pair of nodes meets. A large group may be a long chain of keys with little in common.
+   If that copies fewer sets, it is taken apart again: then the nodes of each key (keys with the same nodes count
+   once) and of each link between fingerprints are groups, so a chain costs what its keys do. The exact overlap of each pair not
+   yet joined is counted; links of ``THRESHOLD`` or more make the classes.
 
 Defined cases: as in ``simhash``; texts without words have one node. A text is found again by its id and a hash of it, so rows that
 share an id, or have none, are looked up once each. A text is never cut: a task holds one of any length, and its set (8 bytes a word).
@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, pieces, written
@@ -134,18 +134,27 @@ def checked_links(sets: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("grp", "low", "high").applyInArrow(_check, "a long, b long")
 
 
+def _copies(n: Column) -> Column:
+    """How many sets a group of n nodes takes in pairs of blocks."""
+    return n * F.ceil(n / BLOCK_NODES)
+
+
 def taken_apart(wide: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, grp) of nodes in large groups: those of each key, and those of each pair of fingerprints' nodes.
+    """(node, grp) of nodes in large groups: the group itself, or its keys' and pairs' nodes if that copies fewer sets.
 
-    ``wide`` has (node), ``keys`` (node, band), ``pairs`` (a, b).
+    ``wide`` has (node, component), ``keys`` (node, band), ``pairs`` (a, b) of fingerprints' nodes.
     """
-    own = keys.join(wide, "node", "left_semi")
-    alike = own.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).filter("n > 1")
-    named = alike.groupBy("n", "all").agg(F.min("band").alias("band")).select("band")
-    of_keys = own.join(named, "band").select("node", F.xxhash64("band", F.lit("key")).alias("grp"))
-    linked = pairs.filter("a <> b").join(wide.withColumnRenamed("node", "a"), "a", "left_semi")
-    of_pairs = linked.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("grp"))
-    return of_keys.unionByName(of_pairs).distinct()
+    own = written(keys.join(wide, "node"), "shingle-wide")
+    alike = own.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"), F.min("component").alias("component")).filter("n > 1")
+    named = alike.groupBy("n", "all").agg(F.min("band").alias("band"), F.min("component").alias("component"))
+    linked = pairs.filter("a <> b").join(wide.withColumnRenamed("node", "a"), "a")
+    costs = named.select("component", _copies(F.col("n")).alias("apart")).unionByName(linked.select("component", F.lit(2).cast("long").alias("apart")))
+    whole = wide.groupBy("component").agg(_copies(F.count("*")).alias("whole"))
+    cheaper = costs.groupBy("component").agg(F.sum("apart").alias("apart")).join(whole, "component").filter("apart < whole").select("component")
+    kept = wide.join(cheaper, "component", "left_anti").select("node", F.col("component").alias("grp"))
+    of_keys = own.join(named.join(cheaper, "component", "left_semi").select("band"), "band").select("node", F.xxhash64("band", F.lit("key")).alias("grp"))
+    of_pairs = linked.join(cheaper, "component", "left_semi").select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("grp"))
+    return kept.unionByName(of_keys).unionByName(of_pairs).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,11 +175,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = prints.join(firsts, "bits").select("a", F.col("node").alias("b")).filter("a <> b")
     linked = links(prints).select(F.col("a").alias("bits"), F.col("b").alias("other")).join(firsts, "bits")
     linked = linked.select("a", F.col("other").alias("bits")).join(firsts.withColumnRenamed("a", "b"), "bits").select("a", "b")
-    groups = written(components(near.unionByName(alike).unionByName(linked)), "shingle-groups")
+    pairs = written(alike.unionByName(linked), "shingle-pairs")
+    groups = written(components(near.unionByName(pairs)), "shingle-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     sized = groups.join(sizes, "component")
-    pairs = alike.unionByName(linked)
-    apart = taken_apart(sized.filter(F.col("n") > BLOCK_NODES).select("node"), keys, pairs)
+    apart = taken_apart(sized.filter(F.col("n") > BLOCK_NODES).select("node", "component"), keys, pairs)
     grouped = sized.filter(F.col("n") <= BLOCK_NODES).select("node", F.col("component").alias("grp")).unionByName(apart)
     # Of each node one text, found by its id and version.
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("one")

@@ -28,7 +28,8 @@ A suffix in a group is known by a 64-bit hash of its prefix and a 48-bit hash of
 Defined cases: a null, empty or short text has no window and loses nothing; a null id counts
 as the largest; rows repeated with equal id and text are one document and get equal results;
 rows with equal ids and other texts are ordered by a hash of the text; an empty table gives an
-empty table; further columns are carried in the struct ``row`` under their own names.
+empty table; further columns are carried in the struct ``row`` under their own names. A text is never cut: one longer
+than ``BLOCK_BYTES`` is a block of its own (about 120 bytes a word).
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ WINDOW = 20
 PREFIX_WORDS = 6
 WINDOW_HASH_BYTES = 6
 #: Bytes of text that a task looks at together.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Words whose hash a task keeps at hand.
 CACHE_WORDS = 400_000
 #: Documents sampled for each shuffle partition to find prefixes to lengthen, and how many of them must hold one.
@@ -114,9 +115,10 @@ class Block:
     """The windows of several texts: word hashes, valid window starts and their anchors."""
 
     def __init__(self, texts: list[str | None], window: int, hashes: WordHashes):
-        words = [(t or "").encode("utf-8").split() for t in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.words = np.fromiter((h for w in words for h in map(hashes.__getitem__, w)), np.uint64, int(self.sizes.sum()))
+        # Text by text, so that the words of only one are held at once.
+        own = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in ((t or "").encode("utf-8").split() for t in texts)]
+        self.sizes = np.array([len(w) for w in own], np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *own])
         self.begins = np.cumsum(self.sizes) - self.sizes
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.maximum(self.sizes - window + 1, 0))
         place = np.arange(len(doc), dtype=np.int64) - np.repeat(np.r_[0, np.cumsum(np.maximum(self.sizes - window + 1, 0))[:-1]], np.maximum(self.sizes - window + 1, 0)) if len(doc) else np.zeros(0, np.int64)

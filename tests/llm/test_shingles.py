@@ -86,9 +86,13 @@ def test_chains_of_keys_are_linear(spark, monkeypatch):
     n = 3000
     keys = spark.range(n).selectExpr("id node", "explode(array(id, id + 1, id + 100000, id + 100001)) band").selectExpr("node", "band")
     pairs = spark.range(n - 1).selectExpr("id a", "id + 1 b").filter("a % 10 = 0")
-    apart = shingles.taken_apart(spark.range(n).selectExpr("id node"), keys, pairs)
+    wide = spark.range(n).selectExpr("id node", "cast(0 as long) component")
+    apart = shingles.taken_apart(wide, keys, pairs)
     assert apart.count() == 2 * (n - 1) + 2 * pairs.count()
     assert apart.groupBy("grp").count().agg({"count": "max"}).first()[0] == 2
+    # Nodes that share many keys are cheaper as one group.
+    tight = spark.range(n).selectExpr("id node", "explode(sequence(0, 39)) band").filter("(node * 31 + band) % 7 <> 0").selectExpr("node", "cast(band as long) band")
+    assert shingles.taken_apart(wide, tight, pairs).groupBy("grp").count().collect()[0]["count"] == n
 
 
 def test_sets_of_many_shingles_meet_in_blocks(spark, monkeypatch):
