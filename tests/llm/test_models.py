@@ -536,6 +536,46 @@ def test_many_copies_and_images_that_share_corners(spark):
     assert sum(out[1001 + 2 * i] == 1000 + 2 * i for i in range(60)) >= 54 and all(out[1000 + 2 * i] == 1000 + 2 * i for i in range(60))
 
 
+def near_descriptors(rng):
+    """Descriptors 0 to 20 bits apart: many groups of few, and one of very many that are nearly all of one class."""
+    base = np.repeat(rng.integers(0, 2, (200, 128)), 8, axis=0)
+    hot = np.repeat(rng.integers(0, 2, (1, 128)), 1400, axis=0)
+    bits = np.concatenate([base, hot]).astype(np.uint8)
+    for row in bits:
+        row[rng.choice(128, rng.integers(0, 11), replace=False)] ^= 1
+    known = np.r_[rng.integers(0, 300, len(base)), np.where(np.arange(len(hot)) % 100 == 0, 1000 + np.arange(len(hot)), 999)]
+    return np.packbits(bits, axis=1), known
+
+
+@pytest.mark.parametrize("cell_rows", [40, 250_000])
+def test_all_matches_of_different_classes_are_found_once(spark, monkeypatch, cell_rows):
+    """By brute force over all pairs; with small cells too, so that hot ones are dealt over several."""
+    bits, known = near_descriptors(np.random.default_rng(5))
+    words = bits.view(np.uint64)
+    rows = [(i, 7 * i, bits[i].tobytes(), int(known[i])) for i in range(len(bits))]
+    monkeypatch.setattr(media, "CELL_ROWS", cell_rows, raising=False)
+    found = media.matches(spark.createDataFrame(rows, "image_id long, place long, bits binary, known long").repartition(3)).collect()
+    out = [(r.a, r.b, r.pa, r.pb) for r in found]
+    expected = set()
+    for i in range(len(bits)):
+        near = np.flatnonzero((np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1) <= 16) & (known[i + 1 :] != known[i])) + i + 1
+        expected |= {(i, j, 7 * i, 7 * j) for j in near.tolist()}
+    assert len(expected) > 20_000 and len(out) == len(set(out)) and set(out) == expected
+
+
+def test_agreement_is_found_among_very_many_matches():
+    """Six corners agree on a shift, among 4000 matches that agree on nothing: each match is tried."""
+    rng = np.random.default_rng(6)
+    at = lambda n: media._placed(rng.uniform(0, 4000, n), rng.uniform(0, 4000, n), np.full(n, 3), rng.integers(0, 64, n))
+    few = rng.permutation(4000)
+    y, x = np.array([100, 160, 230, 310, 400, 450.0]), np.array([90, 300, 130, 410, 220, 350.0])
+    same = [media._placed(y + d, x + 2 * d, np.full(6, 3), np.full(6, 5)) for d in (0, 40)]
+    # The other matches repeat two corners of each image, so that they are few corners.
+    noise = at(40)[few % 8], at(40)[few % 5]
+    pa_, pb = (np.concatenate(x) for x in zip(same, noise, strict=True))
+    assert media.agreeing(pa_, pb) >= 6 and media.agreeing(*noise) == 0
+
+
 def test_formats_sizes_and_columns(spark):
     rng = np.random.default_rng(2)
     large = rng.integers(0, 256, (20, 44)).repeat(30, 0).repeat(30, 1)
