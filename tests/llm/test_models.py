@@ -563,6 +563,53 @@ def test_all_matches_of_different_classes_are_found_once(spark, monkeypatch, cel
     assert len(expected) > 20_000 and len(out) == len(set(out)) and set(out) == expected
 
 
+def images_with_a_logo(n):
+    """Images that share many single corners, each with a copy."""
+    rng = np.random.default_rng(8)
+    logo = np.kron(rng.integers(0, 256, (9, 9)), np.ones((4, 4)))
+    out = {}
+    for i in range(n):
+        out[2 * i] = np.kron(rng.integers(0, 256, (24, 24)), np.ones((4, 4)))
+        out[2 * i][:36, :36] = logo
+        out[2 * i + 1] = out[2 * i][2:, 3:] * 0.8 + 20
+    return out
+
+
+def test_matches_of_unrelated_images_are_not_written(spark, monkeypatch):
+    """They grow with the square of the images: no table has more rows than there are descriptors."""
+    sizes = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes[name] = out.count() + sizes.get(name, 0)
+        return out
+
+    written = media.written
+    monkeypatch.setattr(media, "written", counted)
+    rows = [(i, media.encode_pgm(x)) for i, x in images_with_a_logo(300).items()]
+    out = dict(media.copy_classes(spark.createDataFrame(rows, "image_id long, media binary")).select("image_id", "class_id").collect())
+    assert sum(out[i + 1] == i for i in range(0, 600, 2)) > 260 and all(out[i] == i for i in range(0, 600, 2))
+    assert all(n <= sizes["media-descriptors"] for n in sizes.values()), sizes
+
+
+@pytest.mark.parametrize("held_matches", [100, 10**9])
+def test_links_of_blocks_are_those_of_all_pairs(held_matches):
+    """Also where blocks are halved, since they have more matches than are held."""
+    described = [(i, place, bits) for i, x in images_with_a_logo(40).items() for place, bits in zip(*(lambda y, x, s, t, b: (media._placed(y, x, s, t), b))(*media.describe(x[None])[1:]), strict=True)]
+    image, place = (np.array([r[k] for r in described]) for k in (0, 1))
+    words = np.stack([r[2] for r in described]).view(">u8").astype(np.uint64)
+    block = [tuple(x[image // 2 % 2 == k] for x in (image, place, words, image)) for k in (0, 1)]
+    pairs = [(block[0], None), (block[1], None), (block[0], block[1])]
+    found = [(int(a), int(b)) for one, two in pairs for links in media._linked(one, two, 5, held_matches) for a, b in zip(*links, strict=True)]
+    expected = set()
+    for a, b in itertools.combinations(range(80), 2):
+        i, j = np.flatnonzero(image == a), np.flatnonzero(image == b)
+        k, m = np.nonzero(np.bitwise_count(words[i][:, None] ^ words[j][None]).sum(axis=2) <= 16)
+        if len(k) >= 5 and media.agreeing(*np.unique(np.column_stack([place[i][k], place[j][m]]), axis=0).T):
+            expected.add((a, b))
+    assert len(expected) >= 36 and len(found) == len(set(found)) and set(found) == expected
+
+
 def test_agreement_is_found_among_very_many_matches():
     """Six corners agree on a shift, among 4000 matches that agree on nothing: each match is tried."""
     rng = np.random.default_rng(6)
