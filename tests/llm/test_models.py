@@ -563,6 +563,29 @@ def test_all_matches_of_different_classes_are_found_once(spark, monkeypatch, cel
     assert len(expected) > 20_000 and len(out) == len(set(out)) and set(out) == expected
 
 
+def test_more_blocks_of_images_send_and_keep_no_more(spark, monkeypatch):
+    """Blocks grow in number with the images; what is shuffled and stored grows with the images, not with blocks times images."""
+    bits, known = near_descriptors(np.random.default_rng(6))
+    rows = [(i, 7 * i, bits[i].tobytes(), int(known[i])) for i in range(len(bits))]
+    df = spark.createDataFrame(rows, "image_id long, place long, bits binary, known long").repartition(3)
+    monkeypatch.setattr(media, "TINY_ROWS", 1)
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written_to_shuffles():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    sent, found = [], []
+    for blocks in (2, 8):
+        monkeypatch.setattr(media, "BLOCKS", blocks)
+        before = written_to_shuffles()
+        found.append(sorted(map(tuple, media.matches(df).collect())))
+        sent.append(sum(n for stage, n in written_to_shuffles().items() if stage not in before))
+    assert found[0] == found[1] and len(found[0]) > 20_000
+    assert sent[1] < 1.7 * sent[0], sent
+
+
 def images_with_a_logo(n):
     """Images that share many single corners, each with a copy."""
     rng = np.random.default_rng(8)
