@@ -3,6 +3,8 @@
 import glob
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,61 @@ def test_hold_takes_cycles_in_their_order_and_forgets_free_stations(spark, tmp_p
     assert [tuple(r) for r in left] == [("S01", 1)]
 
 
+def test_hold_keeps_waiting_cycles_in_few_pieces(spark, tmp_path, monkeypatch):
+    """Of 20 000 cycles out of order, over two arrivals whose times overlap: a state row for each cycle made it slow."""
+    fields, rng = f"{PART_EVENTS}, breach boolean", np.random.default_rng(3)
+    rows = [(int(t) * 60_000, f"S0{rng.integers(3)}", i, int(rng.integers(90, 110)), None if i % 5 else 0, 0, 5 * int(rng.integers(0, 40) == 0), "PASS", None, bool(rng.integers(0, 30) == 0)) for i, t in enumerate(rng.integers(0, 3000, 20_000))]
+    arrived = np.array([r[0] for r in rows]) + rng.integers(0, 500 * 60_000, len(rows)) >= 1500 * 60_000
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    monkeypatch.setattr(live, "RUN_ROWS", 3000)
+    kept = []
+    for part in (*([r for r, a in zip(rows, arrived, strict=True) if a == late] for late in (False, True)), [(10**12, "", 0, 0, 0, 0, 0, "", "", False)]):
+        spark.createDataFrame(part, fields).coalesce(2).write.mode("append").parquet(source)
+        live.run_available(live.derate_stream(spark.readStream.schema(fields).parquet(source), 7, "600 minutes"), out, checkpoint)
+        spark.conf.set(live.PROVIDER, live.ROCKS_DB)
+        try:
+            kept.append(spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint).count())
+        finally:
+            spark.conf.unset(live.PROVIDER)
+    got = spark.read.schema(f"{fields}, derated boolean").parquet(out)
+    assert rows_of(got) == rows_of(cycles.spc_derate(spark.createDataFrame(rows, fields), 7).drop("nth"))
+    assert 0 < kept[0] < 100 and kept[-1] <= 1, kept
+
+
+@pytest.mark.parametrize("piece_rows", [3, 1000])
+def test_pieces_of_the_hold_are_merged_in_order(monkeypatch, piece_rows):
+    """Also where pieces overlap and ties lie across their borders; what is later than the watermark waits on."""
+    monkeypatch.setattr(live, "PIECE_ROWS", piece_rows)
+    rng = np.random.default_rng(4)
+    n = 900
+    columns = {"ts_end_ms": rng.integers(0, 60, n), "station": np.full(n, "S01"), "part_id": rng.permutation(n), **{c: rng.integers(0, 2, n) for c in ("cycle_ms", "blocked_ms", "starved_ms", "down_ms")}, "status": np.full(n, "PASS")}
+    table = pa.table(columns)
+    hold, state = live.Hold(5), {}
+    for nth, piece in enumerate(live._pieces(table.to_batches(max_chunksize=50), table.column_names, 50, piece_rows)):
+        for k in range(piece.num_rows):
+            _, first, last, data = (piece.column(i)[k].as_py() for i in range(4))
+            state[(first, last, 1000 * nth + k)] = (data,)
+    hold.waiting = type("Waiting", (), {"getValue": state.get, "removeKey": state.pop, "updateValue": state.__setitem__})
+    found = [live._table_of(live._bytes_of(t)) for passed in (-1, 20, 40, 60) for t in hold._ready(sorted(k for k in state if k[0] <= passed), passed)]
+    assert not state and (len(found) > 10) == (piece_rows == 3)
+    assert pa.concat_tables(found).to_pylist() == sorted(table.to_pylist(), key=lambda r: [r[c] for c in live.ORDER])
+
+
+def test_hold_over_arrays_is_that_of_single_cycles():
+    rng = np.random.default_rng(5)
+    for hold in (0, 1, 4):
+        breach, stop = rng.random((2, 3000)) < 0.1
+        one, left = [], 2
+        for b, s in zip(breach, stop, strict=True):
+            one.append(left > 0)
+            left = hold if b else 0 if s else max(0, left - 1)
+        parts, carried = [], 2
+        for at in range(0, 3000, 3):
+            derated, carried = live._held(breach[at : at + 3], stop[at : at + 3], carried, hold)
+            parts.append(derated)
+        assert np.concatenate(parts).tolist() == one and carried == left
+
+
 def test_one_pass_gives_what_two_give(spark):
     events = adapters.part_events(spark, SF)
     odd = spark.createDataFrame([(5, "S09", 1, 0, 10, 20, 0, "PASS", ""), (6, "S09", 2, 0, 0, 0, 5, "FAIL", "x"), (7, "S10", 3, 0, 7, 0, 0, "PASS", ""), (9, "S10", 4, 900, 0, 0, 0, "PASS", "")], PART_EVENTS)
